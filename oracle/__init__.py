@@ -2,6 +2,6 @@
 
 
 def oracle_queries() -> dict[str, str]:
-    from oracle import views
+    from oracle import figures, jobs, rules, views
 
-    return {**views.ORACLE}
+    return {**views.ORACLE, **jobs.ORACLE, **rules.ORACLE, **figures.ORACLE}

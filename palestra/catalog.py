@@ -5,11 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from palestra.operators.changes import change_keys, delete_rows, update_rows, with_defaults
+from palestra.operators.checks import check
+from palestra.operators.numbering import highest_key, numbered
 from palestra.plans import app_queries as app
+from palestra.plans import club_rules as rules
+from palestra.plans import screen_figures as figures
 from palestra.plans import views
+from palestra.plans.bookings import Bookings, book_classes
+from palestra.plans.logins import Logins, apply_logins
+from palestra.plans.registration import Registration, register_members
 from palestra.sources.fixture import FIXTURE_AS_OF as AS_OF
-from palestra.sources.fixture import mapped_tables, requests
+from palestra.sources.fixture import delivered_tables, mapped_tables, requests
+from palestra.sources.tables import ClubTables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,5 +95,182 @@ def app_query_set() -> dict[str, Query]:
     }
 
 
+def _registration(spark: SparkSession, sf_dir: str) -> Registration:
+    return register_members(
+        mapped_tables(spark, sf_dir), AS_OF, requests(spark, sf_dir, "signup")
+    )
+
+
+def _bookings(spark: SparkSession, sf_dir: str) -> Bookings:
+    """All booking requests, against the bookings made up to now."""
+    t = mapped_tables(spark, sf_dir)
+    stored = t["classbooking"].where(F.col("bookingdate") <= AS_OF.timestamp())
+    return book_classes(
+        t.with_tables(classbooking=stored), AS_OF, requests(spark, sf_dir, "booking")
+    )
+
+
+def _logins(spark: SparkSession, sf_dir: str) -> Logins:
+    return apply_logins(mapped_tables(spark, sf_dir), AS_OF, requests(spark, sf_dir, "login"))
+
+
+def _overdue_settled(t: ClubTables, as_of) -> DataFrame:
+    """Mark every overdue payment as paid today."""
+    changes = t["payment"].where(~F.col("ispayed") & (F.col("duedate") < as_of.today())).select(
+        "paymentid", F.lit(True).alias("ispayed"), as_of.today().alias("paymentdate")
+    )
+    after, _ = update_rows(t["payment"], "paymentid", changes, as_of)
+    return after
+
+
+def _bare_checkins(t: ClubTables, as_of) -> DataFrame:
+    """One more visit for every recorded one, given by key and member only."""
+    top = highest_key(t["checkin"], "checkinid")
+    given = t["checkin"].select((F.col("checkinid") + top + 1).alias("checkinid"), "memberid")
+    return with_defaults(given, "checkin", as_of)
+
+
+def _visits_numbered(t: ClubTables, as_of) -> DataFrame:
+    visits = t["checkin"].select("checkinid", "date", "entrancetime")
+    return numbered(visits, ["date", "entrancetime", "checkinid"])
+
+
+def _inactive_users_deleted(t: ClubTables, as_of) -> DataFrame:
+    gone = t["users"].where("NOT isactive").select("userid")
+    after, _ = delete_rows(t, "users", gone, as_of)
+    people = [
+        after[name].select(F.lit(name).alias("table_name"), F.col(key).alias("row_id"), "userid",
+                           "updated_at")
+        for name, key in (("member", "memberid"), ("instructor", "instructorid"))
+    ]
+    return people[0].unionByName(people[1])
+
+
+def _inactive_classes_refused(t: ClubTables, as_of) -> DataFrame:
+    gone = t["class"].where("NOT isactive").select("classid")
+    return delete_rows(t, "class", gone, as_of)[1]
+
+
+def _inactive_classes_deleted(t: ClubTables, as_of) -> DataFrame:
+    gone = t["class"].where("NOT isactive").select("classid")
+    return delete_rows(t, "class", gone, as_of)[0]["class"]
+
+
+def _instructors_renumbered(t: ClubTables, as_of) -> DataFrame:
+    """Move active instructors to new keys; their classes follow."""
+    renames = t["instructor"].where("isactive").select(
+        F.col("instructorid").alias("old_key"), (F.col("instructorid") + 5000000).alias("new_key")
+    )
+    after, _ = change_keys(t, "instructor", renames, as_of)
+    return after["class"].select(
+        F.lit("class").alias("table_name"), F.col("classid").alias("row_id"), "instructorid",
+        "updated_at",
+    ).unionByName(
+        after["instructor"].select(
+            F.lit("instructor").alias("table_name"), F.col("userid").alias("row_id"),
+            "instructorid", "updated_at",
+        )
+    )
+
+
+def job_queries() -> dict[str, Query]:
+    return {
+        "m01_new_users": lambda s, d: _registration(s, d).users,
+        "m01_new_members": lambda s, d: _registration(s, d).member,
+        "m01_new_subscriptions": lambda s, d: _registration(s, d).membersubscription,
+        "m01_signup_rejects": lambda s, d: _registration(s, d).rejects,
+        "m02_new_bookings": lambda s, d: _bookings(s, d).classbooking,
+        "m02_booking_rejects": lambda s, d: _bookings(s, d).rejects,
+        "m03_users_after_logins": lambda s, d: _logins(s, d).users,
+        "m03_login_rejects": lambda s, d: _logins(s, d).rejects,
+        "m04_overdue_settled": _view(_overdue_settled),
+        "m05_checkin_defaults": _view(_bare_checkins),
+        "m06_visits_numbered": _view(_visits_numbered),
+        "m07_inactive_users_deleted": _view(_inactive_users_deleted),
+        "m07_inactive_classes_refused": _view(_inactive_classes_refused),
+        "m07_inactive_classes_deleted": _view(_inactive_classes_deleted),
+        "m07_instructors_renumbered": _view(_instructors_renumbered),
+    }
+
+
+def _on_delivery(find) -> Query:
+    return lambda spark, sf_dir: find(delivered_tables(spark, sf_dir))
+
+
+def _check(prefix: str) -> Query:
+    return _on_delivery(lambda t: rules.broken_checks(t, prefix))
+
+
+def _delivered_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.broken_references(delivered_tables(spark, sf_dir), mapped_tables(spark, sf_dir))
+
+
+def rule_queries() -> dict[str, Query]:
+    return {
+        "q01_labels": _check("Q-01"),
+        "q02_plans": _check("Q-02"),
+        "q03_emails": _check("Q-03"),
+        "q04_users": _check("Q-04"),
+        "q05_nifs": _check("Q-05"),
+        "q06_phones": _check("Q-06"),
+        "q07_ibans": _check("Q-07"),
+        "q08_genders": _check("Q-08"),
+        "q09_machines": _check("Q-09"),
+        "q10_classes": _check("Q-10"),
+        "q11_subscriptions": _check("Q-11"),
+        "q12_schedules": _check("Q-12"),
+        "q13_maintenance": _check("Q-13"),
+        "q14_payments": _check("Q-14"),
+        "q15_visits": _check("Q-15"),
+        "q_required": _on_delivery(lambda t: rules.broken_rows(t, rules.REQUIRED)),
+        "q_lengths": _on_delivery(lambda t: rules.broken_rows(t, rules.LENGTHS)),
+        "q_unique": _on_delivery(lambda t: rules.broken_uniqueness(t, composite=False)),
+        "q_unique_composite": _on_delivery(lambda t: rules.broken_uniqueness(t, composite=True)),
+        "q_references": _delivered_references,
+        "q_rule_counts": _on_delivery(rules.rule_counts),
+        "q_valid_members": _on_delivery(
+            lambda t: check(t["member"], rules.rules_of("member"))[0]
+        ),
+    }
+
+
+def figure_queries() -> dict[str, Query]:
+    return {
+        "x01_monthly_revenue": _view(figures.monthly_revenue),
+        "x02_payment_states": _view(figures.payment_states),
+        "x03_visits_today": _view(figures.visits_today),
+        "x04_busiest_half_hours": _view(figures.busiest_half_hours),
+        "x05_members_per_plan": _view(figures.members_per_plan),
+        "x06_plan_performance": _view(figures.plan_performance),
+        "x07_machines_per_status": _view(figures.machines_per_status),
+        "x08_class_grid_cells": _view(figures.class_grid_cells),
+        "x09_instructor_month": _view(figures.instructor_month),
+        "x10_find_members": _view(
+            lambda t, a: figures.find_members(t, a, text="9", active=True, plan="Premium")
+        ),
+        "x10_find_payments": _view(
+            lambda t, a: figures.find_payments(
+                t, a, text="7", status="Em Atraso", plan="Basico", since=a.date.replace(year=2022),
+                until=a.date,
+            )
+        ),
+        "x10_find_checkins": _view(
+            lambda t, a: figures.find_checkins(t, a, text="1", day=a.date, inside=True)
+        ),
+        "x10_find_classes": _view(
+            lambda t, a: figures.find_classes(
+                t, a, instructor="Supplier#000000003", room="Brand#7"
+            )
+        ),
+        "x10_find_machines": _view(
+            lambda t, a: figures.find_machines(
+                t, a, text="ring", kind="LARGE", status="Em funcionamento"
+            )
+        ),
+    }
+
+
 def queries() -> dict[str, Query]:
-    return {**view_queries(), **app_query_set()}
+    return {
+        **view_queries(), **app_query_set(), **job_queries(), **rule_queries(), **figure_queries(),
+    }

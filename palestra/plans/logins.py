@@ -19,12 +19,12 @@ class Logins:
 
 
 def apply_logins(t: ClubTables, as_of: AsOf, events: DataFrame) -> Logins:
-    """Set each user's last login from events (``userid``, ``at``). A batch that comes late
+    """Set each user's last login from events (``userid``, ``logged_in_at``). A batch that comes late
     or twice never moves a login back. Unknown users are rejected."""
-    latest = events.groupBy("userid").agg(F.max("at").alias("at"))
+    latest = events.groupBy("userid").agg(F.max("logged_in_at").alias("latest"))
     before = t["users"].select("userid", F.col("last_login").alias("before"))
     changes = latest.join(before, "userid", "left").select(
-        "userid", F.greatest("at", "before").alias("last_login")
+        "userid", F.greatest("latest", "before").alias("last_login")
     )
     users, unknown = update_rows(t["users"], "userid", changes, as_of)
     reason = F.concat(F.lit("User with ID "), F.col("userid").cast("string"), F.lit(" not found"))
