@@ -26,6 +26,15 @@ def hours(us: Column) -> Column:
     return us / F.lit(float(MICROS_PER_HOUR))
 
 
+def total_length(us: Column) -> Column:
+    """Sum of lengths as a decimal. The sums run on whole numbers, split at the second so
+    that no number of rows makes them overflow."""
+    rest = us % MICROS_PER_SECOND
+    seconds = ((us - rest) / F.lit(float(MICROS_PER_SECOND))).cast("bigint")
+    micros = F.lit(MICROS_PER_SECOND).cast("decimal(7,0)")
+    return F.sum(seconds).cast("decimal(20,0)") * micros + F.sum(rest)
+
+
 def stay_text(us: Column) -> Column:
     """A length such as ``1h 05min``."""
     minutes = F.lpad(minutes_past_hour(us).cast("string"), 2, "0")

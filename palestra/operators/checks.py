@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,24 +21,30 @@ class RowRule:
     condition: Callable[[], Column]
 
 
+def _holds(rule: RowRule) -> Column:
+    return F.coalesce(rule.condition(), F.lit(True))
+
+
+def passes(rules: list[RowRule]) -> Column:
+    """Whether a row breaks none of the rules."""
+    return reduce(Column.__and__, [_holds(rule) for rule in rules], F.lit(True))
+
+
 def failed_rules(rules: list[RowRule]) -> Column:
-    """The names of the rules a row breaks, as an array; all rules in one pass."""
-    broken = [
-        F.when(~F.coalesce(rule.condition(), F.lit(True)), F.lit(rule.rule)) for rule in rules
-    ]
-    return F.array_compact(F.array(*broken))
+    """The names of the rules a row breaks, as an array."""
+    return F.array_compact(F.array(*[F.when(~_holds(r), F.lit(r.rule)) for r in rules]))
 
 
 def check(df: DataFrame, rules: list[RowRule]) -> tuple[DataFrame, DataFrame]:
     """Split rows into valid ones and rejects; rejects list their broken ``rules``."""
-    judged = df.withColumn("rules", failed_rules(rules))
-    valid = judged.where(F.size("rules") == 0).drop("rules")
-    return valid, judged.where(F.size("rules") > 0)
+    ok = passes(rules)
+    return df.where(ok), df.where(~ok).withColumn("rules", failed_rules(rules))
 
 
 def row_violations(df: DataFrame, table: str, rules: list[RowRule]) -> DataFrame:
-    """One line per broken rule and row."""
-    return df.select(
+    """One line per broken rule and row. Sound rows only meet the filter; the rules are
+    told apart on the others."""
+    return df.where(~passes(rules)).select(
         F.lit(table).alias("table_name"),
         F.explode(failed_rules(rules)).alias("rule"),
         F.col(TABLES[table].key).cast("bigint").alias("row_id"),
@@ -94,3 +101,42 @@ def reference_violations(child: DataFrame, ref: Reference, parent: DataFrame) ->
         F.lit(f"reference:{ref.column}").alias("rule"),
         F.col(TABLES[ref.child].key).cast("bigint").alias("row_id"),
     )
+
+
+def _counted(rows: DataFrame, table: str, rule: str, surplus: Column) -> DataFrame:
+    return rows.agg(F.coalesce(F.sum(surplus), F.lit(0)).alias("broken")).select(
+        F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), "broken"
+    )
+
+
+def row_counts(df: DataFrame, table: str, rules: list[RowRule]) -> DataFrame:
+    """How many rows break each rule, in one pass that sends one row per task."""
+    counts = df.agg(
+        F.array(
+            *[
+                F.struct(F.lit(r.rule).alias("rule"), F.count_if(~_holds(r)).alias("broken"))
+                for r in rules
+            ]
+        ).alias("counts")
+    )
+    return counts.select(F.inline("counts")).select(
+        F.lit(table).alias("table_name"), "rule", "broken"
+    )
+
+
+def unique_counts(df: DataFrame, table: str, columns: tuple[str, ...]) -> DataFrame:
+    """How many rows are later holders of a value, from the size of each value's group."""
+    filled = df.where(" AND ".join(f"{c} IS NOT NULL" for c in columns))
+    groups = filled.groupBy(*columns).agg(F.count("*").alias("_n"))
+    return _counted(groups, table, "unique:" + "+".join(columns), F.col("_n") - 1)
+
+
+def reference_counts(child: DataFrame, ref: Reference, parent: DataFrame) -> DataFrame:
+    """How many rows point at a missing parent; only distinct pointers are shuffled."""
+    pointers = (
+        child.where(F.col(ref.column).isNotNull())
+        .groupBy(ref.column).agg(F.count("*").alias("_n"))
+    )
+    keys = parent.select(F.col(TABLES[ref.parent].key).alias(ref.column))
+    missing = pointers.join(keys, ref.column, "left_anti")
+    return _counted(missing, ref.child, f"reference:{ref.column}", F.col("_n"))

@@ -18,7 +18,7 @@ from palestra.functions.display import (
     rounded_hours,
 )
 from palestra.operators.joins import Hint, fits, only_users, pair_with_all
-from palestra.operators.ranking import first_per_group, first_rows
+from palestra.operators.ranking import first_per_group, first_rows, latest_rows
 from palestra.plans import views
 from palestra.plans.parts import lowest_first, member_users, newest_first, open_classes, without_booked
 from palestra.sources.tables import ClubTables
@@ -110,13 +110,13 @@ def booked_classes(t: ClubTables, as_of: AsOf, users) -> DataFrame:
 def bookable_classes(t: ClubTables, as_of: AsOf, users) -> DataFrame:
     """Today's classes with free spots that the users have not booked yet. A user who is
     no member sees them all."""
-    open_ = open_classes(t, as_of, later_than=as_of.time_us)
+    open_ = open_classes(t, as_of, later_than=as_of.time_us, keep_bookings=True)
     if isinstance(users, DataFrame):
         who = users.select(F.col(users.columns[0]).alias("userid")).distinct()
     else:
         who = t.spark.range(1).select(F.lit(users).cast("bigint").alias("userid"))
     who = who.join(member_users(t), "userid", "left")
-    return without_booked(pair_with_all(who, "userid", open_.rows), t, open_).select(
+    return without_booked(pair_with_all(who, "userid", open_.rows), open_).select(
         "userid", "classscheduleid", "class_name", "date", "starttime", "endtime", "room",
         "instructor_name", "available_spots",
     )
@@ -183,7 +183,7 @@ def class_list(t: ClubTables, as_of: AsOf) -> DataFrame:
 
 def latest_checkins(t: ClubTables, as_of: AsOf, k: int = CHECKINS_SHOWN) -> DataFrame:
     order = newest_first("date", "entrancetime") + lowest_first("checkinid")
-    return first_rows(views.all_checkins(t, as_of), order, k)
+    return latest_rows(views.all_checkins(t, as_of), "date", t["checkin"], order, k)
 
 
 def machine_list(t: ClubTables, as_of: AsOf) -> DataFrame:

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from palestra.operators.checks import (
     RowRule,
     key_violations,
+    reference_counts,
     reference_violations,
+    row_counts,
     row_violations,
+    unique_counts,
     unique_violations,
 )
 from palestra.sources.schema import REFERENCES, TABLES
@@ -133,11 +136,12 @@ def broken_references(t: ClubTables, parents: ClubTables | None = None) -> DataF
 
 
 def rule_counts(t: ClubTables) -> DataFrame:
-    """How many rows break each rule of every kind."""
-    found = [
-        broken_rows(t, REQUIRED + LENGTHS + CHECKS),
-        broken_uniqueness(t, composite=False),
-        broken_uniqueness(t, composite=True),
-        broken_references(t),
+    """How many rows break each rule of every kind; rules that hold are left out."""
+    counts = [row_counts(t[name], name, rules_of(name)) for name in TABLES]
+    counts += [
+        unique_counts(t[table.name], table.name, columns)
+        for table in TABLES.values()
+        for columns in table.unique
     ]
-    return _union(found).groupBy("table_name", "rule").agg(F.count("*").alias("broken"))
+    counts += [reference_counts(t[r.child], r, t[r.parent]) for r in REFERENCES]
+    return _union(counts).where("broken > 0")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palestra.asof import AsOf
 from palestra.operators.joins import MAX_BROADCAST_ROWS, Hint
+from palestra.session import durable
 from palestra.sources.tables import ClubTables
 
 # Bookings of the classes of one day that may be copied to every executor.
@@ -67,20 +68,24 @@ def class_details(t: ClubTables, how: str, only_active: bool = False) -> DataFra
 
 @dataclass(frozen=True)
 class OpenClasses:
-    """Classes with free spots, and how the joins with them and their bookings may go."""
+    """Classes with free spots, the day's bookings, and whether both may be broadcast."""
 
     rows: DataFrame
+    bookings: DataFrame
     hint: Hint
     bookings_hint: Hint
 
 
-def open_classes(t: ClubTables, as_of: AsOf, later_than: int | None = None) -> OpenClasses:
+def open_classes(
+    t: ClubTables, as_of: AsOf, later_than: int | None = None, keep_bookings: bool = False
+) -> OpenClasses:
     """Today's active classes that have free spots; with ``later_than`` only those that
     start after that time of day.
 
     One look at the day's schedules tells how many there are and how many places they
     have. If both are small, the tables of bookings, classes and people are only streamed
-    past them; if not, everything is joined by shuffle.
+    past them; if not, everything is joined by shuffle. ``keep_bookings`` stores the day's
+    bookings for callers that use them again, so the bookings are read once.
     """
     schedules = t["classschedule"].where(F.col("isactive") & (F.col("date") == as_of.today()))
     if later_than is not None:
@@ -95,12 +100,12 @@ def open_classes(t: ClubTables, as_of: AsOf, later_than: int | None = None) -> O
     # a class with free spots has fewer bookings than places
     bookings_hint = Hint(hint.small and size["places"] <= MAX_BROADCAST_BOOKINGS)
 
-    booked = (
-        t["classbooking"]
-        .join(hint(schedules.select("classscheduleid")), "classscheduleid", "left_semi")
-        .groupBy("classscheduleid")
-        .agg(F.count("*").alias("current_bookings"))
+    bookings = t["classbooking"].select("memberid", "classscheduleid").join(
+        hint(schedules.select("classscheduleid")), "classscheduleid", "left_semi"
     )
+    if keep_bookings:
+        bookings = durable(bookings)
+    booked = bookings.groupBy("classscheduleid").agg(F.count("*").alias("current_bookings"))
     spots = F.col("maxparticipants") - F.col("current_bookings")
     free = (
         schedules.join(hint(booked), "classscheduleid", "left")
@@ -119,16 +124,14 @@ def open_classes(t: ClubTables, as_of: AsOf, later_than: int | None = None) -> O
         F.col("user_name").alias("instructor_name"), "date", "starttime", "endtime",
         "maxparticipants", "current_bookings", "available_spots",
     )
-    return OpenClasses(rows, hint, bookings_hint)
+    return OpenClasses(rows, bookings, hint, bookings_hint)
 
 
-def without_booked(pairs: DataFrame, t: ClubTables, open_: OpenClasses) -> DataFrame:
+def without_booked(pairs: DataFrame, open_: OpenClasses) -> DataFrame:
     """Drop the pairs of member and open class that are booked already. A pair without a
     member stays."""
-    taken = (
-        t["classbooking"].select("memberid", "classscheduleid")
-        .join(open_.hint(open_.rows.select("classscheduleid")), "classscheduleid", "left_semi")
-    )
+    ids = open_.hint(open_.rows.select("classscheduleid"))
+    taken = open_.bookings.join(ids, "classscheduleid", "left_semi")
     return pairs.join(open_.bookings_hint(taken), ["memberid", "classscheduleid"], "left_anti")
 
 

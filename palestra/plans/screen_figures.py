@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palestra.asof import AsOf
-from palestra.functions.clock import MICROS_PER_MINUTE, clock_text, hours, whole_hours
+from palestra.functions.clock import MICROS_PER_MINUTE, clock_text, hours, total_length, whole_hours
 from palestra.functions.display import OVERDUE, PENDING
 from palestra.operators.ranking import first_per_group
 from palestra.plans import views
@@ -170,7 +170,7 @@ def instructor_month(t: ClubTables, as_of: AsOf) -> DataFrame:
     )
     taught = classes.groupBy("instructorid").agg(
         F.count("*").alias("classes"),
-        hours(F.sum("length_us")).alias("hours"),
+        hours(total_length(F.col("length_us"))).alias("hours"),
         F.sum("maxparticipants").alias("places"),
     )
     people = (

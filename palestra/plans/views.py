@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palestra.asof import AsOf
-from palestra.functions.clock import hours, stay_text
+from palestra.functions.clock import hours, stay_text, total_length
 from palestra.functions.display import STILL_INSIDE, payment_status
 from palestra.operators.joins import pair_with_all, split_left_join
 from palestra.plans.parts import (
@@ -61,7 +61,7 @@ def _month_activity(t: ClubTables, as_of: AsOf) -> DataFrame:
         .groupBy("memberid")
         .agg(
             F.count("checkinid").alias("checkins"),
-            F.sum(F.col("exittime") - F.col("entrancetime")).alias("stay_us"),
+            total_length(F.col("exittime") - F.col("entrancetime")).alias("stay_us"),
         )
     )
     bookings = (
@@ -144,9 +144,9 @@ def member_available_classes(t: ClubTables, as_of: AsOf) -> DataFrame:
 def classes_for_member(t: ClubTables, as_of: AsOf) -> DataFrame:
     """Every active member with each of today's classes that has free spots and that the
     member has not booked, whatever its start time."""
-    open_ = open_classes(t, as_of)
+    open_ = open_classes(t, as_of, keep_bookings=True)
     members = t["member"].where("isactive").select("memberid", "userid")
-    return without_booked(pair_with_all(members, "memberid", open_.rows), t, open_)
+    return without_booked(pair_with_all(members, "memberid", open_.rows), open_)
 
 
 def member_account_details(t: ClubTables, as_of: AsOf) -> DataFrame:

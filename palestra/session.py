@@ -12,6 +12,8 @@ SESSION_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # a plan that splits a hot key beats one that saves a shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # recording the Python call site of every column expression slows plan building
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -1,0 +1,93 @@
+"""Stored versions of the tables, published all or none.
+
+Data goes to new folders first. A version becomes visible when its lines are appended to
+the manifest, in one file. One writer at a time is assumed.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+
+from palestra.sources.schema import TABLES
+from palestra.sources.tables import ClubTables, write_table
+
+_MANIFEST = "version INT, table_name STRING, path STRING, replaces BOOLEAN, batch STRING"
+
+
+class SnapshotStore:
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
+        self.root = root
+
+    def _manifest(self) -> DataFrame:
+        return self.spark.read.schema(_MANIFEST).parquet(f"{self.root}/manifest")
+
+    def _lines(self) -> list:
+        """All manifest lines, a few per publication, oldest first."""
+        try:
+            return self._manifest().orderBy("version").collect()
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return []
+            raise
+
+    def published(self, batch: str) -> bool:
+        return any(line["batch"] == batch for line in self._lines())
+
+    def publish(
+        self,
+        replace: dict[str, DataFrame] | None = None,
+        append: dict[str, DataFrame] | None = None,
+        batch: str = "",
+    ) -> None:
+        """Write new versions of some tables and new rows for others, then show them all
+        at once. A named batch that is already published is skipped."""
+        lines = self._lines()
+        if batch and any(line["batch"] == batch for line in lines):
+            return
+        version = 1 + max((line["version"] for line in lines), default=0)
+        rows = []
+        for replaces, frames in ((True, replace or {}), (False, append or {})):
+            for name, df in frames.items():
+                path = f"{self.root}/data/{name}/v{version}"
+                if name in TABLES:
+                    write_table(df, name, path)
+                else:
+                    df.write.mode("overwrite").parquet(path)
+                rows.append((version, name, path, replaces, batch))
+        self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("append").parquet(
+            f"{self.root}/manifest"
+        )
+
+    def _paths(self, name: str, lines: list) -> list[str]:
+        mine = [line for line in lines if line["table_name"] == name]
+        start = max((i for i, line in enumerate(mine) if line["replaces"]), default=0)
+        return [line["path"] for line in mine[start:]]
+
+    def _read(self, name: str, lines: list) -> DataFrame:
+        paths = self._paths(name, lines)
+        if not paths:
+            if name in TABLES:
+                return self.spark.createDataFrame([], TABLES[name].struct)
+            raise KeyError(name)
+        reader = self.spark.read
+        if name in TABLES:
+            reader = reader.schema(TABLES[name].struct)
+        parts = [reader.parquet(path) for path in paths]
+        df = reduce(DataFrame.unionByName, parts)
+        return df.select(*TABLES[name].names) if name in TABLES else df
+
+    def tables(self) -> ClubTables:
+        """The tables as last published."""
+        lines = self._lines()
+        return ClubTables(
+            self.spark, {n: (lambda n=n: self._read(n, lines)) for n in TABLES}
+        )
+
+    def extra(self, name: str) -> DataFrame:
+        """Rows published under a name that is not one of the club's tables."""
+        return self._read(name, self._lines())
+
