@@ -63,5 +63,5 @@ def only_users(df: DataFrame, users, column: str = "userid") -> DataFrame:
     """Keep the rows of one user (a number), or of a set of users (a DataFrame)."""
     if isinstance(users, DataFrame):
         wanted = users.select(F.col(users.columns[0]).alias(column))
-        return df.join(wanted, column, "left_semi")
+        return df.join(wanted, column, "left_semi").select(*df.columns)
     return df.where(F.col(column) == F.lit(users))

@@ -12,7 +12,6 @@ from palestra.operators.changes import with_defaults
 from palestra.operators.checks import without_stored
 from palestra.operators.numbering import highest_key, numbered
 from palestra.plans.parts import member_users
-from palestra.session import durable
 from palestra.sources.tables import ClubTables
 
 MEMBER_UNKNOWN = "Member not found for user ID "
@@ -36,7 +35,7 @@ def book_classes(t: ClubTables, as_of: AsOf, requests: DataFrame) -> Bookings:
     schedules = t["classschedule"].select(
         "classscheduleid", F.lit(True).alias("schedule_known")
     )
-    judged = durable(
+    judged = numbered(
         requests.join(members, "userid", "left")
         .join(schedules, "classscheduleid", "left")
         .withColumn(
@@ -45,19 +44,19 @@ def book_classes(t: ClubTables, as_of: AsOf, requests: DataFrame) -> Bookings:
                 F.col("memberid").isNull(),
                 F.concat_ws("", F.lit(MEMBER_UNKNOWN), F.col("userid").cast("string")),
             ).when(F.col("schedule_known").isNull(), F.lit(SCHEDULE_UNKNOWN)),
-        )
+        ),
+        ["requested_at", "request_id", "userid", "classscheduleid"],
+        "arrival",
     )
     # the earliest request of each pair, pre-aggregated, then without the pairs in store
     pair = ["memberid", "classscheduleid"]
     first = (
         judged.where("reason IS NULL").groupBy(*pair)
-        .agg(F.min(F.struct("requested_at", "request_id")).alias("first"))
-        .select(*pair, "first.requested_at", "first.request_id")
+        .agg(F.min(F.struct("arrival", "requested_at")).alias("first"))
+        .select(*pair, "first.arrival", "first.requested_at")
     )
-    accepted = numbered(
-        without_stored(first, t["classbooking"], pair), ["requested_at", "request_id"]
-    )
-    rejects = judged.join(accepted.select("request_id"), "request_id", "left_anti").select(
+    accepted = numbered(without_stored(first, t["classbooking"], pair), ["arrival"])
+    rejects = judged.join(accepted.select("arrival"), "arrival", "left_anti").select(
         "request_id", "userid", "classscheduleid", "requested_at",
         F.coalesce("reason", F.lit(ALREADY_BOOKED)).alias("reason"),
     )

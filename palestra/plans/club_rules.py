@@ -92,8 +92,11 @@ def rules_of(table: str, *groups: list[RowRule]) -> list[RowRule]:
 
 
 def stored_text(table: str, column: str) -> Column:
-    """A text as the table stores it, cut to the column's length."""
-    return F.substring(column, 1, TABLES[table].column(column).max_length)
+    """A text as the table stores it: spaces beyond the column's length are cut off. A text
+    that is too long in other ways stays, and breaks the length rule."""
+    length = TABLES[table].column(column).max_length
+    fits = F.length(F.rtrim(column)) <= length
+    return F.when(fits, F.substring(column, 1, length)).otherwise(F.col(column))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

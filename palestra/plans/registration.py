@@ -13,7 +13,6 @@ from palestra.operators.checks import failed_rules
 from palestra.operators.numbering import highest_key, numbered
 from palestra.plans.club_rules import rules_of, stored_text
 from palestra.session import durable
-from palestra.sources.schema import TABLES
 from palestra.sources.seeds import MEMBER_USER_TYPE
 from palestra.sources.tables import ClubTables
 
@@ -39,13 +38,18 @@ class Registration:
 def _typed(requests: DataFrame) -> DataFrame:
     """Form fields as the tables hold them; unreadable dates and numbers become NULL and
     fail the rule for required columns."""
-    fields = {}
-    for table, names in (("users", _USER_FIELDS), ("member", _MEMBER_FIELDS)):
-        for name in names:
-            fields[name] = F.col(name).cast("string")
-    fields["birthdate"] = F.col("birthdate").cast("string").try_cast("date")
-    fields["plan"] = F.col("plan").cast("string").try_cast("int")
-    return requests.select("request_id", *[value.alias(name) for name, value in fields.items()])
+    texts = [("users", c) for c in _USER_FIELDS]
+    texts += [("member", c) for c in _MEMBER_FIELDS if c != "birthdate"]
+    given = requests.select(
+        "request_id", *[F.col(c).cast("string").alias(c) for c in
+                        [*_USER_FIELDS, *_MEMBER_FIELDS, "plan"]]
+    )
+    return given.select(
+        "request_id",
+        *[stored_text(table, c).alias(c) for table, c in texts],
+        F.col("birthdate").try_cast("date").alias("birthdate"),
+        F.col("plan").try_cast("int").alias("plan"),
+    )
 
 
 def _own_rules(table: str):
@@ -62,50 +66,39 @@ def _first_come(candidates: DataFrame) -> DataFrame:
     Then all that share either with a winner lose, and the rest is looked at again. Most
     batches are decided in one or two rounds; each round decides at least one request.
     """
-    undecided = durable(candidates.select("request_id", "email", "nif"))
-    won = None
+    undecided = durable(candidates.select("arrival", "email", "nif"))
+    won = undecided.limit(0)
     while not undecided.isEmpty():
-        by_email = undecided.groupBy("email").agg(F.min("request_id").alias("request_id"))
-        by_nif = undecided.groupBy("nif").agg(F.min("request_id").alias("request_id"))
-        winners = durable(by_email.join(by_nif, "request_id"))
-        won = winners if won is None else won.unionByName(winners)
+        by_email = undecided.groupBy("email").agg(F.min("arrival").alias("arrival"))
+        by_nif = undecided.groupBy("nif").agg(F.min("arrival").alias("arrival"))
+        winners = durable(by_email.join(by_nif, "arrival").select("arrival", "email", "nif"))
+        won = won.unionByName(winners)
         undecided = durable(
-            undecided.join(winners.select("request_id"), "request_id", "left_anti")
+            undecided.join(winners.select("arrival"), "arrival", "left_anti")
             .join(winners.select("email"), "email", "left_anti")
             .join(winners.select("nif"), "nif", "left_anti")
         )
-    return undecided.drop("nif") if won is None else won.select("request_id", "email")
+    return won.select("arrival", "email")
 
 
 def register_members(t: ClubTables, as_of: AsOf, requests: DataFrame) -> Registration:
-    """Take in sign-up requests in the order of their unique ``request_id``.
+    """Take in sign-up requests in the order of ``request_id``.
 
     An accepted request gives an active user, a member and a subscription of one year. A
     rejected one gives the first reason it meets: email taken, a broken rule of the user,
     of the member, NIF taken, plan unknown.
     """
-    typed = _typed(requests)
-    judged = typed.withColumns(
+    judged = _typed(requests).withColumns(
         {
             "user_rules": failed_rules(_own_rules("users")),
             "member_rules": failed_rules(_own_rules("member")),
         }
-    ).withColumns(
-        {
-            "email": stored_text("users", "email"), "password": stored_text("users", "password"),
-            "name": stored_text("users", "name"),
-            **{
-                c: stored_text("member", c)
-                for c in _MEMBER_FIELDS
-                if TABLES["member"].column(c).max_length
-            },
-        }
     )
     known_email = t["users"].select("email", F.lit(True).alias("email_known"))
     known_nif = t["member"].select("nif", F.lit(True).alias("nif_known"))
     known_plan = t["plan"].select(F.col("planid").alias("plan"), F.lit(True).alias("plan_known"))
     broken = F.concat(F.col("user_rules"), F.col("member_rules"))
-    judged = durable(
+    judged = numbered(
         judged.join(known_email, "email", "left")
         .join(known_nif, "nif", "left")
         .join(known_plan, "plan", "left")
@@ -115,25 +108,27 @@ def register_members(t: ClubTables, as_of: AsOf, requests: DataFrame) -> Registr
             .when(F.size(broken) > 0, broken[0])
             .when(F.col("nif_known"), F.lit(NIF_TAKEN))
             .when(F.col("plan_known").isNull(), F.lit(PLAN_UNKNOWN)),
-        )
+        ),
+        ["request_id", "email"],
+        "arrival",
     )
-    accepted = durable(_first_come(judged.where("reason IS NULL")))
+    accepted = _first_come(judged.where("reason IS NULL"))
 
     # an email that an earlier accepted request took outranks every other reason
-    taken = accepted.select("email", F.col("request_id").alias("taken_by"))
+    taken = accepted.select("email", F.col("arrival").alias("taken_by"))
     rejects = (
-        judged.join(accepted.select("request_id"), "request_id", "left_anti")
+        judged.join(accepted.select("arrival"), "arrival", "left_anti")
         .join(taken, "email", "left")
         .select(
             "request_id",
-            F.when(F.col("taken_by") < F.col("request_id"), F.lit(EMAIL_TAKEN))
+            F.when(F.col("taken_by") < F.col("arrival"), F.lit(EMAIL_TAKEN))
             .otherwise(F.coalesce("reason", F.lit(NIF_TAKEN)))
             .alias("reason"),
         )
     )
 
     rows = numbered(
-        judged.join(accepted.select("request_id"), "request_id", "left_semi"), ["request_id"]
+        judged.join(accepted.select("arrival"), "arrival", "left_semi"), ["arrival"]
     )
     position = F.col("position")
     rows = rows.withColumns(

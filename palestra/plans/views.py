@@ -60,7 +60,7 @@ def _month_activity(t: ClubTables, as_of: AsOf) -> DataFrame:
         t["checkin"].where(F.col("date").between(as_of.month_start(), as_of.today()))
         .groupBy("memberid")
         .agg(
-            F.count("checkinid").alias("checkins"),
+            F.count("*").alias("checkins"),
             total_length(F.col("exittime") - F.col("entrancetime")).alias("stay_us"),
         )
     )
@@ -68,7 +68,7 @@ def _month_activity(t: ClubTables, as_of: AsOf) -> DataFrame:
         t["classbooking"]
         .where(F.col("bookingdate").between(as_of.month_start_timestamp(), as_of.timestamp()))
         .groupBy("memberid")
-        .agg(F.count("bookingid").alias("bookings"))
+        .agg(F.count("*").alias("bookings"))
     )
     unpaid = (
         t["payment"].where(~F.col("ispayed") & (F.col("duedate") >= as_of.month_start()))
