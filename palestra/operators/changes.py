@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palestra.asof import AsOf
+from palestra.operators.joins import Hint, fits, rows_for
 from palestra.sources.schema import REFERENCES, TABLES
 from palestra.sources.tables import ClubTables
 
@@ -40,19 +41,20 @@ def update_rows(
     """Apply changes, at most one row per key, to a stored table.
 
     Returns the new version, in which touched rows carry ``updated_at``, and the changes
-    whose key is unknown.
+    whose key is unknown. The table is only streamed past a small number of changes.
     """
+    hint = Hint(fits(changes))
     columns = [c for c in changes.columns if c != key]
     marked = changes.select(
         key, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_touched")
     )
-    joined = stored.join(marked, key, "left")
+    joined = stored.join(hint(marked), key, "left")
     touched = F.col("_touched").isNotNull()
     for c in columns:
         joined = joined.withColumn(c, F.when(touched, F.col(f"_new_{c}")).otherwise(F.col(c)))
     after = _stamped(joined, touched, as_of).select(*stored.columns)
-    unknown = changes.join(stored.select(key), key, "left_anti")
-    return after, unknown
+    known = rows_for(stored.select(key), changes, [key], hint)
+    return after, changes.join(hint(known), key, "left_anti")
 
 
 def delete_rows(
@@ -65,23 +67,26 @@ def delete_rows(
     """
     key = TABLES[parent].key
     wanted = keys.select(F.col(keys.columns[0]).alias(key)).distinct()
-    present = wanted.join(tables[parent].select(key), key, "left_semi")
+    hint = Hint(fits(wanted))
+    # keys are unique in the parent
+    present = tables[parent].select(key).join(hint(wanted), key, "left_semi")
     children = [r for r in REFERENCES if r.parent == parent]
 
     refused = None
     for ref in (r for r in children if r.on_delete == "restrict"):
-        used = tables[ref.child].select(F.col(ref.column).alias(key)).distinct()
-        held = present.join(used, key, "left_semi").withColumn("held_by", F.lit(ref.child))
+        users = tables[ref.child].select(F.col(ref.column).alias(key))
+        held = rows_for(users, present, [key], hint).distinct()
+        held = held.withColumn("held_by", F.lit(ref.child))
         refused = held if refused is None else refused.unionByName(held)
     if refused is None:
         refused, deleted = present.withColumn("held_by", F.lit("")).where(F.lit(False)), present
     else:
-        deleted = present.join(refused.select(key).distinct(), key, "left_anti")
+        deleted = present.join(hint(refused.select(key).distinct()), key, "left_anti")
 
-    frames = {parent: tables[parent].join(deleted, key, "left_anti")}
+    frames = {parent: tables[parent].join(hint(deleted), key, "left_anti")}
     for ref in (r for r in children if r.on_delete == "set null"):
         gone = deleted.select(F.col(key).alias(ref.column), F.lit(True).alias("_gone"))
-        child = tables[ref.child].join(gone, ref.column, "left")
+        child = tables[ref.child].join(hint(gone), ref.column, "left")
         cleared = F.col("_gone").isNotNull()
         child = child.withColumn(ref.column, F.when(~cleared, F.col(ref.column)))
         frames[ref.child] = _stamped(child, cleared, as_of).select(*TABLES[ref.child].names)
@@ -97,14 +102,17 @@ def change_keys(
     unknown or asked for twice, or its new key is in use or asked for twice.
     """
     table = TABLES[parent]
+    hint = Hint(fits(renames))
+    once = renames
+    for column in ("old_key", "new_key"):
+        asked = renames.groupBy(column).agg(F.count("*").alias("_n")).where("_n = 1")
+        once = once.join(asked.select(column), column, "left_semi")
     keys = tables[parent].select(table.key)
-    once_old = renames.groupBy("old_key").agg(F.count("*").alias("_n")).where("_n = 1")
-    once_new = renames.groupBy("new_key").agg(F.count("*").alias("_n")).where("_n = 1")
+    found = rows_for(keys.toDF("old_key"), renames, ["old_key"], hint)
+    clash = rows_for(keys.toDF("new_key"), renames, ["new_key"], hint)
     good = (
-        renames.join(once_old, "old_key", "left_semi")
-        .join(once_new, "new_key", "left_semi")
-        .join(keys.withColumnRenamed(table.key, "old_key"), "old_key", "left_semi")
-        .join(keys.withColumnRenamed(table.key, "new_key"), "new_key", "left_anti")
+        once.join(hint(found), "old_key", "left_semi")
+        .join(hint(clash), "new_key", "left_anti")
         .select("old_key", "new_key")
     )
     refused = renames.join(good, ["old_key", "new_key"], "left_anti")
@@ -113,7 +121,7 @@ def change_keys(
     targets = [(parent, table.key)] + [(r.child, r.column) for r in REFERENCES if r.parent == parent]
     for name, column in targets:
         moved = good.select(F.col("old_key").alias(column), "new_key")
-        df = tables[name].join(moved, column, "left")
+        df = tables[name].join(hint(moved), column, "left")
         touched = F.col("new_key").isNotNull()
         kind = TABLES[name].column(column).spark_type
         df = df.withColumn(column, F.coalesce(F.col("new_key").cast(kind), F.col(column)))

@@ -25,6 +25,12 @@ class Hint:
         return F.broadcast(df) if self.small else df
 
 
+def rows_for(stored: DataFrame, batch: DataFrame, on: list[str], hint: Hint) -> DataFrame:
+    """The rows of a large table whose key occurs in a batch. The table is only streamed
+    past a batch that is small."""
+    return stored.join(hint(batch.select(*on).distinct()), on, "left_semi")
+
+
 def split_left_join(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """A left outer join in two parts, for a right side on which one key may own a large
     share of the rows: left rows with their partners, and left rows that have none.

@@ -29,25 +29,26 @@ CHECKINS_SHOWN = 100
 
 
 def for_users(t: ClubTables, users) -> ClubTables:
-    """The tables cut down to some users' memberships.
+    """The tables cut down to some users: their member and instructor rows, and what
+    belongs to those members.
 
-    A user has at most one member row and a member at most two subscriptions, so for few
-    users the member keys are few and the large tables are filtered in place. For many,
-    the large tables stay whole and the later join with the members selects the rows.
+    A user has at most one row of each kind and a member at most two subscriptions, so for
+    few users the keys are few and the large tables are filtered in place. For many, the
+    large tables stay whole and their joins with the members select the rows.
     """
     if isinstance(users, DataFrame):
         users = users.distinct()
         hint = Hint(fits(users))
-        member = only_users(t["member"], hint(users))
+        users = hint(users)
     else:
         hint = Hint(True)
-        member = only_users(t["member"], users)
+    member = hint(only_users(t["member"], users))
+    people = t.with_tables(member=member, instructor=hint(only_users(t["instructor"], users)))
     if not hint.small:
-        return t.with_tables(member=member)
+        return people
     memberids = hint(member.select("memberid"))
     subscription = t["membersubscription"].join(memberids, "memberid", "left_semi")
-    return t.with_tables(
-        member=member,
+    return people.with_tables(
         membersubscription=subscription,
         checkin=t["checkin"].join(memberids, "memberid", "left_semi"),
         classbooking=t["classbooking"].join(memberids, "memberid", "left_semi"),
@@ -89,7 +90,7 @@ def month_summary(t: ClubTables, as_of: AsOf, users) -> DataFrame:
     """This month's figures as the member's home page shows them."""
     stats = views.member_stats_month(for_users(t, users), as_of)
     due = F.when(F.col("next_payment").isNotNull(), F.col("payment_price"))
-    return only_users(stats, users).select(
+    return stats.select(
         "userid",
         F.col("checkin_count").alias("recent_checkins"),
         F.col("class_bookings").alias("month_classes_frequented"),
@@ -102,7 +103,7 @@ def month_summary(t: ClubTables, as_of: AsOf, users) -> DataFrame:
 def booked_classes(t: ClubTables, as_of: AsOf, users) -> DataFrame:
     """Classes from today on that the users have booked."""
     booked, _ = views.schedule_bookings(for_users(t, users), as_of)
-    return only_users(booked, users).select(
+    return booked.where("userid IS NOT NULL").select(
         "userid", "class_name", "date", "starttime", "endtime", "room", "instructor_name"
     )
 
@@ -124,29 +125,29 @@ def bookable_classes(t: ClubTables, as_of: AsOf, users) -> DataFrame:
 
 def account_details(t: ClubTables, as_of: AsOf, users) -> DataFrame:
     """One profile row per user, with the nearest payment."""
-    details = only_users(views.member_account_details(for_users(t, users), as_of), users)
+    details = views.member_account_details(for_users(t, users), as_of)
     return _first_per_user(details, users, lowest_first("memberid", "next_payment_date"), 1)
 
 
 def last_payments(t: ClubTables, as_of: AsOf, users, k: int = PAYMENTS_SHOWN) -> DataFrame:
-    rows = only_users(views.payment_history_rows(for_users(t, users), as_of), users)
+    rows = views.payment_history_rows(for_users(t, users), as_of)
     order = newest_first("payment_date") + lowest_first("paymentid")
     return _first_per_user(rows, users, order, k)
 
 
 def last_visits(t: ClubTables, as_of: AsOf, users, k: int = VISITS_SHOWN) -> DataFrame:
-    rows = only_users(views.checkin_history_rows(for_users(t, users), as_of), users)
+    rows = views.checkin_history_rows(for_users(t, users), as_of)
     order = newest_first("checkin_date", "entrancetime") + lowest_first("checkinid")
     return _first_per_user(rows, users, order, k)
 
 
 def instructor_profile(t: ClubTables, as_of: AsOf, users) -> DataFrame:
-    found = only_users(views.instructor_info(t, as_of), users)
+    found = views.instructor_info(for_users(t, users), as_of)
     return _first_per_user(found, users, lowest_first("instructorid"), 1)
 
 
 def taught_classes(t: ClubTables, as_of: AsOf, users) -> DataFrame:
-    return only_users(views.instructor_classes(t, as_of), users).select(
+    return views.instructor_classes(for_users(t, users), as_of).select(
         "userid", "classid", "name", "room", "capacity", "duration_minutes"
     )
 
@@ -154,7 +155,7 @@ def taught_classes(t: ClubTables, as_of: AsOf, users) -> DataFrame:
 def taught_schedules(t: ClubTables, as_of: AsOf, users) -> DataFrame:
     """Schedules of the instructors' classes by date and start."""
     return (
-        only_users(views.class_schedules(t, as_of), users)
+        views.class_schedules(for_users(t, users), as_of)
         .select("userid", "classscheduleid", "name", "date", "starttime", "endtime",
                 "maxparticipants", "room")
         .orderBy(*lowest_first("date", "starttime", "classscheduleid"))

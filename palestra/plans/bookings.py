@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from palestra.asof import AsOf
 from palestra.operators.changes import with_defaults
-from palestra.operators.checks import without_stored
+from palestra.operators.joins import Hint, fits, rows_for
 from palestra.operators.numbering import highest_key, numbered
 from palestra.plans.parts import member_users
+from palestra.session import durable
 from palestra.sources.tables import ClubTables
 
 MEMBER_UNKNOWN = "Member not found for user ID "
@@ -31,22 +32,25 @@ def book_classes(t: ClubTables, as_of: AsOf, requests: DataFrame) -> Bookings:
 
     Places, date and activity of the class are not checked: a class can be overbooked.
     """
-    members = member_users(t).where("userid IS NOT NULL")
-    schedules = t["classschedule"].select(
-        "classscheduleid", F.lit(True).alias("schedule_known")
+    arrivals = numbered(
+        requests, ["requested_at", "request_id", "userid", "classscheduleid"], "arrival"
     )
-    judged = numbered(
-        requests.join(members, "userid", "left")
-        .join(schedules, "classscheduleid", "left")
+    # users and schedules are unique in store, so a small batch finds few of them
+    hint = Hint(fits(arrivals))
+    members = rows_for(member_users(t), arrivals, ["userid"], hint)
+    schedules = rows_for(
+        t["classschedule"].select("classscheduleid"), arrivals, ["classscheduleid"], hint
+    )
+    judged = durable(
+        arrivals.join(hint(members), "userid", "left")
+        .join(hint(schedules.withColumn("schedule_known", F.lit(True))), "classscheduleid", "left")
         .withColumn(
             "reason",
             F.when(
                 F.col("memberid").isNull(),
                 F.concat_ws("", F.lit(MEMBER_UNKNOWN), F.col("userid").cast("string")),
             ).when(F.col("schedule_known").isNull(), F.lit(SCHEDULE_UNKNOWN)),
-        ),
-        ["requested_at", "request_id", "userid", "classscheduleid"],
-        "arrival",
+        )
     )
     # the earliest request of each pair, pre-aggregated, then without the pairs in store
     pair = ["memberid", "classscheduleid"]
@@ -55,7 +59,8 @@ def book_classes(t: ClubTables, as_of: AsOf, requests: DataFrame) -> Bookings:
         .agg(F.min(F.struct("arrival", "requested_at")).alias("first"))
         .select(*pair, "first.arrival", "first.requested_at")
     )
-    accepted = numbered(without_stored(first, t["classbooking"], pair), ["arrival"])
+    stored = rows_for(t["classbooking"].select(*pair), first, pair, hint)
+    accepted = numbered(first.join(hint(stored), pair, "left_anti"), ["arrival"])
     rejects = judged.join(accepted.select("arrival"), "arrival", "left_anti").select(
         "request_id", "userid", "classscheduleid", "requested_at",
         F.coalesce("reason", F.lit(ALREADY_BOOKED)).alias("reason"),

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from palestra.asof import AsOf
 from palestra.operators.changes import update_rows
+from palestra.operators.joins import Hint, fits, rows_for
+from palestra.session import durable
 from palestra.sources.tables import ClubTables
 
 
@@ -21,11 +23,12 @@ class Logins:
 def apply_logins(t: ClubTables, as_of: AsOf, events: DataFrame) -> Logins:
     """Set each user's last login from events (``userid``, ``logged_in_at``). A batch that comes late
     or twice never moves a login back. Unknown users are rejected."""
-    latest = events.groupBy("userid").agg(F.max("logged_in_at").alias("latest"))
+    latest = durable(events.groupBy("userid").agg(F.max("logged_in_at").alias("latest")))
+    hint = Hint(fits(latest))
     before = t["users"].select("userid", F.col("last_login").alias("before"))
-    changes = latest.join(before, "userid", "left").select(
-        "userid", F.greatest("latest", "before").alias("last_login")
-    )
+    changes = latest.join(
+        hint(rows_for(before, latest, ["userid"], hint)), "userid", "left"
+    ).select("userid", F.greatest("latest", "before").alias("last_login"))
     users, unknown = update_rows(t["users"], "userid", changes, as_of)
     reason = F.concat(F.lit("User with ID "), F.col("userid").cast("string"), F.lit(" not found"))
     return Logins(users, unknown.select("userid", reason.alias("reason")))

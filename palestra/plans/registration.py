@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palestra.asof import AsOf
 from palestra.operators.changes import with_defaults
 from palestra.operators.checks import failed_rules
+from palestra.operators.joins import Hint, fits, rows_for
 from palestra.operators.numbering import highest_key, numbered
 from palestra.plans.club_rules import rules_of, stored_text
 from palestra.session import durable
@@ -88,29 +89,35 @@ def register_members(t: ClubTables, as_of: AsOf, requests: DataFrame) -> Registr
     rejected one gives the first reason it meets: email taken, a broken rule of the user,
     of the member, NIF taken, plan unknown.
     """
-    judged = _typed(requests).withColumns(
-        {
-            "user_rules": failed_rules(_own_rules("users")),
-            "member_rules": failed_rules(_own_rules("member")),
-        }
+    arrivals = numbered(
+        _typed(requests).withColumns(
+            {
+                "user_rules": failed_rules(_own_rules("users")),
+                "member_rules": failed_rules(_own_rules("member")),
+            }
+        ),
+        ["request_id", "email"],
+        "arrival",
+    )
+    # emails and NIFs are unique in store, so a small batch finds few of them
+    hint = Hint(fits(arrivals))
+    known_email = rows_for(t["users"].select("email"), arrivals, ["email"], hint)
+    known_nif = rows_for(t["member"].select("nif"), arrivals, ["nif"], hint)
+    known_plan = rows_for(
+        t["plan"].select(F.col("planid").alias("plan")), arrivals, ["plan"], hint
     )
-    known_email = t["users"].select("email", F.lit(True).alias("email_known"))
-    known_nif = t["member"].select("nif", F.lit(True).alias("nif_known"))
-    known_plan = t["plan"].select(F.col("planid").alias("plan"), F.lit(True).alias("plan_known"))
     broken = F.concat(F.col("user_rules"), F.col("member_rules"))
-    judged = numbered(
-        judged.join(known_email, "email", "left")
-        .join(known_nif, "nif", "left")
-        .join(known_plan, "plan", "left")
+    judged = durable(
+        arrivals.join(hint(known_email.withColumn("email_known", F.lit(True))), "email", "left")
+        .join(hint(known_nif.withColumn("nif_known", F.lit(True))), "nif", "left")
+        .join(hint(known_plan.withColumn("plan_known", F.lit(True))), "plan", "left")
         .withColumn(
             "reason",
             F.when(F.col("email_known"), F.lit(EMAIL_TAKEN))
             .when(F.size(broken) > 0, broken[0])
             .when(F.col("nif_known"), F.lit(NIF_TAKEN))
             .when(F.col("plan_known").isNull(), F.lit(PLAN_UNKNOWN)),
-        ),
-        ["request_id", "email"],
-        "arrival",
+        )
     )
     accepted = _first_come(judged.where("reason IS NULL"))
 

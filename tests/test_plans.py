@@ -6,7 +6,6 @@ import io
 import pytest
 from conftest import HOUR
 
-import __spark_entry__ as club
 from palestra.plans import app_queries as app
 from palestra.plans import views
 from palestra.sources.fixture import FIXTURE_AS_OF, mapped_tables
@@ -46,12 +45,6 @@ def stored(spark, tmp_path_factory):
     return read_tables(spark, root)
 
 
-@pytest.mark.parametrize("name", list(club.queries()))
-def test_no_cross_product(spark, name):
-    text = plan(club.queries()[name](spark, SMALL))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-
-
 def test_stored_tables_read_back(spark, stored):
     mapped = mapped_tables(spark, SMALL)
     for name in ("checkin", "classschedule", "payment"):
