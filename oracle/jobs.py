@@ -3,8 +3,7 @@
 from oracle.mapping import sql
 
 _ACCEPTED = """
-    SELECT q.*, row_number() OVER (ORDER BY request_id) AS n
-    FROM r_signup q
+    SELECT * FROM (SELECT *, row_number() OVER (ORDER BY request_id) AS n FROM r_signup)
     WHERE email NOT IN (SELECT email FROM g_users) AND plan IN (SELECT planid FROM g_plan)
 """
 _NEXT_USER = "(SELECT max(userid) FROM g_users)"
@@ -20,11 +19,14 @@ _JUDGED = """
            EXISTS (SELECT 1 FROM g_classbooking b
                    WHERE b.memberid = g.memberid AND b.classscheduleid = q.classscheduleid
                      AND b.bookingdate <= $now) AS stored
-    FROM r_booking q LEFT JOIN g_member g USING (userid)
+    FROM (SELECT *, row_number() OVER (
+              ORDER BY requested_at, request_id, userid, classscheduleid) AS n
+          FROM r_booking) q
+    LEFT JOIN g_member g USING (userid)
 """
 _RANKED = f"""
     SELECT *, row_number() OVER (PARTITION BY memberid, classscheduleid, possible
-                                 ORDER BY requested_at, request_id) AS turn
+                                 ORDER BY n) AS turn
     FROM ({_JUDGED})
 """
 
@@ -55,8 +57,8 @@ BODIES = {
         WHERE email IN (SELECT email FROM g_users) OR plan NOT IN (SELECT planid FROM g_plan)
     """,
     "m02_new_bookings": f"""
-        SELECT (SELECT max(bookingid) FROM g_classbooking WHERE bookingdate <= $now)
-                   + row_number() OVER (ORDER BY requested_at, request_id) AS bookingid,
+        SELECT n + (SELECT max(bookingid) FROM g_classbooking WHERE bookingdate <= $now)
+                   AS bookingid,
                memberid, classscheduleid, requested_at AS bookingdate, {_STAMPS}
         FROM ({_RANKED}) WHERE possible AND NOT stored AND turn = 1
     """,

@@ -21,30 +21,33 @@ class RowRule:
     condition: Callable[[], Column]
 
 
-def _holds(rule: RowRule) -> Column:
-    return F.coalesce(rule.condition(), F.lit(True))
+def _breaks(rule: RowRule) -> Column:
+    """TRUE if the row breaks the rule; otherwise FALSE or NULL."""
+    return ~rule.condition()
 
 
-def passes(rules: list[RowRule]) -> Column:
-    """Whether a row breaks none of the rules."""
-    return reduce(Column.__and__, [_holds(rule) for rule in rules], F.lit(True))
+def breaks_any(rules: list[RowRule]) -> Column:
+    """Whether a row breaks at least one of the rules."""
+    return F.coalesce(
+        reduce(Column.__or__, [_breaks(rule) for rule in rules], F.lit(False)), F.lit(False)
+    )
 
 
 def failed_rules(rules: list[RowRule]) -> Column:
     """The names of the rules a row breaks, as an array."""
-    return F.array_compact(F.array(*[F.when(~_holds(r), F.lit(r.rule)) for r in rules]))
+    return F.array_compact(F.array(*[F.when(_breaks(r), F.lit(r.rule)) for r in rules]))
 
 
 def check(df: DataFrame, rules: list[RowRule]) -> tuple[DataFrame, DataFrame]:
     """Split rows into valid ones and rejects; rejects list their broken ``rules``."""
-    ok = passes(rules)
-    return df.where(ok), df.where(~ok).withColumn("rules", failed_rules(rules))
+    broken = breaks_any(rules)
+    return df.where(~broken), df.where(broken).withColumn("rules", failed_rules(rules))
 
 
 def row_violations(df: DataFrame, table: str, rules: list[RowRule]) -> DataFrame:
     """One line per broken rule and row. Sound rows only meet the filter; the rules are
     told apart on the others."""
-    return df.where(~passes(rules)).select(
+    return df.where(breaks_any(rules)).select(
         F.lit(table).alias("table_name"),
         F.explode(failed_rules(rules)).alias("rule"),
         F.col(TABLES[table].key).cast("bigint").alias("row_id"),
@@ -114,7 +117,7 @@ def row_counts(df: DataFrame, table: str, rules: list[RowRule]) -> DataFrame:
     counts = df.agg(
         F.array(
             *[
-                F.struct(F.lit(r.rule).alias("rule"), F.count_if(~_holds(r)).alias("broken"))
+                F.struct(F.lit(r.rule).alias("rule"), F.count_if(_breaks(r)).alias("broken"))
                 for r in rules
             ]
         ).alias("counts")

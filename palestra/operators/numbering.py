@@ -13,17 +13,19 @@ _ROW_BITS = 33
 def numbered(df: DataFrame, order: list[str], column: str = "position") -> DataFrame:
     """Add 1, 2, 3, ... in the given order, which should end in a unique column.
 
-    The rows are cut into ranges and stored, so that numbering never depends on which
-    task ran when. Only one count per range goes through a single task.
+    The rows are cut into ranges, placed within their range and stored, so that a number
+    never depends on which task ran when. Only one count per range goes through a single
+    task. Rows that share all order columns but the last are still cut apart.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = durable(df.repartitionByRange(parts, *order).sortWithinPartitions(*order))
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
     # within a partition monotonically_increasing_id counts rows in its low bits
-    placed = rows.withColumns(
-        {
-            "_part": F.spark_partition_id(),
-            "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1)),
-        }
+    placed = durable(
+        ranges.withColumns(
+            {
+                "_part": F.spark_partition_id(),
+                "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1)),
+            }
+        )
     )
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

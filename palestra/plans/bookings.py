@@ -60,13 +60,14 @@ def book_classes(t: ClubTables, as_of: AsOf, requests: DataFrame) -> Bookings:
         .select(*pair, "first.arrival", "first.requested_at")
     )
     stored = rows_for(t["classbooking"].select(*pair), first, pair, hint)
-    accepted = numbered(first.join(hint(stored), pair, "left_anti"), ["arrival"])
+    accepted = durable(first.join(hint(stored), pair, "left_anti"))
     rejects = judged.join(accepted.select("arrival"), "arrival", "left_anti").select(
         "request_id", "userid", "classscheduleid", "requested_at",
         F.coalesce("reason", F.lit(ALREADY_BOOKED)).alias("reason"),
     )
+    # as with a sequence, a rejected request leaves a gap in the keys
     rows = accepted.select(
-        (F.col("position") + highest_key(t["classbooking"], "bookingid")).alias("bookingid"),
+        (F.col("arrival") + highest_key(t["classbooking"], "bookingid")).alias("bookingid"),
         *pair, F.col("requested_at").alias("bookingdate"),
     )
     return Bookings(with_defaults(rows, "classbooking", as_of), rejects)

@@ -134,15 +134,13 @@ def register_members(t: ClubTables, as_of: AsOf, requests: DataFrame) -> Registr
         )
     )
 
-    rows = numbered(
-        judged.join(accepted.select("arrival"), "arrival", "left_semi"), ["arrival"]
-    )
-    position = F.col("position")
-    rows = rows.withColumns(
+    # as with a sequence, a rejected request leaves a gap in the keys
+    arrival = F.col("arrival")
+    rows = judged.join(accepted.select("arrival"), "arrival", "left_semi").withColumns(
         {
-            "userid": position + highest_key(t["users"], "userid"),
-            "memberid": position + highest_key(t["member"], "memberid"),
-            "subscriptionid": position + highest_key(t["membersubscription"], "subscriptionid"),
+            "userid": arrival + highest_key(t["users"], "userid"),
+            "memberid": arrival + highest_key(t["member"], "memberid"),
+            "subscriptionid": arrival + highest_key(t["membersubscription"], "subscriptionid"),
         }
     )
     users = rows.select(

@@ -26,8 +26,7 @@ from palestra.sources.tables import ClubTables
 
 def user_authentication(t: ClubTables, as_of: AsOf) -> DataFrame:
     """Active users with the label of their type."""
-    # user types are limited to three labels by their own rule
-    types = F.broadcast(t["usertype"].select("usertypeid", F.col("label").alias("user_type_label")))
+    types = t["usertype"].select("usertypeid", F.col("label").alias("user_type_label"))
     return (
         t["users"].where("isactive")
         .join(types, "usertypeid")

@@ -1,8 +1,9 @@
-"""Session settings and durable checkpoints."""
+"""Session settings and durable intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,20 +32,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     return builder.getOrCreate()
 
 
-def _checkpoint_folder(spark: SparkSession) -> str:
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: what ``spark.checkpoint.dir`` names, or
+    the context's checkpoint folder. Only a one-machine session may fall back to its own
+    temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if folder:
-        return folder
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="palestra-checkpoint-")
-    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        return folder.rstrip("/")
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="palestra-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so lost executors cost no recomputation
-    and later steps see the same rows in the same partitions."""
+    """Cut the lineage with a table in the shared folder. Lost executors then cost no
+    recomputation, later steps see the same rows, and they read only the columns they use."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(_checkpoint_folder(spark))
-    return df.checkpoint()
+    path = f"{scratch_folder(spark)}/palestra-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

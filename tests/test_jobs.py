@@ -62,15 +62,15 @@ def test_signup_reasons(spark, stored):
     assert reasons == {k: reason for k, (_, reason) in cases.items() if reason}
     users = sorted(dicts(done.users), key=lambda r: r["userid"])
     assert [(u["userid"], u["email"], u["usertypeid"], u["isactive"]) for u in users] == [
-        (8, "a@x.pt", 3, True), (9, "A@x.pt", 3, True)]
+        (8, "a@x.pt", 3, True), (22, "A@x.pt", 3, True)]
     assert users[1]["name"] == "n" * 120 and users[0]["created_at"] == NOW.ts
     members = sorted(dicts(done.member), key=lambda r: r["memberid"])
     assert [(m["memberid"], m["userid"], m["nif"]) for m in members] == [
-        (5, 8, "200000001"), (6, 9, "200000015")]
+        (5, 8, "200000001"), (19, 22, "200000015")]
     assert members[0]["registrationdate"] == NOW.date
     subscriptions = sorted(dicts(done.membersubscription), key=lambda r: r["subscriptionid"])
     assert [(s["subscriptionid"], s["memberid"], s["planid"]) for s in subscriptions] == [
-        (10, 5, 2), (11, 6, 2)]
+        (10, 5, 2), (24, 19, 2)]
     # one year after 29 February
     assert subscriptions[0]["startdate"] == NOW.date
     assert subscriptions[0]["enddate"] == day("2025-02-28")
@@ -86,17 +86,16 @@ def test_signups_one_after_the_other(spark, stored, seed):
     # a chain in which each request shares something with the next
     rows += [signup(2000 + i, f"c{(i + 1) // 2}@x.pt", f"4{i // 2:08}") for i in range(12)]
     emails, nifs, accepted = set(), set(), []
-    for row in sorted(rows):
+    for arrival, row in enumerate(sorted(rows), start=1):
         if row[3] not in emails and row[4] not in nifs:
             emails.add(row[3])
             nifs.add(row[4])
-            accepted.append(row)
+            accepted.append((7 + arrival, row[3], row[4]))
     done = register_members(stored, NOW, local(spark, SIGNUP, rows))
     users = sorted(dicts(done.users), key=lambda r: r["userid"])
-    assert [u["email"] for u in users] == [row[3] for row in accepted]
-    assert [u["userid"] for u in users] == list(range(8, 8 + len(accepted)))
+    assert [(u["userid"], u["email"]) for u in users] == [(key, email) for key, email, _ in accepted]
     members = sorted(dicts(done.member), key=lambda r: r["memberid"])
-    assert [m["nif"] for m in members] == [row[4] for row in accepted]
+    assert [m["nif"] for m in members] == [nif for _, _, nif in accepted]
     assert done.rejects.count() == len(rows) - len(accepted)
 
 
