@@ -26,7 +26,7 @@ BODIES = {
         FROM m a LEFT JOIN m b ON b.month = CAST(a.month - INTERVAL 1 MONTH AS DATE)
     """,
     "x02_payment_states": f"""
-        SELECT state, sum(payment_amount) AS amount, count(*) AS payments,
+        SELECT state, CAST(sum(payment_amount) AS DECIMAL(20,2)) AS amount, count(*) AS payments,
                count(DISTINCT memberid) AS members
         FROM (SELECT payment_status AS state, payment_amount, memberid
               FROM ({VIEWS["v20_member_payment_history"]}) WHERE payment_status <> 'Pago'
@@ -56,11 +56,12 @@ BODIES = {
     "x06_plan_performance": f"""
         SELECT plan_name AS plan, min(monthlyprice) AS price, count(*) AS members,
                count(*) FILTER (startdate BETWEEN $month AND $today) AS new_members,
-               sum(monthlyprice) AS monthly_income
+               CAST(sum(monthlyprice) AS DECIMAL(20,2)) AS monthly_income
         FROM ({_PLAN_MEMBERS}) GROUP BY plan_name
         UNION ALL
         SELECT 'Total', NULL, count(*),
-               count(*) FILTER (startdate BETWEEN $month AND $today), sum(monthlyprice)
+               count(*) FILTER (startdate BETWEEN $month AND $today),
+               CAST(sum(monthlyprice) AS DECIMAL(20,2))
         FROM ({_PLAN_MEMBERS})
     """,
     "x07_machines_per_status": """
@@ -111,7 +112,7 @@ BODIES = {
     """,
 }
 _REVENUE = """(
-    SELECT CAST(date_trunc('month', paymentdate) AS DATE) AS month, sum(amount) AS revenue
+    SELECT CAST(date_trunc('month', paymentdate) AS DATE) AS month, CAST(sum(amount) AS DECIMAL(20,2)) AS revenue
     FROM g_payment WHERE ispayed AND paymentdate IS NOT NULL GROUP BY 1)"""
 BODIES["x01_monthly_revenue"] = (
     BODIES["x01_monthly_revenue"]

@@ -114,15 +114,9 @@ def _counted(rows: DataFrame, table: str, rule: str, surplus: Column) -> DataFra
 
 def row_counts(df: DataFrame, table: str, rules: list[RowRule]) -> DataFrame:
     """How many rows break each rule, in one pass that sends one row per task."""
-    counts = df.agg(
-        F.array(
-            *[
-                F.struct(F.lit(r.rule).alias("rule"), F.count_if(_breaks(r)).alias("broken"))
-                for r in rules
-            ]
-        ).alias("counts")
-    )
-    return counts.select(F.inline("counts")).select(
+    names = [r.rule for r in rules]
+    counts = df.agg(*[F.count_if(_breaks(r)).alias(r.rule) for r in rules])
+    return counts.unpivot([], names, "rule", "broken").select(
         F.lit(table).alias("table_name"), "rule", "broken"
     )
 

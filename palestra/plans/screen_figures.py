@@ -215,15 +215,13 @@ def find_payments(
     plan: str | None = None, since=None, until=None,
 ) -> DataFrame:
     """Payments with their state, by payer's name, state, plan and due date."""
-    states = views.payment_history_rows(t, as_of).select("paymentid", "payment_status", "memberid")
-    rows = views.payments(t, as_of)
+    rows = views.payments_with_state(t, as_of)
     if plan:
         rows = rows.where(F.col("plan_name") == F.lit(plan))
     if since is not None:
         rows = rows.where(F.col("duedate") >= F.lit(since))
     if until is not None:
         rows = rows.where(F.col("duedate") <= F.lit(until))
-    rows = rows.join(states, "paymentid")
     if status:
         rows = rows.where(F.col("payment_status") == F.lit(status))
     if text:

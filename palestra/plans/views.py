@@ -240,19 +240,32 @@ def machines(t: ClubTables, as_of: AsOf) -> DataFrame:
     )
 
 
-def payments(t: ClubTables, as_of: AsOf) -> DataFrame:
-    """Payments with the names of member and plan."""
+def payment_rows(t: ClubTables) -> DataFrame:
+    """Payments with member, member's name and plan."""
     payers = (
         t["membersubscription"].select("subscriptionid", "memberid", "planid")
         .join(member_names(t), "memberid")
         .join(t["plan"].select("planid", F.col("name").alias("plan_name")), "planid")
-        .select("subscriptionid", F.col("user_name").alias("member_name"), "plan_name")
-    )
-    return (
-        t["payment"].join(payers, "subscriptionid")
-        .select("paymentid", "member_name", "plan_name", "amount", "duedate", "paymentdate",
-                "ispayed", "paymentmethod")
+        .select("subscriptionid", "memberid", F.col("user_name").alias("member_name"), "plan_name")
     )
+    return t["payment"].join(payers, "subscriptionid")
+
+
+_PAYMENT_COLUMNS = [
+    "paymentid", "member_name", "plan_name", "amount", "duedate", "paymentdate", "ispayed",
+    "paymentmethod",
+]
+
+
+def payments(t: ClubTables, as_of: AsOf) -> DataFrame:
+    """Payments with the names of member and plan."""
+    return payment_rows(t).select(*_PAYMENT_COLUMNS)
+
+
+def payments_with_state(t: ClubTables, as_of: AsOf) -> DataFrame:
+    """The same with the payment's state and its member."""
+    status = payment_status(F.col("ispayed"), F.col("duedate"), as_of.today())
+    return payment_rows(t).select(*_PAYMENT_COLUMNS, status.alias("payment_status"), "memberid")
 
 
 def plans(t: ClubTables, as_of: AsOf) -> DataFrame:

@@ -87,6 +87,11 @@ class SnapshotStore:
             self.spark, {n: (lambda n=n: self._read(n, lines)) for n in TABLES}
         )
 
+    def compact(self, *names: str) -> None:
+        """Rewrite tables that many appends have left in many folders."""
+        lines = self._lines()
+        self.publish(replace={name: self._read(name, lines) for name in names})
+
     def extra(self, name: str) -> DataFrame:
         """Rows published under a name that is not one of the club's tables."""
         return self._read(name, self._lines())

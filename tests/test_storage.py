@@ -34,6 +34,8 @@ def test_versions_replace_and_append(spark, store):
     before = store.tables()
     store.publish(append={"checkin": frame(spark, "checkin", [visit(2, "2024-02-02")])})
     assert sorted(r["checkinid"] for r in dicts(store.tables()["checkin"])) == [1, 2]
+    store.compact("checkin")
+    assert sorted(r["checkinid"] for r in dicts(store.tables()["checkin"])) == [1, 2]
     # a reader keeps the version it opened
     assert before["checkin"].count() == 1
     store.publish(replace={"checkin": frame(spark, "checkin", [visit(3, "2024-02-03")])})
