@@ -118,7 +118,8 @@ def change_keys(
     refused = renames.join(good, ["old_key", "new_key"], "left_anti")
 
     frames = {}
-    targets = [(parent, table.key)] + [(r.child, r.column) for r in REFERENCES if r.parent == parent]
+    children = [(r.child, r.column) for r in REFERENCES if r.parent == parent]
+    targets = [(parent, table.key), *children]
     for name, column in targets:
         moved = good.select(F.col("old_key").alias(column), "new_key")
         df = tables[name].join(hint(moved), column, "left")

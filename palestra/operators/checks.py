@@ -106,9 +106,9 @@ def reference_violations(child: DataFrame, ref: Reference, parent: DataFrame) ->
     )
 
 
-def _counted(rows: DataFrame, table: str, rule: str, surplus: Column) -> DataFrame:
-    return rows.agg(F.coalesce(F.sum(surplus), F.lit(0)).alias("broken")).select(
-        F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), "broken"
+def _counted(groups: DataFrame, table: str, rule: str, surplus: Column) -> DataFrame:
+    return groups.select(
+        F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), surplus.alias("broken")
     )
 
 
@@ -122,14 +122,16 @@ def row_counts(df: DataFrame, table: str, rules: list[RowRule]) -> DataFrame:
 
 
 def unique_counts(df: DataFrame, table: str, columns: tuple[str, ...]) -> DataFrame:
-    """How many rows are later holders of a value, from the size of each value's group."""
+    """How many rows are later holders of a value, one line per value with any; from the
+    size of each value's group."""
     filled = df.where(" AND ".join(f"{c} IS NOT NULL" for c in columns))
-    groups = filled.groupBy(*columns).agg(F.count("*").alias("_n"))
+    groups = filled.groupBy(*columns).agg(F.count("*").alias("_n")).where("_n > 1")
     return _counted(groups, table, "unique:" + "+".join(columns), F.col("_n") - 1)
 
 
 def reference_counts(child: DataFrame, ref: Reference, parent: DataFrame) -> DataFrame:
-    """How many rows point at a missing parent; only distinct pointers are shuffled."""
+    """How many rows point at a missing parent, one line per such parent; only distinct
+    pointers are shuffled."""
     pointers = (
         child.where(F.col(ref.column).isNotNull())
         .groupBy(ref.column).agg(F.count("*").alias("_n"))

@@ -20,7 +20,13 @@ from palestra.functions.display import (
 from palestra.operators.joins import Hint, fits, only_users, pair_with_all
 from palestra.operators.ranking import first_per_group, first_rows, latest_rows
 from palestra.plans import views
-from palestra.plans.parts import lowest_first, member_users, newest_first, open_classes, without_booked
+from palestra.plans.parts import (
+    lowest_first,
+    member_users,
+    newest_first,
+    open_classes,
+    without_booked,
+)
 from palestra.sources.tables import ClubTables
 
 PAYMENTS_SHOWN = 10

@@ -147,4 +147,5 @@ def rule_counts(t: ClubTables) -> DataFrame:
         for columns in table.unique
     ]
     counts += [reference_counts(t[r.child], r, t[r.parent]) for r in REFERENCES]
-    return _union(counts).where("broken > 0")
+    total = _union(counts).groupBy("table_name", "rule").agg(F.sum("broken").alias("broken"))
+    return total.where("broken > 0")

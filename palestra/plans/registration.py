@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ EMAIL_TAKEN = "Este email já está registado."
 NIF_TAKEN = "NIF already registered"
 PLAN_UNKNOWN = "Plan not found"
 
+MAX_IN_ONE_TASK = 100_000
+
 _USER_FIELDS = ["email", "password", "name"]
 _MEMBER_FIELDS = [
     "nif", "phone", "iban", "birthdate", "gender", "address", "city", "postalcode",
@@ -59,17 +63,30 @@ def _own_rules(table: str):
     return [r for r in rules_of(table) if r.rule not in skip]
 
 
+def _one_after_the_other(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    emails, nifs = set(), set()
+    for rows in batches:
+        free = []
+        for email, nif in zip(rows["email"], rows["nif"]):
+            free.append(email not in emails and nif not in nifs)
+            if free[-1]:
+                emails.add(email)
+                nifs.add(nif)
+        yield rows[free]
+
+
 def _first_come(candidates: DataFrame) -> DataFrame:
     """The requests that win when they are taken one after the other and each blocks its
     email and its NIF for those that follow.
 
     A request that is first among the undecided ones for both its email and its NIF wins.
-    Then all that share either with a winner lose, and the rest is looked at again. Most
-    batches are decided in one or two rounds; each round decides at least one request.
+    Then all that share either with a winner lose, and the rest is looked at again. What is
+    left after such rounds is few, but may be one long chain of requests that hang on each
+    other; it is walked through in one task once it is within the bound.
     """
     undecided = durable(candidates.select("arrival", "email", "nif"))
     won = undecided.limit(0)
-    while not undecided.isEmpty():
+    while not fits(undecided, MAX_IN_ONE_TASK):
         by_email = undecided.groupBy("email").agg(F.min("arrival").alias("arrival"))
         by_nif = undecided.groupBy("nif").agg(F.min("arrival").alias("arrival"))
         winners = durable(by_email.join(by_nif, "arrival").select("arrival", "email", "nif"))
@@ -79,7 +96,9 @@ def _first_come(candidates: DataFrame) -> DataFrame:
             .join(winners.select("email"), "email", "left_anti")
             .join(winners.select("nif"), "nif", "left_anti")
         )
-    return won.select("arrival", "email")
+    rest = undecided.coalesce(1).sortWithinPartitions("arrival")
+    walked = rest.mapInPandas(_one_after_the_other, undecided.schema)
+    return durable(won.unionByName(walked).select("arrival", "email"))
 
 
 def register_members(t: ClubTables, as_of: AsOf, requests: DataFrame) -> Registration:
@@ -101,8 +120,8 @@ def register_members(t: ClubTables, as_of: AsOf, requests: DataFrame) -> Registr
     )
     # emails and NIFs are unique in store, so a small batch finds few of them
     hint = Hint(fits(arrivals))
-    known_email = rows_for(t["users"].select("email"), arrivals, ["email"], hint)
-    known_nif = rows_for(t["member"].select("nif"), arrivals, ["nif"], hint)
+    known_email = rows_for(t["users"].select("email"), arrivals, ["email"], hint).distinct()
+    known_nif = rows_for(t["member"].select("nif"), arrivals, ["nif"], hint).distinct()
     known_plan = rows_for(
         t["plan"].select(F.col("planid").alias("plan")), arrivals, ["plan"], hint
     )

@@ -22,7 +22,7 @@ MINUTE = 60_000_000
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, shuffle_partitions=4)
+    session = local_session(8, shuffle_partitions=2)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -76,9 +76,10 @@ def test_signup_reasons(spark, stored):
     assert subscriptions[0]["enddate"] == day("2025-02-28")
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_signups_one_after_the_other(spark, stored, seed):
-    rng = random.Random(seed)
+@pytest.mark.parametrize("bound", [0, 20, 100_000])
+def test_signups_one_after_the_other(spark, stored, monkeypatch, bound):
+    monkeypatch.setattr("palestra.plans.registration.MAX_IN_ONE_TASK", bound)
+    rng = random.Random(bound)
     rows = [
         signup(i, f"u{rng.randrange(60)}@x.pt", f"3{rng.randrange(60):08}")
         for i in rng.sample(range(1, 1000), 200)
@@ -93,7 +94,7 @@ def test_signups_one_after_the_other(spark, stored, seed):
             accepted.append((7 + arrival, row[3], row[4]))
     done = register_members(stored, NOW, local(spark, SIGNUP, rows))
     users = sorted(dicts(done.users), key=lambda r: r["userid"])
-    assert [(u["userid"], u["email"]) for u in users] == [(key, email) for key, email, _ in accepted]
+    assert [(u["userid"], u["email"]) for u in users] == [(k, email) for k, email, _ in accepted]
     members = sorted(dicts(done.member), key=lambda r: r["memberid"])
     assert [m["nif"] for m in members] == [nif for _, _, nif in accepted]
     assert done.rejects.count() == len(rows) - len(accepted)
