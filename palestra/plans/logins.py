@@ -21,8 +21,8 @@ class Logins:
 
 
 def apply_logins(t: ClubTables, as_of: AsOf, events: DataFrame) -> Logins:
-    """Set each user's last login from events (``userid``, ``logged_in_at``). A batch that comes late
-    or twice never moves a login back. Unknown users are rejected."""
+    """Set each user's last login from events (``userid``, ``logged_in_at``). A batch that
+    comes late or twice never moves a login back. Unknown users are rejected."""
     latest = durable(events.groupBy("userid").agg(F.max("logged_in_at").alias("latest")))
     hint = Hint(fits(latest))
     before = t["users"].select("userid", F.col("last_login").alias("before"))
