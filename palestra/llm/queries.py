@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palestra.llm import archives, quality, secret_scan
+from palestra.llm import archives, contamination, ngram_join, packing, quality, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,7 +15,14 @@ def _table(name: str) -> Query:
     return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-documents, pages = _table("documents"), _table("pages")
+documents, pages, benchmark = _table("documents"), _table("pages"), _table("benchmark")
+
+
+def vocabulary() -> str:
+    """The ranks of the byte-level vocabulary; any machine of the cluster has the file there."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +31,10 @@ def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_best_fit_packing": lambda s, d: packing.pack(documents(s, d), vocabulary()),
         "op3_warc": warc,
+        "op4_decontamination": lambda s, d: contamination.matches(documents(s, d), benchmark(s, d)),
+        "op5_ngram_jaccard_join": lambda s, d: ngram_join.components_of(documents(s, d)),
         "op7_secret_scans": lambda s, d: secret_scan.scan(documents(s, d)),
         "op8_quality_rules": lambda s, d: quality.verdicts(documents(s, d)),
     }
