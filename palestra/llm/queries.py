@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palestra.llm import archives, contamination, ngram_join, packing, quality, secret_scan
+from palestra.llm import (
+    archives, chats, contamination, licenses, ngram_join, packing, phrases, quality, secret_scan,
+    suffixes,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +19,7 @@ def _table(name: str) -> Query:
 
 
 documents, pages, benchmark = _table("documents"), _table("pages"), _table("benchmark")
+conversations = _table("conversations")
 
 
 def vocabulary() -> str:
@@ -32,11 +36,15 @@ def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": lambda s, d: packing.pack(documents(s, d), vocabulary()),
+        "op2_license_scans": lambda s, d: licenses.matches(documents(s, d)),
         "op3_warc": warc,
         "op4_decontamination": lambda s, d: contamination.matches(documents(s, d), benchmark(s, d)),
         "op5_ngram_jaccard_join": lambda s, d: ngram_join.components_of(documents(s, d)),
+        "op6_substring_dedup": lambda s, d: phrases.digests(documents(s, d)),
         "op7_secret_scans": lambda s, d: secret_scan.scan(documents(s, d)),
         "op8_quality_rules": lambda s, d: quality.verdicts(documents(s, d)),
+        "op9_suffix_array_dedup": lambda s, d: suffixes.digests(documents(s, d)),
+        "op10_chat_formatting": lambda s, d: chats.rendered(conversations(s, d)),
     }
 
 
@@ -61,5 +69,56 @@ FROM firsts
 """
 
 
+_CHATS = """
+WITH placed AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1
+               AS position,
+           count(*) OVER (PARTITION BY conv_id) AS n_turns
+    FROM conversations
+), so_far AS (
+    SELECT *, md5(string_agg(md5(role) || md5(text), ',') OVER (PARTITION BY conv_id ORDER BY position)) AS seen
+    FROM placed
+), ends AS (
+    SELECT min(conv_id) AS conv_id, position, seen FROM so_far WHERE position = n_turns - 1 GROUP BY position, seen
+), kept AS (
+    SELECT conv_id FROM ends
+    WHERE NOT EXISTS (SELECT 1 FROM so_far s
+                      WHERE s.position = ends.position AND s.seen = ends.seen AND s.n_turns > s.position + 1)
+)
+SELECT conv_id, position, n_turns, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered
+FROM placed WHERE conv_id IN (SELECT conv_id FROM kept)
+"""
+
+
+def _license_sql() -> str:
+    rows = ", ".join(
+        "('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.TEMPLATES.items()
+    )
+    plain = r"regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}\n]+', ' ', 'g')"
+    split = r"list_filter(regexp_split_to_array({}, '[ \n]+'), lambda w: w <> '')"
+    bigrams = "list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))"
+    return rf"""
+WITH template AS (
+    SELECT license, {bigrams} AS bigrams
+    FROM (SELECT license, {split.format(plain)} AS words FROM (VALUES {rows}) AS t(license, text)) AS w
+), passage AS (
+    SELECT DISTINCT doc_id, unnest(list_concat(string_split(plain, chr(10)),
+                                               regexp_split_to_array(plain, '\n ?\n'), [plain])) AS passage
+    FROM (SELECT doc_id, {plain} AS plain FROM documents) AS p
+), split AS (
+    SELECT doc_id, {bigrams} AS bigrams
+    FROM (SELECT doc_id, {split.format('passage')} AS words FROM passage) AS w
+)
+SELECT doc_id, license,
+       max(CAST(floor(200 * len(list_intersect(s.bigrams, t.bigrams)) / (len(s.bigrams) + len(t.bigrams))) AS BIGINT))
+           AS dice_percent
+FROM split AS s, template AS t
+WHERE 200 * least(len(s.bigrams), len(t.bigrams)) >= {licenses.PERCENT} * (len(s.bigrams) + len(t.bigrams))
+  AND 200 * len(list_intersect(s.bigrams, t.bigrams)) >= {licenses.PERCENT} * (len(s.bigrams) + len(t.bigrams))
+GROUP BY doc_id, license
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": _WARC}
+    return {"op2_license_scans": _license_sql(), "op3_warc": _WARC, "op10_chat_formatting": _CHATS}
