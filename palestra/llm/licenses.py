@@ -14,6 +14,7 @@ table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,23 +58,41 @@ _SPLIT = r"[^\p{L}\p{N}\n]+"
 
 
 def _bigrams(words: Column) -> Column:
+    """Distinct pairs of neighbours; the words are computed once."""
     pairs = F.transform(
-        F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1))
+        F.array(words),
+        lambda found: F.transform(
+            F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))),
+            lambda w, i: F.concat(w, F.lit(" "), F.get(found, i + 1)),
+        ),
     )
-    return F.array_distinct(pairs)
+    return F.array_distinct(pairs[0])
 
 
 def _words(line: Column) -> Column:
     return F.filter(F.split(line, r"[ \n]+"), lambda w: w != "")
 
 
-def passages(docs: DataFrame) -> DataFrame:
-    """The different lines, blocks and whole texts of each document, normalised."""
+def _telling(known: list[tuple[str, list[str]]], percent: int) -> list[str]:
+    """Bigrams of which every matching passage has at least one: of each template the longest,
+    one more than a match can lack."""
+    found: set[str] = set()
+    for _, bigrams in known:
+        lacking = len(bigrams) - -(-len(bigrams) * percent // (200 - percent))
+        found.update(sorted(bigrams, key=lambda b: (-len(b), b))[: lacking + 1])
+    return sorted(found)
+
+
+def passages(docs: DataFrame, telling: list[str]) -> DataFrame:
+    """The different lines, blocks and whole texts, normalised, of each document that has one
+    of the telling bigrams."""
     text = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), _SPLIT, " ")
     units = F.array_distinct(
         F.concat(F.split(F.col("plain"), "\n"), F.split(F.col("plain"), r"\n ?\n"), F.array("plain"))
     )
-    return docs.select("doc_id", F.inline(F.array(F.struct(text.alias("plain"))))).select(
+    plain = docs.select("doc_id", F.inline(F.array(F.struct(text.alias("plain")))))
+    one_line = plain.select("*", F.inline(F.array(F.struct(F.regexp_replace("plain", r"[ \n]+", " ").alias("one_line")))))
+    return one_line.where(reduce(Column.__or__, [F.col("one_line").contains(b) for b in telling])).select(
         "doc_id", F.explode(units).alias("passage")
     )
 
@@ -88,14 +107,19 @@ def matches(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, percent:
     if not known:
         return docs.select("doc_id", F.lit("").alias("license"), F.lit(0).cast("long").alias("dice_percent")).limit(0)
     least, most = (f(len(b) for _, b in known) for f in (min, max))
-    table = F.array(
-        *[F.struct(F.lit(n).alias("license"), F.lit(len(b)).alias("n"), F.array(*map(F.lit, b)).alias("bigrams")) for n, b in known]
+    # words are letters and digits, so quotes need no care but in names
+    listed = ", ".join(
+        "struct('{}' AS license, {} AS n, array({}) AS bigrams)".format(
+            n.replace("\\", "").replace("'", "\\'"), len(b), ", ".join(f"'{g}'" for g in b)
+        )
+        for n, b in known
     )
+    table = F.expr(f"array({listed})")
     # sizes a and b fit if 100 * 2 * min(a, b) >= percent * (a + b)
     fits = lambda n, a: 200 * F.least(n, a) >= percent * (n + a)
     spaces = F.length("passage") - F.length(F.translate("passage", " \n", ""))
     # a passage has at most one more word than spaces, and one bigram less than words
-    split = passages(docs).where(spaces >= percent * least // (200 - percent)).select(
+    split = passages(docs, _telling(known, percent)).where(spaces >= percent * least // (200 - percent)).select(
         "doc_id", F.inline(F.array(F.struct(_bigrams(_words(F.col("passage"))).alias("bigrams"))))
     )
     sized = split.where((F.size("bigrams") * (200 - percent) >= percent * least) & (percent * F.size("bigrams") <= (200 - percent) * most))
