@@ -2,10 +2,36 @@
 
 from oracle.mapping import sql
 
-_ACCEPTED = """
-    SELECT * FROM (SELECT *, row_number() OVER (ORDER BY request_id) AS n FROM r_signup)
-    WHERE email NOT IN (SELECT email FROM g_users) AND plan IN (SELECT planid FROM g_plan)
+# Sign-ups one after the other: each accepted one takes its email and its NIF.
+_WALKED = r"""
+    SELECT * FROM (
+        WITH RECURSIVE asked AS (
+            SELECT *, row_number() OVER (ORDER BY request_id) AS n,
+                   CASE WHEN email IN (SELECT email FROM g_users) THEN 'Este email já está registado.'
+                        WHEN NOT regexp_matches(email, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$')
+                        THEN 'Q-03 email'
+                        WHEN NOT regexp_matches(nif, '^[0-9]{9}$') THEN 'Q-05 nif'
+                        WHEN nif IN (SELECT nif FROM g_member) THEN 'NIF already registered'
+                        WHEN plan NOT IN (SELECT planid FROM g_plan) THEN 'Plan not found' END AS own
+            FROM r_signup
+        ), walk AS (
+            SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS emails,
+                   CAST([] AS VARCHAR[]) AS nifs, CAST(NULL AS VARCHAR) AS reason
+            UNION ALL
+            SELECT n, CASE WHEN reason IS NULL THEN list_append(emails, email) ELSE emails END,
+                   CASE WHEN reason IS NULL THEN list_append(nifs, nif) ELSE nifs END, reason
+            FROM (
+                SELECT a.n, a.email, a.nif, w.emails, w.nifs,
+                       CASE WHEN list_contains(w.emails, a.email) THEN 'Este email já está registado.'
+                            WHEN a.own IS NOT NULL THEN a.own
+                            WHEN list_contains(w.nifs, a.nif) THEN 'NIF already registered' END AS reason
+                FROM walk AS w JOIN asked AS a ON a.n = w.n + 1
+            ) AS step
+        )
+        SELECT asked.*, walk.reason FROM asked JOIN walk USING (n)
+    ) AS outcome
 """
+_ACCEPTED = _WALKED + " WHERE reason IS NULL"
 _NEXT_USER = "(SELECT max(userid) FROM g_users)"
 _NEXT_MEMBER = "(SELECT max(memberid) FROM g_member)"
 _NEXT_SUBSCRIPTION = "(SELECT max(subscriptionid) FROM g_membersubscription)"
@@ -49,13 +75,7 @@ BODIES = {
                true AS isactive, {_STAMPS}
         FROM ({_ACCEPTED})
     """,
-    "m01_signup_rejects": """
-        SELECT request_id,
-               CASE WHEN email IN (SELECT email FROM g_users) THEN 'Este email já está registado.'
-                    ELSE 'Plan not found' END AS reason
-        FROM r_signup
-        WHERE email IN (SELECT email FROM g_users) OR plan NOT IN (SELECT planid FROM g_plan)
-    """,
+    "m01_signup_rejects": f"SELECT request_id, reason FROM ({_WALKED}) WHERE reason IS NOT NULL",
     "m02_new_bookings": f"""
         SELECT n + (SELECT max(bookingid) FROM g_classbooking WHERE bookingdate <= $now)
                    AS bookingid,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palestra.operators.changes import change_keys, delete_rows, update_rows, with_defaults
+from palestra.operators.changes import change_keys, delete_rows, update_where, with_defaults
 from palestra.operators.checks import check
 from palestra.operators.numbering import highest_key, numbered
 from palestra.plans import app_queries as app
@@ -36,6 +36,24 @@ def _for_all_users(query) -> Query:
     return run
 
 
+# The member, and the instructor, that the queries for one user are asked for.
+ONE_USER, ONE_INSTRUCTOR = 7, 10000003
+
+
+def _for_one_user(query, user: int = ONE_USER) -> Query:
+    return lambda spark, sf_dir: query(mapped_tables(spark, sf_dir), AS_OF, user)
+
+
+def _for_some_users(query) -> Query:
+    """For the users who sent a login request."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        senders = requests(spark, sf_dir, "login").select("userid").distinct()
+        return query(mapped_tables(spark, sf_dir), AS_OF, senders)
+
+    return run
+
+
 def _for_signup_emails(query, *columns: str) -> Query:
     return lambda spark, sf_dir: query(
         mapped_tables(spark, sf_dir), AS_OF, requests(spark, sf_dir, "signup").select(*columns)
@@ -52,7 +70,6 @@ def view_queries() -> dict[str, Query]:
         "v05_member_stats_month_corrected": _view(views.member_stats_month_corrected),
         "v06_member_schedule_classes": _view(views.member_schedule_classes),
         "v07_member_available_classes": _view(views.member_available_classes),
-        "v08_classes_for_member": _view(views.classes_for_member),
         "v09_member_account_details": _view(views.member_account_details),
         "v10_instructor_info": _view(views.instructor_info),
         "v11_instructor_classes": _view(views.instructor_classes),
@@ -76,7 +93,7 @@ def app_query_set() -> dict[str, Query]:
         "d03_emails_taken": _for_signup_emails(app.emails_taken, "request_id", "email"),
         "d04_month_summary": _for_all_users(app.month_summary),
         "d05_booked_classes": _for_all_users(app.booked_classes),
-        "d06_bookable_classes": _for_all_users(app.bookable_classes),
+        "d06_bookable_classes": _for_one_user(app.bookable_classes),
         "d07_account_details": _for_all_users(app.account_details),
         "d08_last_payments": _for_all_users(app.last_payments),
         "d09_last_visits": _for_all_users(app.last_visits),
@@ -92,9 +109,26 @@ def app_query_set() -> dict[str, Query]:
         "d19_plan_list": _view(app.plan_list),
         "d20_member_logins": _view(app.member_logins),
         "s05_all_bookings": _view(app.all_bookings),
+        **{f"{name}_one": _for_one_user(query) for name, query in _OF_MEMBERS.items()},
+        **{f"{name}_one": _for_one_user(query, ONE_INSTRUCTOR) for name, query in _OF_INSTRUCTORS.items()},
+        **{f"{name}_some": _for_some_users(query) for name, query in _OF_MEMBERS.items()},
     }
 
 
+_OF_MEMBERS = {
+    "d04_month_summary": app.month_summary,
+    "d05_booked_classes": app.booked_classes,
+    "d07_account_details": app.account_details,
+    "d08_last_payments": app.last_payments,
+    "d09_last_visits": app.last_visits,
+}
+_OF_INSTRUCTORS = {
+    "d10_instructor_profile": app.instructor_profile,
+    "d11_taught_classes": app.taught_classes,
+    "d12_taught_schedules": app.taught_schedules,
+}
+
+
 def _registration(spark: SparkSession, sf_dir: str) -> Registration:
     return register_members(
         mapped_tables(spark, sf_dir), AS_OF, requests(spark, sf_dir, "signup")
@@ -116,11 +150,10 @@ def _logins(spark: SparkSession, sf_dir: str) -> Logins:
 
 def _overdue_settled(t: ClubTables, as_of) -> DataFrame:
     """Mark every overdue payment as paid today."""
-    changes = t["payment"].where(~F.col("ispayed") & (F.col("duedate") < as_of.today())).select(
-        "paymentid", F.lit(True).alias("ispayed"), as_of.today().alias("paymentdate")
+    overdue = ~F.col("ispayed") & (F.col("duedate") < as_of.today())
+    return update_where(
+        t["payment"], overdue, {"ispayed": F.lit(True), "paymentdate": as_of.today()}, as_of
     )
-    after, _ = update_rows(t["payment"], "paymentid", changes, as_of)
-    return after
 
 
 def _bare_checkins(t: ClubTables, as_of) -> DataFrame:

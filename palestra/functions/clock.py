@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 MICROS_PER_SECOND = 1_000_000
 MICROS_PER_MINUTE = 60 * MICROS_PER_SECOND
 MICROS_PER_HOUR = 60 * MICROS_PER_MINUTE
-MICROS_PER_DAY = 24 * MICROS_PER_HOUR
 
 
 def whole_hours(us: Column) -> Column:
@@ -48,10 +47,3 @@ def clock_text(us: Column) -> Column:
         F.lpad(whole_hours(us).cast("string"), 2, "0"),
         F.lpad(minutes_past_hour(us).cast("string"), 2, "0"),
     )
-
-
-def time_of_day(ts: Column) -> Column:
-    """Microseconds since midnight of a TIMESTAMP_NTZ, whatever the session zone."""
-    seconds = F.hour(ts) * 3600 + F.minute(ts) * 60
-    part = F.date_part(F.lit("SECOND"), ts) * MICROS_PER_SECOND
-    return seconds.cast("bigint") * MICROS_PER_SECOND + part.cast("bigint")

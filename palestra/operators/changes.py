@@ -57,6 +57,17 @@ def update_rows(
     return after, changes.join(hint(known), key, "left_anti")
 
 
+def update_where(df: DataFrame, condition, values: dict, as_of: AsOf) -> DataFrame:
+    """Rows chosen by a condition get new values and ``updated_at``; one pass, no join."""
+    touched = F.coalesce(condition, F.lit(False)).alias("_touched")
+    marked = df.select("*", touched)
+    chosen = F.col("_touched")
+    out = marked.withColumns(
+        {c: F.when(chosen, value).otherwise(F.col(c)) for c, value in values.items()}
+    )
+    return _stamped(out, chosen, as_of).select(*df.columns)
+
+
 def delete_rows(
     tables: ClubTables, parent: str, keys: DataFrame, as_of: AsOf
 ) -> tuple[ClubTables, DataFrame]:

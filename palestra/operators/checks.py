@@ -57,17 +57,15 @@ def row_violations(df: DataFrame, table: str, rules: list[RowRule]) -> DataFrame
 def later_copies(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Rows whose value some row with a lower key already has. NULLs never collide.
 
-    The first holder of each value comes from a pre-aggregated minimum and rows are
-    matched by their own key, so a value that many rows share stays spread out.
+    Values that occur once fall out of a pre-aggregated count; rows of the others, which
+    are few in sound data, are matched by value, a join whose skewed side can be split.
     """
     filled = df.where(" AND ".join(f"{c} IS NOT NULL" for c in columns))
-    first = filled.groupBy(*columns).agg(F.min(key).alias(key)).select(key)
-    return filled.join(first, key, "left_anti")
-
-
-def without_stored(df: DataFrame, stored: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows whose value is not yet in the stored table. NULLs never collide."""
-    return df.join(stored.select(*columns), columns, "left_anti")
+    shared = (
+        filled.groupBy(*columns).agg(F.min(key).alias("_lowest"), F.count("*").alias("_n"))
+        .where("_n > 1").select(*columns, "_lowest")
+    )
+    return filled.join(shared, columns).where(F.col(key) > F.col("_lowest")).select(*df.columns)
 
 
 def unique_violations(df: DataFrame, table: str, columns: tuple[str, ...]) -> DataFrame:
@@ -95,7 +93,9 @@ def key_violations(df: DataFrame, table: str) -> DataFrame:
 def orphans(child: DataFrame, ref: Reference, parent: DataFrame) -> DataFrame:
     """Rows that point at a missing parent. NULL pointers pass."""
     keys = parent.select(F.col(TABLES[ref.parent].key).alias(ref.column))
-    return child.where(F.col(ref.column).isNotNull()).join(keys, ref.column, "left_anti")
+    pointers = child.select(ref.column).where(F.col(ref.column).isNotNull()).distinct()
+    missing = pointers.join(keys, ref.column, "left_anti")
+    return child.join(missing, ref.column, "left_semi").select(*child.columns)
 
 
 def reference_violations(child: DataFrame, ref: Reference, parent: DataFrame) -> DataFrame:
@@ -106,12 +106,6 @@ def reference_violations(child: DataFrame, ref: Reference, parent: DataFrame) ->
     )
 
 
-def _counted(groups: DataFrame, table: str, rule: str, surplus: Column) -> DataFrame:
-    return groups.select(
-        F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), surplus.alias("broken")
-    )
-
-
 def row_counts(df: DataFrame, table: str, rules: list[RowRule]) -> DataFrame:
     """How many rows break each rule, in one pass that sends one row per task."""
     names = [r.rule for r in rules]
@@ -121,21 +115,37 @@ def row_counts(df: DataFrame, table: str, rules: list[RowRule]) -> DataFrame:
     )
 
 
-def unique_counts(df: DataFrame, table: str, columns: tuple[str, ...]) -> DataFrame:
-    """How many rows are later holders of a value, one line per value with any; from the
-    size of each value's group."""
-    filled = df.where(" AND ".join(f"{c} IS NOT NULL" for c in columns))
-    groups = filled.groupBy(*columns).agg(F.count("*").alias("_n")).where("_n > 1")
-    return _counted(groups, table, "unique:" + "+".join(columns), F.col("_n") - 1)
+def value_rows(df: DataFrame, table: str, references: tuple[Reference, ...]) -> DataFrame:
+    """What uniqueness and references are judged by, in one pass over a table: per row its
+    unique values, its pointers, and its key for each reference to it."""
 
+    def entry(rule_table: str, rule: str, columns, kind: str) -> Column:
+        filled = reduce(Column.__and__, [F.col(c).isNotNull() for c in columns])
+        # bigint keys and int pointers must give the same text
+        value = F.to_json(F.array(*[F.col(c).cast("string") for c in columns]))
+        return F.when(filled, F.struct(
+            F.lit(rule_table).alias("table_name"), F.lit(rule).alias("rule"),
+            value.alias("value"), F.lit(kind).alias("kind"),
+        ))
 
-def reference_counts(child: DataFrame, ref: Reference, parent: DataFrame) -> DataFrame:
-    """How many rows point at a missing parent, one line per such parent; only distinct
-    pointers are shuffled."""
-    pointers = (
-        child.where(F.col(ref.column).isNotNull())
-        .groupBy(ref.column).agg(F.count("*").alias("_n"))
+    key = TABLES[table].key
+    entries = [entry(table, "unique:" + "+".join(c), c, "unique") for c in TABLES[table].unique]
+    entries += [entry(table, f"reference:{r.column}", [r.column], "pointer")
+                for r in references if r.child == table]
+    entries += [entry(r.child, f"reference:{r.column}", [key], "key")
+                for r in references if r.parent == table]
+    return df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
+
+
+def value_counts(values: DataFrame) -> DataFrame:
+    """How many rows break each rule of uniqueness and reference, from one aggregate over the
+    values of all tables."""
+    of = lambda kind: F.count_if(F.col("kind") == kind)
+    groups = values.groupBy("table_name", "rule", "value").agg(
+        of("unique").alias("holders"), of("pointer").alias("pointers"), of("key").alias("keys")
     )
-    keys = parent.select(F.col(TABLES[ref.parent].key).alias(ref.column))
-    missing = pointers.join(keys, ref.column, "left_anti")
-    return _counted(missing, ref.child, f"reference:{ref.column}", F.col("_n"))
+    broken = F.when(F.col("holders") > 1, F.col("holders") - 1).when(
+        F.col("keys") == 0, F.col("pointers")
+    ).otherwise(F.lit(0))
+    judged = groups.withColumn("broken", F.when(F.col("holders") == 1, F.lit(0)).otherwise(broken))
+    return judged.where("broken > 0").select("table_name", "rule", "broken")

@@ -44,27 +44,6 @@ def split_left_join(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFr
     return matched, lonely
 
 
-def pair_with_all(left: DataFrame, left_key: str, right: DataFrame) -> DataFrame:
-    """Every left row with every right row, for results that are defined that way.
-
-    Left rows are spread over cells by key and each cell gets a copy of the right side,
-    so the work is an even equi-join. Call it with a right side that the query has already
-    cut down (one day's open classes). The fixed number of partitions keeps the adaptive
-    planner from merging cells by their small input size.
-    """
-    spark = left.sparkSession
-    cells = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
-    )
-    spread = left.withColumn("_cell", F.pmod(F.xxhash64(left_key), F.lit(cells)).cast("int"))
-    copies = right.withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    return (
-        spread.repartition(cells, "_cell")
-        .join(copies.repartition(cells, "_cell"), "_cell")
-        .drop("_cell")
-    )
-
-
 def only_users(df: DataFrame, users, column: str = "userid") -> DataFrame:
     """Keep the rows of one user (a number), or of a set of users (a DataFrame)."""
     if isinstance(users, DataFrame):

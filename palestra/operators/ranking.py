@@ -17,20 +17,3 @@ def first_per_group(df: DataFrame, group: str, order: list[Column], k: int) -> D
 
 def first_rows(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
-
-
-def latest_rows(df: DataFrame, day: str, days: DataFrame, order: list[Column], k: int) -> DataFrame:
-    """The first ``k`` rows in an order that starts with the newest ``day``.
-
-    Looks back from the newest day in ``days`` over a growing span until it holds ``k``
-    rows; all older rows rank behind those. So only the partitions of the last days are
-    read, and everything only if there are fewer than ``k`` rows.
-    """
-    first, last = days.agg(F.min(day), F.max(day)).first()
-    span = 1
-    while last is not None and (last - first).days >= span:
-        recent = df.where(F.col(day) > F.date_sub(F.lit(last), span))
-        if recent.limit(k).count() == k:
-            return first_rows(recent, order, k)
-        span *= 8
-    return first_rows(df, order, k)

@@ -17,15 +17,14 @@ from palestra.functions.display import (
     or_default,
     rounded_hours,
 )
-from palestra.operators.joins import Hint, fits, only_users, pair_with_all
-from palestra.operators.ranking import first_per_group, first_rows, latest_rows
+from palestra.operators.joins import Hint, fits, only_users
+from palestra.operators.ranking import first_per_group, first_rows
 from palestra.plans import views
 from palestra.plans.parts import (
     lowest_first,
     member_users,
     newest_first,
     open_classes,
-    without_booked,
 )
 from palestra.sources.tables import ClubTables
 
@@ -108,24 +107,27 @@ def month_summary(t: ClubTables, as_of: AsOf, users) -> DataFrame:
 
 def booked_classes(t: ClubTables, as_of: AsOf, users) -> DataFrame:
     """Classes from today on that the users have booked."""
-    booked, _ = views.schedule_bookings(for_users(t, users), as_of)
+    # the instructors of the classes are other people
+    own = for_users(t, users).with_tables(instructor=t["instructor"])
+    booked, _ = views.schedule_bookings(own, as_of)
     return booked.where("userid IS NOT NULL").select(
         "userid", "class_name", "date", "starttime", "endtime", "room", "instructor_name"
     )
 
 
-def bookable_classes(t: ClubTables, as_of: AsOf, users) -> DataFrame:
-    """Today's classes with free spots that the users have not booked yet. A user who is
-    no member sees them all."""
-    open_ = open_classes(t, as_of, later_than=as_of.time_us, keep_bookings=True)
-    if isinstance(users, DataFrame):
-        who = users.select(F.col(users.columns[0]).alias("userid")).distinct()
-    else:
-        who = t.spark.range(1).select(F.lit(users).cast("bigint").alias("userid"))
-    who = who.join(member_users(t), "userid", "left")
-    return without_booked(pair_with_all(who, "userid", open_.rows), open_).select(
-        "userid", "classscheduleid", "class_name", "date", "starttime", "endtime", "room",
-        "instructor_name", "available_spots",
+def bookable_classes(t: ClubTables, as_of: AsOf, user: int) -> DataFrame:
+    """Today's classes with free spots that the user has not booked yet. A user who is no
+    member sees them all."""
+    member = only_users(member_users(t), user).select("memberid")
+    booked = t["classbooking"].join(F.broadcast(member), "memberid", "left_semi")
+    # what one member has booked for one day is small, but the planner need not know
+    return (
+        open_classes(t, as_of, later_than=as_of.time_us)
+        .join(booked.select("classscheduleid"), "classscheduleid", "left_anti")
+        .select(
+            F.lit(user).cast("bigint").alias("userid"), "classscheduleid", "class_name", "date",
+            "starttime", "endtime", "room", "instructor_name", "available_spots",
+        )
     )
 
 
@@ -190,7 +192,7 @@ def class_list(t: ClubTables, as_of: AsOf) -> DataFrame:
 
 def latest_checkins(t: ClubTables, as_of: AsOf, k: int = CHECKINS_SHOWN) -> DataFrame:
     order = newest_first("date", "entrancetime") + lowest_first("checkinid")
-    return latest_rows(views.all_checkins(t, as_of), "date", t["checkin"], order, k)
+    return first_rows(views.all_checkins(t, as_of), order, k)
 
 
 def machine_list(t: ClubTables, as_of: AsOf) -> DataFrame:

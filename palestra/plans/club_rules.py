@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from palestra.operators.checks import (
     RowRule,
     key_violations,
-    reference_counts,
     reference_violations,
     row_counts,
     row_violations,
-    unique_counts,
     unique_violations,
+    value_counts,
+    value_rows,
 )
 from palestra.sources.schema import REFERENCES, TABLES
 from palestra.sources.tables import ClubTables
@@ -141,11 +141,9 @@ def broken_references(t: ClubTables, parents: ClubTables | None = None) -> DataF
 def rule_counts(t: ClubTables) -> DataFrame:
     """How many rows break each rule of every kind; rules that hold are left out."""
     counts = [row_counts(t[name], name, rules_of(name)) for name in TABLES]
-    counts += [
-        unique_counts(t[table.name], table.name, columns)
-        for table in TABLES.values()
-        for columns in table.unique
-    ]
-    counts += [reference_counts(t[r.child], r, t[r.parent]) for r in REFERENCES]
+    judged = {r.child for r in REFERENCES} | {r.parent for r in REFERENCES}
+    judged |= {table.name for table in TABLES.values() if table.unique}
+    values = [value_rows(t[name], name, tuple(REFERENCES)) for name in TABLES if name in judged]
+    counts.append(value_counts(_union(values)))
     total = _union(counts).groupBy("table_name", "rule").agg(F.sum("broken").alias("broken"))
     return total.where("broken > 0")

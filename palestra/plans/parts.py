@@ -3,19 +3,12 @@ of visits, payments or bookings is shuffled once."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palestra.asof import AsOf
-from palestra.operators.joins import MAX_BROADCAST_ROWS, Hint
-from palestra.session import durable
 from palestra.sources.tables import ClubTables
 
-# Bookings of the classes of one day that may be copied to every executor.
-MAX_BROADCAST_BOOKINGS = 500_000
-
 
 def user_names(t: ClubTables, *extra: str) -> DataFrame:
     return t["users"].select("userid", F.col("name").alias("user_name"), *extra)
@@ -66,73 +59,40 @@ def class_details(t: ClubTables, how: str, only_active: bool = False) -> DataFra
     )
 
 
-@dataclass(frozen=True)
-class OpenClasses:
-    """Classes with free spots, the day's bookings, and whether both may be broadcast."""
-
-    rows: DataFrame
-    bookings: DataFrame
-    hint: Hint
-    bookings_hint: Hint
-
-
-def open_classes(
-    t: ClubTables, as_of: AsOf, later_than: int | None = None, keep_bookings: bool = False
-) -> OpenClasses:
+def open_classes(t: ClubTables, as_of: AsOf, later_than: int | None = None) -> DataFrame:
     """Today's active classes that have free spots; with ``later_than`` only those that
-    start after that time of day.
-
-    One look at the day's schedules tells how many there are and how many places they
-    have. If both are small, the tables of bookings, classes and people are only streamed
-    past them; if not, everything is joined by shuffle. ``keep_bookings`` stores the day's
-    bookings for callers that use them again, so the bookings are read once.
-    """
+    start after that time of day. The large tables meet the day's schedules only."""
     schedules = t["classschedule"].where(F.col("isactive") & (F.col("date") == as_of.today()))
     if later_than is not None:
         schedules = schedules.where(F.col("starttime") > F.lit(later_than))
     schedules = schedules.where(F.col("maxparticipants").isNotNull()).select(
         "classscheduleid", "classid", "date", "starttime", "endtime", "maxparticipants"
     )
-    size = schedules.agg(
-        F.count("*").alias("n"), F.coalesce(F.sum("maxparticipants"), F.lit(0)).alias("places")
-    ).first()
-    hint = Hint(size["n"] <= MAX_BROADCAST_ROWS)
-    # a class with free spots has fewer bookings than places
-    bookings_hint = Hint(hint.small and size["places"] <= MAX_BROADCAST_BOOKINGS)
-
-    bookings = t["classbooking"].select("memberid", "classscheduleid").join(
-        hint(schedules.select("classscheduleid")), "classscheduleid", "left_semi"
+    booked = (
+        t["classbooking"].select("classscheduleid")
+        .join(schedules.select("classscheduleid"), "classscheduleid", "left_semi")
+        .groupBy("classscheduleid").agg(F.count("*").alias("current_bookings"))
     )
-    if keep_bookings:
-        bookings = durable(bookings)
-    booked = bookings.groupBy("classscheduleid").agg(F.count("*").alias("current_bookings"))
-    spots = F.col("maxparticipants") - F.col("current_bookings")
     free = (
-        schedules.join(hint(booked), "classscheduleid", "left")
+        schedules.join(booked, "classscheduleid", "left")
         .withColumn("current_bookings", F.coalesce("current_bookings", F.lit(0)))
-        .withColumn("available_spots", spots)
+        .withColumn("available_spots", F.col("maxparticipants") - F.col("current_bookings"))
         .where("available_spots > 0")
     )
     classes = t["class"].where("isactive").select(
         "classid", "instructorid", F.col("name").alias("class_name"), "room", "capacity",
         "duration_minutes",
     )
-    rows = hint(free).join(classes, "classid")
-    rows = hint(rows).join(t["instructor"].select("instructorid", "userid"), "instructorid")
-    rows = hint(rows).join(user_names(t), "userid").select(
-        "classscheduleid", "class_name", "room", "capacity", "duration_minutes",
-        F.col("user_name").alias("instructor_name"), "date", "starttime", "endtime",
-        "maxparticipants", "current_bookings", "available_spots",
+    return (
+        free.join(classes, "classid")
+        .join(t["instructor"].select("instructorid", "userid"), "instructorid")
+        .join(user_names(t), "userid")
+        .select(
+            "classscheduleid", "class_name", "room", "capacity", "duration_minutes",
+            F.col("user_name").alias("instructor_name"), "date", "starttime", "endtime",
+            "maxparticipants", "current_bookings", "available_spots",
+        )
     )
-    return OpenClasses(rows, bookings, hint, bookings_hint)
-
-
-def without_booked(pairs: DataFrame, open_: OpenClasses) -> DataFrame:
-    """Drop the pairs of member and open class that are booked already. A pair without a
-    member stays."""
-    ids = open_.hint(open_.rows.select("classscheduleid"))
-    taken = open_.bookings.join(ids, "classscheduleid", "left_semi")
-    return pairs.join(open_.bookings_hint(taken), ["memberid", "classscheduleid"], "left_anti")
 
 
 def newest_first(*columns: str) -> list[Column]:

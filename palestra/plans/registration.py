@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ from palestra.operators.changes import with_defaults
 from palestra.operators.checks import failed_rules
 from palestra.operators.joins import Hint, fits, rows_for
 from palestra.operators.numbering import highest_key, numbered
+from palestra.operators.ranking import first_per_group
 from palestra.plans.club_rules import rules_of, stored_text
 from palestra.session import durable
 from palestra.sources.seeds import MEMBER_USER_TYPE
@@ -23,8 +22,6 @@ EMAIL_TAKEN = "Este email já está registado."
 NIF_TAKEN = "NIF already registered"
 PLAN_UNKNOWN = "Plan not found"
 
-MAX_IN_ONE_TASK = 100_000
-
 _USER_FIELDS = ["email", "password", "name"]
 _MEMBER_FIELDS = [
     "nif", "phone", "iban", "birthdate", "gender", "address", "city", "postalcode",
@@ -63,42 +60,58 @@ def _own_rules(table: str):
     return [r for r in rules_of(table) if r.rule not in skip]
 
 
-def _one_after_the_other(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    emails, nifs = set(), set()
-    for rows in batches:
-        free = []
-        for email, nif in zip(rows["email"], rows["nif"]):
-            free.append(email not in emails and nif not in nifs)
-            if free[-1]:
-                emails.add(email)
-                nifs.add(nif)
-        yield rows[free]
+def _outcomes(undecided: DataFrame) -> DataFrame:
+    """Outcomes that follow from requests which are first for their email and NIF.
+
+    Among the two first of each email and each NIF, a request without an earlier rival
+    wins, and one with a single earlier rival has the opposite of its outcome. These
+    pointers are followed by doubling, so a chain settles in the logarithm of its length.
+    """
+    order = [F.col("arrival")]
+    by_email = first_per_group(undecided, "email", order, 2)
+    by_nif = first_per_group(undecided, "nif", order, 2)
+    first_of = lambda df, c: df.groupBy(c).agg(F.min("arrival").alias(f"{c}_first"))
+    both = by_email.join(by_nif.select("arrival"), "arrival")
+    earlier = lambda c: F.when(F.col(f"{c}_first") < F.col("arrival"), F.col(f"{c}_first"))
+    rivals = F.array_distinct(F.array_compact(F.array(earlier("email"), earlier("nif"))))
+    steps = (
+        both.join(first_of(by_email, "email"), "email").join(first_of(by_nif, "nif"), "nif")
+        .withColumn("rivals", rivals).where("size(rivals) < 2")
+        .select("arrival", F.get("rivals", 0).alias("rival"), F.lit(False).alias("opposite"))
+        .withColumn("opposite", F.col("rival").isNotNull())
+    )
+    steps = durable(steps)
+    while not steps.where("rival IS NOT NULL").isEmpty():
+        ahead = steps.select(
+            F.col("arrival").alias("rival"), F.col("rival").alias("next"),
+            F.col("opposite").alias("turned"), F.lit(True).alias("known"),
+        )
+        # a rival that is undecided itself leaves those behind it undecided
+        steps = durable(
+            steps.join(ahead, "rival", "left").where("rival IS NULL OR known").select(
+                "arrival", F.col("next").alias("rival"),
+                (F.col("opposite") != F.coalesce("turned", F.lit(False))).alias("opposite"),
+            )
+        )
+    return steps.select("arrival", (~F.col("opposite")).alias("wins"))
 
 
 def _first_come(candidates: DataFrame) -> DataFrame:
     """The requests that win when they are taken one after the other and each blocks its
-    email and its NIF for those that follow.
-
-    A request that is first among the undecided ones for both its email and its NIF wins.
-    Then all that share either with a winner lose, and the rest is looked at again. What is
-    left after such rounds is few, but may be one long chain of requests that hang on each
-    other; it is walked through in one task once it is within the bound.
-    """
+    email and its NIF for those that follow. Rounds go on until none is undecided; each
+    settles whole chains, and all that share something with a winner."""
     undecided = durable(candidates.select("arrival", "email", "nif"))
     won = undecided.limit(0)
-    while not fits(undecided, MAX_IN_ONE_TASK):
-        by_email = undecided.groupBy("email").agg(F.min("arrival").alias("arrival"))
-        by_nif = undecided.groupBy("nif").agg(F.min("arrival").alias("arrival"))
-        winners = durable(by_email.join(by_nif, "arrival").select("arrival", "email", "nif"))
-        won = won.unionByName(winners)
+    while not undecided.isEmpty():
+        outcomes = _outcomes(undecided)
+        winners = undecided.join(outcomes.where("wins"), "arrival", "left_semi")
+        won = durable(won.unionByName(winners))
         undecided = durable(
-            undecided.join(winners.select("arrival"), "arrival", "left_anti")
-            .join(winners.select("email"), "email", "left_anti")
-            .join(winners.select("nif"), "nif", "left_anti")
+            undecided.join(outcomes.select("arrival"), "arrival", "left_anti")
+            .join(won.select("email"), "email", "left_anti")
+            .join(won.select("nif"), "nif", "left_anti")
         )
-    rest = undecided.coalesce(1).sortWithinPartitions("arrival")
-    walked = rest.mapInPandas(_one_after_the_other, undecided.schema)
-    return durable(won.unionByName(walked).select("arrival", "email"))
+    return won.select("arrival", "email")
 
 
 def register_members(t: ClubTables, as_of: AsOf, requests: DataFrame) -> Registration:

@@ -5,7 +5,7 @@ The screens hold fixed text in their place, so the formulas are this library's o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palestra.asof import AsOf
@@ -96,11 +96,14 @@ def _plan_members(t: ClubTables) -> DataFrame:
     )
 
 
+def _total(count: str):
+    """The sum over the counted groups, of which there are few."""
+    return F.sum(count).over(Window.partitionBy(F.lit(0)))
+
+
 def members_per_plan(t: ClubTables, as_of: AsOf) -> DataFrame:
-    members = _plan_members(t)
-    counts = members.groupBy("plan_name").agg(F.count("*").alias("members"))
-    total = members.agg(F.count("*")).scalar()
-    return counts.withColumn("share", _percent(F.col("members"), total))
+    counts = _plan_members(t).groupBy("plan_name").agg(F.count("*").alias("members"))
+    return counts.withColumn("share", _percent(F.col("members"), _total("members")))
 
 
 def plan_performance(t: ClubTables, as_of: AsOf) -> DataFrame:
@@ -124,10 +127,8 @@ def plan_performance(t: ClubTables, as_of: AsOf) -> DataFrame:
 
 
 def machines_per_status(t: ClubTables, as_of: AsOf) -> DataFrame:
-    machines = views.machines(t, as_of)
-    total = machines.agg(F.count("*")).scalar()
-    counts = machines.groupBy("status").agg(F.count("*").alias("machines"))
-    return counts.withColumn("share", _percent(F.col("machines"), total))
+    counts = views.machines(t, as_of).groupBy("status").agg(F.count("*").alias("machines"))
+    return counts.withColumn("share", _percent(F.col("machines"), _total("machines")))
 
 
 def class_grid_cells(t: ClubTables, as_of: AsOf) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palestra.asof import AsOf
 from palestra.functions.clock import hours, stay_text, total_length
 from palestra.functions.display import STILL_INSIDE, payment_status
-from palestra.operators.joins import pair_with_all, split_left_join
+from palestra.operators.joins import split_left_join
 from palestra.plans.parts import (
     active_subscriptions,
     class_details,
@@ -19,7 +19,6 @@ from palestra.plans.parts import (
     newest_first,
     open_classes,
     user_names,
-    without_booked,
 )
 from palestra.sources.tables import ClubTables
 
@@ -137,15 +136,7 @@ def member_schedule_classes(t: ClubTables, as_of: AsOf) -> DataFrame:
 
 def member_available_classes(t: ClubTables, as_of: AsOf) -> DataFrame:
     """Today's active classes that start later than now and have free spots."""
-    return open_classes(t, as_of, later_than=as_of.time_us).rows
-
-
-def classes_for_member(t: ClubTables, as_of: AsOf) -> DataFrame:
-    """Every active member with each of today's classes that has free spots and that the
-    member has not booked, whatever its start time."""
-    open_ = open_classes(t, as_of, keep_bookings=True)
-    members = t["member"].where("isactive").select("memberid", "userid")
-    return without_booked(pair_with_all(members, "memberid", open_.rows), open_)
+    return open_classes(t, as_of, later_than=as_of.time_us)
 
 
 def member_account_details(t: ClubTables, as_of: AsOf) -> DataFrame:
@@ -324,7 +315,6 @@ VIEWS = {
     "member_stats_month": member_stats_month,
     "member_schedule_classes": member_schedule_classes,
     "member_available_classes": member_available_classes,
-    "classes_for_member": classes_for_member,
     "member_account_details": member_account_details,
     "instructor_info": instructor_info,
     "instructor_classes": instructor_classes,

@@ -110,11 +110,6 @@ def test_available_classes(t):
     ]
 
 
-def test_classes_for_member_ignore_the_time_of_day(t):
-    pairs = {(r["memberid"], r["classscheduleid"]) for r in dicts(views.classes_for_member(t, NOW))}
-    assert pairs == {(2, 1), (3, 1), (2, 3), (3, 3), (1, 9), (2, 9), (3, 9)}
-
-
 def test_account_details_list_each_upcoming_payment(t):
     rows = [(r["memberid"], r["next_payment_date"], r["plan_name"])
             for r in dicts(views.member_account_details(t, NOW))]
@@ -148,7 +143,7 @@ def test_payment_states(t):
 
 
 def test_one_user_equals_the_set_of_one(spark, t):
-    for query in (app.month_summary, app.booked_classes, app.bookable_classes, app.account_details,
+    for query in (app.month_summary, app.booked_classes, app.account_details,
                   app.last_payments, app.last_visits, app.instructor_profile, app.taught_classes,
                   app.taught_schedules):
         for userid in (1, 10):
@@ -190,4 +185,4 @@ def test_views_by_name(spark, t):
     assert spark.sql("SELECT count(*) AS n FROM vw_email_exists").first()["n"] == 5
     assert spark.sql("SELECT label FROM vw_user_authentication a JOIN (SELECT 'Gestor' AS label) l"
                      " ON l.label = a.user_type_label").count() == 1
-    assert len([v for v in spark.catalog.listTables() if v.name.startswith("vw_")]) == 21
+    assert len([v for v in spark.catalog.listTables() if v.name.startswith("vw_")]) == 20
