@@ -122,7 +122,7 @@ def measured(docs: DataFrame) -> DataFrame:
     first = docs.select("*", F.inline(F.array(base)).alias("word_chars", "n_symbols", "_w", "_l"))
     repeated = F.struct(_repeated_words(F.col("_w.hashes")).cast("long").alias("n_repeat_words"))
     flat = first.select("*", F.inline(F.array(repeated))).select(
-        *[docs[f"`{c}`"] for c in docs.columns], "word_chars", "n_symbols", "n_repeat_words",
+        *[F.col(f"`{c}`") for c in docs.columns], "word_chars", "n_symbols", "n_repeat_words",
         F.col("_w.n").cast("long").alias("n_words"), F.col("_l.n").cast("long").alias("n_lines"),
         F.col("_l.repeated").cast("long").alias("n_dup_lines"),
     )
@@ -235,7 +235,7 @@ def filtered(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     scratch = scratch or Scratch(docs.sparkSession)
     names = docs.columns
     packed = docs.select(
-        F.struct(*[docs[f"`{c}`"] for c in names]).alias("_row"), "text", "lang", "source"
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "text", "lang", "source"
     )
     stored = scratch.table(measured(packed).drop("text", "lang", "source"), "measured")
     kept = judged(stored, thresholds(sketches(stored))).where("kept")

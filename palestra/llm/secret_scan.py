@@ -194,6 +194,10 @@ def redacted(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The documents with each secret replaced by its kind in brackets, and ``n_chars``
     corrected in changed rows."""
     kinds = [r.kind for r in rules]
+    # names by position, since a column may have any name
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    text_column = names[docs.columns.index("text")]
+    size_column = names[docs.columns.index("n_chars")] if "n_chars" in docs.columns else None
 
     def clean(text: str, spans) -> str:
         parts, done = [], 0
@@ -205,20 +209,21 @@ def redacted(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
-        for batch in slices(batches):
-            found = scanner.spans(batch.column("text"))
+        for batch in slices(batches, text_column):
+            found = scanner.spans(batch.column(text_column))
             if found:
-                texts = batch.column("text").to_pylist()
+                texts = batch.column(text_column).to_pylist()
                 for row, spans in found.items():
                     texts[row] = clean(texts[row], spans)
                 columns = dict(zip(batch.schema.names, batch.columns))
-                columns["text"] = pa.array(texts, batch.schema.field("text").type)
-                if "n_chars" in columns:
-                    sizes = columns["n_chars"].to_pylist()
+                columns[text_column] = pa.array(texts, columns[text_column].type)
+                if size_column:
+                    sizes = columns[size_column].to_pylist()
                     for row in found:
                         sizes[row] = len(texts[row])
-                    columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
+                    columns[size_column] = pa.array(sizes, columns[size_column].type)
                 batch = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
             yield batch
 
-    return docs.mapInArrow(rows, docs.schema)
+    plain = docs.toDF(*names)
+    return plain.mapInArrow(rows, plain.schema).toDF(*docs.columns)
