@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Bytes of text worked on at a time; a longer text makes a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _RANDOM = np.random.default_rng(20240229)
 _BYTE_VALUES = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
@@ -132,3 +132,22 @@ def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+class SequenceHasher:
+    """Hashes of any runs of one array of hashes from its prefix sums."""
+
+    _up = _down = np.ones(1, np.uint64)
+
+    def __init__(self, hashes: np.ndarray):
+        n = len(hashes)
+        if len(SequenceHasher._up) < n:
+            SequenceHasher._up = _powers(_WORD_BASE, n)
+            SequenceHasher._down = _powers(pow(_WORD_BASE, -1, 2**64), n)
+        self._down = SequenceHasher._down
+        self._sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(mixed(hashes) * SequenceHasher._up[:n], out=self._sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        found = (self._sums[ends] - self._sums[starts]) * self._down[starts]
+        return mixed(found + (ends - starts).astype(np.uint64))

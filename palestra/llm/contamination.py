@@ -107,7 +107,8 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     opens = np.ones(len(starts), bool)
     opens[1:] = breaks[starts[1:]] > breaks[ends[:-1]]
     opens[first[:-1][first[:-1] < len(starts)]] = True
-    name = upper & ~opens & ~number & ~unit
+    # words in capitals are no names
+    name = upper & ~_UPPER[second] & ~opens & ~number & ~unit
     words = value.copy()
     for kind, marked in ((_NUMBER, number), (_NAME, name), (_UNIT, unit)):
         words[marked] = kind

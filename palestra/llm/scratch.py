@@ -22,16 +22,26 @@ class Scratch:
         self._tables += 1
         return f"{self.folder}/{self._tables}-{name}"
 
-    def table(self, df: DataFrame, name: str = "table") -> DataFrame:
+    def table(self, df: DataFrame, name: str = "table", rows_at_once: int | None = None) -> DataFrame:
+        """The stored rows. ``rows_at_once`` bounds the rows of a batch that goes to Python,
+        for wide rows."""
         path = self.path(name)
-        df.write.parquet(path)
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        usual = self.spark.conf.get(key)
+        try:
+            if rows_at_once:
+                self.spark.conf.set(key, str(rows_at_once))
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(key, usual)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:
         """Remove tables that nothing reads any more."""
+        own = self.folder.rpartition("/")[2]
         for table in tables:
             for path in {file.rpartition("/")[0] for file in table.inputFiles()}:
-                if self.folder.partition(":")[2].lstrip("/") in path or self.folder in path:
+                if own in path:
                     self.delete(path)
 
     def close(self) -> None:
