@@ -4,7 +4,8 @@ Method: signature trees. Every set of shingles has a bitmap. The sets that share
 of their prefixes, which is necessary for a link, form a tree: leaves of a few sets of like
 size, branches of some leaves, each node with the OR of its bitmaps, its range of sizes and
 its labels. Pairs of branches, then pairs of leaves, then pairs of sets are dropped if the
-largest possible overlap is too small for a link. What is left is verified on the full sets.
+largest possible overlap is too small for a link, by bitmaps, by sizes, and by what is left
+of the sets behind the shared shingle, since the first one that two sets share decides. What is left is verified on the full sets.
 
 The prefix of a set is its first shingles in an order that all sets share: shingles seen
 often come last, so a passage that many documents share makes no large tree. Equal sets are
@@ -38,6 +39,8 @@ WORDS_OF_BITMAP = 16  # of 64 bits
 LEAF = 32  # sets in a leaf, leaves in a branch
 # Shingles that go last in the common order: at most so many, each counted at least so often.
 HEAVY, HEAVY_COUNT = 1 << 17, 8
+# Shingles that a task counts at a time for that.
+COUNTED_AT_ONCE = 1_500_000
 # Bits of the filter for the sets that a verification needs.
 FILTER_BITS = 22
 
@@ -122,7 +125,7 @@ def heavy_shingles(docs: DataFrame) -> np.ndarray:
         for batch in slices(batches):
             kept.append(shingle_sets(batch.column("text"))[0])
             n += len(kept[-1])
-            if n > 4_000_000:
+            if n > COUNTED_AT_ONCE:
                 yield counted()
                 kept, n = [], 0
         if kept:
@@ -140,7 +143,8 @@ def _prefix_length(sizes: np.ndarray, percent: int) -> np.ndarray:
 
 
 def postings(docs: DataFrame, heavy, percent: int = PERCENT) -> DataFrame:
-    """Prefix shingles with the key and size of their set, once per task and set."""
+    """Prefix shingles with the key and size of their set and how much of the set is left from
+    there on in the common order, once per task and set."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, seen = heavy.value, set()
@@ -159,11 +163,11 @@ def postings(docs: DataFrame, heavy, percent: int = PERCENT) -> DataFrame:
             owner, place = spread(take)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(signed(found[(np.cumsum(sizes) - sizes)[owner] + place])), pa.array(keys[owner]),
-                 pa.array(sizes[owner].astype(np.int64))],
-                names=["shingle", "key", "n"],
+                 pa.array(sizes[owner].astype(np.int64)), pa.array((sizes[owner] - place).astype(np.int64))],
+                names=["shingle", "key", "n", "reach"],
             )
 
-    return docs.select("text").mapInArrow(rows, "shingle long, key long, n long")
+    return docs.select("text").mapInArrow(rows, "shingle long, key long, n long, reach long")
 
 
 def _shared(found: DataFrame) -> DataFrame:
@@ -171,25 +175,21 @@ def _shared(found: DataFrame) -> DataFrame:
     same = Window.partitionBy("shingle")
     return (
         found.withColumns({"low": F.min("key").over(same), "high": F.max("key").over(same)})
-        .where("low <> high").select("shingle", "key", "n").distinct()
+        .where("low <> high").select("shingle", "key", "n", "reach").distinct()
     )
 
 
 def _trees(shared: DataFrame) -> DataFrame:
     """The groups of sets that share a shingle, each different group once and named by one
-    such shingle as its ``tree``."""
+    the first such shingle in the common order as its ``tree``."""
     groups = shared.groupBy("shingle").agg(
         F.count("*").alias("sets"), F.bit_xor(F.xxhash64("key")).alias("x"),
-        F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"),
+        F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"), F.sum("reach").alias("left"),
     )
-    chosen = groups.groupBy("sets", "x", "y").agg(F.min("shingle").alias("shingle"))
+    chosen = groups.groupBy("sets", "x", "y").agg(F.max_by("shingle", F.struct("left", "shingle")).alias("shingle"))
     return shared.join(chosen.select("shingle", "sets"), "shingle").withColumnRenamed("shingle", "tree")
 
 
-def _sizes_fit(a: str, b: str, percent: int):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-
 def _overlap_bound(a: str, b: str):
     """The largest overlap of any set of node a with any of node b, from the bitmaps: common
     bits, and the shingles that hide behind a bit that another one set."""
@@ -197,7 +197,7 @@ def _overlap_bound(a: str, b: str):
         F.zip_with(f"{a}_bitmap", f"{b}_bitmap", lambda x, y: F.bit_count(x.bitwiseAND(y)).cast("long")),
         F.lit(0).cast("long"), lambda total, n: total + n,
     )
-    return F.least(F.col(f"{a}_max"), F.col(f"{b}_max"), bits + F.least(f"{a}_slack", f"{b}_slack"))
+    return F.least(F.col(f"{a}_reach"), F.col(f"{b}_reach"), bits + F.least(f"{a}_slack", f"{b}_slack"))
 
 
 def _possible(a: str, b: str, percent: int):
@@ -213,12 +213,12 @@ def _possible(a: str, b: str, percent: int):
 def _node_columns() -> list:
     ors = F.array(*[F.bit_or(F.col("bitmap")[i]) for i in range(WORDS_OF_BITMAP)])
     return [ors.alias("bitmap"), F.min("min").alias("min"), F.max("max").alias("max"),
-            F.max("slack").alias("slack"), F.min("low").alias("low"), F.max("high").alias("high")]
+            F.max("reach").alias("reach"), F.max("slack").alias("slack"), F.min("low").alias("low"), F.max("high").alias("high")]
 
 
 def tree_pairs(labelled: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs of sets that the dual traversal of each tree leaves over. ``labelled`` has tree,
-    sets, key, n, label and bitmap."""
+    sets, key, n, reach, label and bitmap."""
     like = F.floor(F.log("n") / math.log(100 / percent)).cast("long")
     leaves = F.ceil(F.col("sets") / LEAF).cast("long")
     bits = F.aggregate("bitmap", F.lit(0).cast("long"), lambda t, w: t + F.bit_count(w))
@@ -227,7 +227,7 @@ def tree_pairs(labelled: DataFrame, percent: int = PERCENT) -> DataFrame:
          "low": F.col("label"), "high": F.col("label"), "slack": F.col("n") - bits}
     ).withColumn("branch", F.floor(F.col("leaf") / LEAF).cast("long"))
     leaf = members.groupBy("tree", "like", "branch", "leaf").agg(
-        *_node_columns(), F.collect_list(F.struct("key", "n", "label", "slack", "bitmap")).alias("sets")
+        *_node_columns(), F.collect_list(F.struct("key", "n", "reach", "label", "slack", "bitmap")).alias("sets")
     )
     branch = leaf.groupBy("tree", "like", "branch").agg(*_node_columns())
     side = lambda df, p: df.select("tree", *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c != "tree"])
@@ -252,12 +252,12 @@ def _columns_of(sets: pa.Array) -> tuple:
     get = lambda c: flat.field(c).to_numpy(zero_copy_only=False)
     bitmap = flat.field("bitmap").flatten().to_numpy().reshape(-1, WORDS_OF_BITMAP)
     sizes = sets.value_lengths().to_numpy(zero_copy_only=False)
-    return get("key"), get("n"), get("label"), get("slack"), bitmap, np.cumsum(sizes) - sizes, sizes
+    return get("key"), get("n"), get("label"), get("slack"), bitmap, np.cumsum(sizes) - sizes, sizes, get("reach")
 
 
-def _possible_pairs(na, nb, sa, sb, ba, bb, percent: int) -> np.ndarray:
+def _possible_pairs(na, nb, ra, rb, sa, sb, ba, bb, percent: int) -> np.ndarray:
     bits = np.bitwise_count(ba & bb).sum(axis=-1).astype(np.int64)
-    bound = np.minimum(np.minimum(na, nb), bits + np.minimum(sa, sb))
+    bound = np.minimum(np.minimum(ra, rb), bits + np.minimum(sa, sb))
     return (100 + percent) * bound >= percent * (na + nb)
 
 
@@ -274,7 +274,9 @@ def _compare_leaves(percent: int):
                 keep = a[2][i] != b[2][j]
                 keep &= (a[0][i] < b[0][j]) if own[row] else (a[0][i] != b[0][j])
                 i, j = i[keep], j[keep]
-                keep = _possible_pairs(a[1][i], b[1][j], a[3][i], b[3][j], a[4][i], b[4][j], percent)
+                near = np.minimum(a[7][i], b[7][j]) * (100 + percent) >= percent * (a[1][i] + b[1][j])
+                i, j = i[near], j[near]
+                keep = _possible_pairs(a[1][i], b[1][j], a[7][i], b[7][j], a[3][i], b[3][j], a[4][i], b[4][j], percent)
                 i, j = a[0][i[keep]], b[0][j[keep]]
                 if len(i):
                     yield pa.RecordBatch.from_arrays(
@@ -326,13 +328,13 @@ def _by_bitmaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs of sets that their own bitmaps do not rule out."""
     bits = F.aggregate("bitmap", F.lit(0).cast("long"), lambda t, w: t + F.bit_count(w))
     side = lambda p: sets.select(
-        F.col("key").alias(p), F.col("n").alias(f"{p}_min"), F.col("n").alias(f"{p}_max"),
+        F.col("key").alias(p), F.col("n").alias(f"{p}_min"), F.col("n").alias(f"{p}_reach"),
         (F.col("n") - bits).alias(f"{p}_slack"), F.col("bitmap").alias(f"{p}_bitmap"),
     )
     least = F.ceil((F.col("a_min") + F.col("b_min")) * percent / (100 + percent))
     return (
         pairs.join(side("a"), "a").join(side("b"), "b")
-        .where(_sizes_fit("a_min", "b_min", percent) & (_overlap_bound("a", "b") >= least)).select("a", "b")
+        .where((F.least("a_min", "b_min") * 100 >= F.greatest("a_min", "b_min") * percent) & (_overlap_bound("a", "b") >= least)).select("a", "b")
     )
 
 
@@ -355,7 +357,7 @@ def verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch, percent: int =
 
     side = lambda p: sets.select(F.col("key").alias(p), F.col("shingles").alias(f"{p}_set"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set")
-    links = scratch.table(both.mapInArrow(rows, "a long, b long"), "links")
+    links = scratch.table(both.mapInArrow(rows, "a long, b long"), "links", rows_at_once=200)
     scratch.drop(sets, keys)
     return links
 
@@ -401,9 +403,10 @@ def linked_sets(docs: DataFrame, sets: DataFrame, scratch: Scratch, percent: int
     # the centre of a tree: the set whose prefix others share most
     score = trees.groupBy("key").agg((F.sum(F.log2("sets")) / F.sqrt(F.max("n"))).alias("score"))
     scored = trees.join(score, "key")
-    centres = scored.groupBy("tree").agg(F.max(F.struct("score", "key", "n")).alias("c"))
+    centres = scored.groupBy("tree").agg(F.max(F.struct("score", "key", "n", "reach")).alias("c"))
     with_centre = scored.join(centres, "tree").where(
-        (F.col("key") != F.col("c.key")) & (F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent)
+        (F.col("key") != F.col("c.key"))
+        & (F.least("reach", "c.reach") * (100 + percent) >= (F.col("n") + F.col("c.n")) * percent)
     )
     spokes = with_centre.select("key", F.col("c.key").alias("centre")).distinct()
     spokes = spokes.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
@@ -425,7 +428,9 @@ def linked_sets(docs: DataFrame, sets: DataFrame, scratch: Scratch, percent: int
     labelled = trees.join(scratch.table(labels, "labels"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     open_trees = labelled.groupBy("tree").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h")
     rest = labelled.join(open_trees.select("tree"), "tree", "left_semi").join(sets.select("key", "bitmap"), "key")
-    pairs = scratch.table(tree_pairs(scratch.table(rest, "rest"), percent), "pairs")
+    rest = scratch.table(rest, "rest")
+    pairs = scratch.table(tree_pairs(rest, percent), "pairs", rows_at_once=500)
+    scratch.drop(rest, trees)
     # what the first comparison has decided is not decided again
     return first.unionByName(verified(docs, pairs, scratch, percent))
 
