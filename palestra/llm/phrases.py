@@ -2,18 +2,19 @@
 
 Method: repeated-phrase automata. Windows of words are gathered in cells, the runs of
 neighbouring windows that share their smallest five-word hash, so equal windows meet under
-that hash, their anchor. Cells of anchors seen once go. Equal cells become one class, the
-windows of the classes are counted, and those that occur twice or more in the corpus are
-the confirmed phrases, each with its first place. Sharded by anchor, the phrases are
-compiled into Aho-Corasick automata over words, the classes of the shard are streamed
-through them, and every occurrence that is not the first one marks its words.
+that hash, their anchor. Cells of anchors seen once go, and equal cells are one class with
+its first place; the other members repeat it as a whole. Where an anchor has several
+classes, these may share some windows. There the windows of one member of each class are
+counted by their words, and those that occur in several classes are the confirmed phrases.
+Sharded by anchor, they are compiled into Aho-Corasick automata over words, the members are
+streamed through them, and each occurrence that is not the first one is marked.
 
 Counts are pre-aggregated per task, and an anchor with many classes is split over shards
 that each get its phrases, so a passage that many documents share is no hot task.
 
-Defined results: a null or empty text has no words; rows that repeat a doc_id are one
-document, so that they do not repeat each other; null ids come last; an empty table gives
-no rows; extra columns are ignored.
+Defined results: a null or empty text has no words; rows that repeat a doc_id, or have none,
+are one document, so that they do not repeat each other at the same place; null ids come
+last; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,15 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palestra.llm.arrays import Hasher, joined, signed, slices, windows, words
+from palestra.llm.arrays import Hasher, SequenceHasher, joined, signed, slices, windows, words
 from palestra.llm.scratch import Scratch
+from palestra.llm.suffixes import apply_runs, bitmap_of, first_places, keyed, passing, runs_removed
 
 WINDOW = 20
 GRAM = 5
-ANCHOR_BITS = 26
 CLASSES_PER_SHARD = 5000
 ROWS_PER_AUTOMATON = 20_000
-LAST = 2**63 - 1
 
 
 def _first_smallest(values: np.ndarray, width: int) -> np.ndarray:
@@ -50,72 +50,82 @@ def _first_smallest(values: np.ndarray, width: int) -> np.ndarray:
 
 def cells(data: np.ndarray, offsets: np.ndarray):
     """Runs of windows with one anchor: the text, the first word within it, the number of
-    windows and the anchor's hash."""
+    windows, the anchor's hash and the hash of all words of the cell."""
     starts, ends, first = words(data, offsets)
-    grams = windows(Hasher(data)(starts, ends), GRAM)
+    hashes = Hasher(data)(starts, ends)
+    grams = windows(hashes, GRAM)
     place = _first_smallest(grams, WINDOW - GRAM + 1)[: max(0, len(starts) - WINDOW + 1)]
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     n = len(place)
-    whole = text[:n] == text[WINDOW - 1 : WINDOW - 1 + n]
-    at = np.flatnonzero(whole)
+    at = np.flatnonzero(text[:n] == text[WINDOW - 1 : WINDOW - 1 + n])
     if len(at) == 0:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     new = np.ones(len(at), bool)
     new[1:] = (place[at[1:]] != place[at[:-1]]) | (at[1:] != at[:-1] + 1)
     opens = np.flatnonzero(new)
     sizes = np.diff(np.append(opens, len(at)))
     begin = at[opens]
-    return text[begin], begin - first[text[begin]], sizes, grams[place[begin]]
+    cell = SequenceHasher(hashes)(begin, begin + sizes + WINDOW - 1)
+    return text[begin], begin - first[text[begin]], sizes, grams[place[begin]], cell
 
 
-def _anchor_filter(docs: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size that anchors of two or more cells pass."""
-
+def _recurring_anchors(docs: DataFrame) -> np.ndarray:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             values, counts = np.unique(cells(*joined(batch.column("text")))[3], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(signed(values)), pa.array(counts)], names=["anchor", "n"])
 
     counts = docs.select("text").mapInArrow(rows, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    low = F.col("anchor").bitwiseAND(2**ANCHOR_BITS - 1)
-    found = counts.where("n > 1").groupBy(F.shiftright(low, 6).alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, CAST((anchor & {2**ANCHOR_BITS - 1}) & 63 AS INT))")).alias("bits")
-    )
-    bitmap = np.zeros(2 ** (ANCHOR_BITS - 6), np.int64)
-    for word, bits in found.toLocalIterator():
-        bitmap[word] = bits
-    return bitmap.view(np.uint64)
+    return bitmap_of(counts.where("n > 1"), "anchor")
 
 
 def recurring_cells(docs: DataFrame) -> DataFrame:
-    """Cells whose anchor recurs, with their words."""
-    passing = docs.sparkSession.sparkContext.broadcast(_anchor_filter(docs))
+    """Where the cells of recurring anchors are."""
+    recurring = docs.sparkSession.sparkContext.broadcast(_recurring_anchors(docs))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            text, start, sizes, anchor = cells(*joined(batch.column("text")))
-            low = (anchor & np.uint64(2**ANCHOR_BITS - 1)).astype(np.int64)
-            keep = (passing.value[low >> 6] >> (low & 63).astype(np.uint64)) & np.uint64(1) > 0
-            text, start, sizes, anchor = text[keep], start[keep], sizes[keep], anchor[keep]
-            parts, row, split = [], -1, []
-            for r, a, n in zip(text.tolist(), start.tolist(), sizes.tolist()):
+            text, start, sizes, anchor, cell = cells(*joined(batch.column("text")))
+            keep = passing(anchor, recurring.value)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(anchor[keep])), pa.array(signed(cell[keep])),
+                 *(batch.column(c).take(pa.array(text[keep])) for c in ("doc", "copy")),
+                 pa.array(start[keep]), pa.array(sizes[keep])],
+                names=["anchor", "cell", "doc", "copy", "start", "size"],
+            )
+
+    return keyed(docs).select("doc", "copy", "text").mapInArrow(
+        rows, "anchor long, cell long, doc long, copy long, start long, size long"
+    )
+
+
+def _lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The words of the first member of each class."""
+    is_first = first_places(classes, "cell")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            text, start, sizes, anchor, cell = cells(*joined(batch.column("text")))
+            keep = np.flatnonzero(is_first(cell, batch.column("doc").to_numpy()[text], start))
+            lines, row, split = [], -1, []
+            for r, a, n in zip(text[keep].tolist(), start[keep].tolist(), sizes[keep].tolist()):
                 if r != row:
                     row, split = r, batch.column("text")[r].as_py().encode().split()
-                parts.append(b" ".join(split[a : a + n + WINDOW - 1]))
+                lines.append(b" ".join(split[a : a + n + WINDOW - 1]).decode())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(anchor)), pa.array([b.decode() for b in parts], pa.string()),
-                 batch.column("doc_id").take(pa.array(text)).cast(pa.int64()), pa.array(start)],
-                names=["anchor", "words", "doc", "start"],
+                [pa.array(signed(anchor[keep])), pa.array(signed(cell[keep])),
+                 batch.column("doc").take(pa.array(text[keep])), pa.array(start[keep]), pa.array(lines, pa.string())],
+                names=["anchor", "cell", "doc", "start", "words"],
             )
 
-    found = docs.select("doc_id", "text").mapInArrow(rows, "anchor long, words string, doc long, start long")
-    return found.withColumns(
-        {"doc": F.coalesce("doc", F.lit(LAST)), "x": F.xxhash64("words"), "y": F.xxhash64("words", F.lit(1))}
-    )
+    found = keyed(docs).select("doc", "text").mapInArrow(rows, "anchor long, cell long, doc long, start long, words string")
+    key = ["anchor", "cell", "doc", "start"]
+    # rows that repeat a doc_id give the same cell at the same place
+    return found.join(classes.select(*key), key, "left_semi").dropDuplicates(key)
 
 
 def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of each class: its words, and where the class has it first."""
+    """Each window of each line: its words, and where it is."""
     for batch in batches:
         owner, step, text = [], [], []
         for row, line in enumerate(batch.column("words").to_pylist()):
@@ -126,18 +136,18 @@ def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text.append(" ".join(split[k : k + WINDOW]))
         at = pa.array(owner, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(c).take(at) for c in ("anchor", "x", "y", "doc", "start", "n")]
+            [batch.column(c).take(at) for c in ("anchor", "cell", "doc", "start")]
             + [pa.array(step, pa.int64()), pa.array(text, pa.string())],
-            names=["anchor", "x", "y", "doc", "start", "n", "step", "window"],
+            names=["anchor", "cell", "doc", "start", "step", "window"],
         )
 
 
 def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Phrases and classes come sorted by shard, phrases first. For each class: the windows
-    that have an earlier place, and those whose first place is the class's own."""
+    """Phrases and lines come sorted by shard, phrases first. For each line the windows that
+    have an earlier place than their own in it."""
     import ahocorasick
 
-    def streamed(phrases: list, classes: list) -> pa.RecordBatch:
+    def streamed(phrases: list, lines: list) -> pa.RecordBatch:
         ids: dict[str, int] = {}
         number = lambda line: tuple(ids.setdefault(w, len(ids)) for w in line.split(" "))
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
@@ -146,87 +156,80 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in steps:
                 automaton.add_word(numbers[k : k + WINDOW], (doc, start + k))
         automaton.make_automaton()
-        again, own = [], []
-        for line, doc, start, _, _ in classes:
-            hits = [[], []]
-            if len(automaton):
-                for end, place in automaton.iter(number(line)):
-                    step = end - WINDOW + 1
-                    hits[place == (doc, start + step)].append(step)
-            again.append(hits[0])
-            own.append(hits[1])
-        columns = [[c[i] for c in classes] for i in (3, 4, 1, 2)]
-        lists = pa.list_(pa.int64())
+        again = []
+        for line, doc, start, _, _ in lines:
+            hits = automaton.iter(number(line)) if len(automaton) else ()
+            steps = ((end - WINDOW + 1, place) for end, place in hits)
+            again.append([k for k, place in steps if place != (doc, start + k)])
+        columns = [pa.array([c[i] for c in lines], pa.int64()) for i in (3, 4)]
         return pa.RecordBatch.from_arrays(
-            [*(pa.array(c, pa.int64()) for c in columns), pa.array(again, lists), pa.array(own, lists)],
-            names=["x", "y", "first_doc", "first_start", "again", "own"],
+            [*columns, pa.array(again, pa.list_(pa.int64()))], names=["anchor", "cell", "again"]
         )
 
-    phrases, classes, shard = [], [], None
+    phrases, lines, shard = [], [], None
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "part", "words", "doc", "start", "x", "y", "steps"))):
-            if row[:2] != shard:
-                if len(classes) + len(phrases) >= ROWS_PER_AUTOMATON:
-                    yield streamed(phrases, classes)
-                    phrases, classes = [], []
-                shard = row[:2]
-            if row[7] is not None:
-                phrases.append((row[2], row[3], row[4], row[7]))
+        columns = ("anchor", "part", "words", "doc", "start", "cell", "steps")
+        for anchor, part, words_, doc, start, cell, steps in zip(*(batch.column(c).to_pylist() for c in columns)):
+            if (anchor, part) != shard:
+                if len(lines) + len(phrases) >= ROWS_PER_AUTOMATON:
+                    yield streamed(phrases, lines)
+                    phrases, lines = [], []
+                shard = anchor, part
+            if steps is not None:
+                phrases.append((words_, doc, start, steps))
             else:
-                classes.append(row[2:7])
-                if len(classes) >= 4 * ROWS_PER_AUTOMATON:  # within one shard its phrases stay
-                    yield streamed(phrases, classes)
-                    classes = []
-    if classes:
-        yield streamed(phrases, classes)
+                lines.append((words_, doc, start, anchor, cell))
+                if len(lines) >= 4 * ROWS_PER_AUTOMATON:  # within one shard its phrases stay
+                    yield streamed(phrases, lines)
+                    lines = []
+    if lines:
+        yield streamed(phrases, lines)
 
 
 def repeated_windows(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Per document the starts of windows whose words also start earlier."""
+    """Per document runs of starts of windows whose words also start earlier."""
     found = scratch.table(recurring_cells(docs), "cells")
-    key = ["anchor", "x", "y"]
+    key = ["anchor", "cell", "size"]
     classes = scratch.table(
-        found.groupBy("anchor", "words", "x", "y")
-        .agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n"))
-        .select(*key, "words", "first.doc", "first.start", "n"),
+        found.groupBy(*key).agg(F.min(F.struct("doc", "start")).alias("first")).select(*key, "first.doc", "first.start"),
         "classes",
     )
-    pieces = classes.mapInArrow(
-        _windows_of, "anchor long, x long, y long, doc long, start long, n long, step long, window string"
+    several = scratch.table(
+        classes.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+        .select("anchor", F.ceil(F.col("n") / CLASSES_PER_SHARD).cast("long").alias("parts")),
+        "several",
+    )
+    compared = scratch.table(classes.join(several, "anchor", "left_semi"), "compared")
+    lines = scratch.table(_lines(docs, compared).join(several, "anchor"), "lines")
+    pieces = lines.mapInArrow(
+        _windows_of, "anchor long, cell long, doc long, start long, step long, window string"
     )
-    place = F.struct(F.col("doc"), (F.col("start") + F.col("step")).alias("at"), "step", "x", "y")
+    place = F.struct("doc", (F.col("start") + F.col("step")).alias("at"), "step", "cell")
     confirmed = (
-        pieces.select("anchor", F.xxhash64("window").alias("h"), F.xxhash64("window", F.lit(1)).alias("g"), place.alias("place"), "n")
-        .groupBy("anchor", "h", "g").agg(F.min("place").alias("first"), F.sum("n").alias("n")).where("n > 1")
-        .groupBy("anchor", F.col("first.x").alias("x"), F.col("first.y").alias("y"))
+        pieces.select("anchor", F.xxhash64("window").alias("h"), F.xxhash64("window", F.lit(1)).alias("g"), place.alias("place"))
+        .groupBy("anchor", "h", "g").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+        .groupBy("anchor", F.col("first.cell").alias("cell"))
         .agg(F.collect_list("first.step").alias("steps"))  # of one cell: at most 16
     )
-    sizes = classes.groupBy("anchor").agg(F.ceil(F.count("*") / CLASSES_PER_SHARD).cast("long").alias("parts"))
-    phrases = classes.join(confirmed, key).join(sizes, "anchor").select(
-        *key, "words", "doc", "start", "steps", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+    phrases = lines.join(confirmed, ["anchor", "cell"]).select(
+        "anchor", "cell", "words", "doc", "start", "steps",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
     )
-    streams = classes.join(sizes, "anchor").select(
-        *key, "words", "doc", "start", F.lit(None).cast("array<long>").alias("steps"),
-        F.pmod(F.col("x"), F.col("parts")).alias("part"),
+    streams = lines.select(
+        "anchor", "cell", "words", "doc", "start", F.lit(None).cast("array<long>").alias("steps"),
+        F.pmod("cell", "parts").alias("part"),
     )
     sharded = phrases.unionByName(streams).repartition("anchor", "part").sortWithinPartitions(
         "anchor", "part", F.col("steps").isNull()
     )
-    located = sharded.mapInArrow(
-        _located, "x long, y long, first_doc long, first_start long, again array<long>, own array<long>"
-    ).where("size(again) > 0 OR size(own) > 0")
-    is_first = (F.col("doc") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))
-    marks = F.when(is_first, F.col("again")).otherwise(F.concat("again", "own"))
-    members = found.select("x", "y", "doc", "start").join(located, ["x", "y"])
-    return members.select("doc", F.transform(marks, lambda k: F.col("start") + k).alias("starts")).where("size(starts) > 0")
+    located = sharded.mapInArrow(_located, "anchor long, cell long, again array<long>").where("size(again) > 0")
+    return runs_removed(found, classes.join(located, ["anchor", "cell"], "left"), key)
 
 
 def deduplicated(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Per document the number of words, of removed ones, and the words that are left, as
     one text with single spaces."""
     scratch = scratch or Scratch(docs.sparkSession)
-    marks = repeated_windows(docs, scratch).groupBy("doc").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    keyed = docs.select("doc_id", "text").withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
     schema = T.StructType(
         [docs.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
          T.StructField("text", T.StringType())]
@@ -235,13 +238,13 @@ def deduplicated(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             total, removed, kept = [], [], []
-            for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts")):
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("runs")):
                 split = (text or "").encode().split()
                 marked = np.zeros(len(split) + 1, np.int64)
-                if starts.is_valid:
-                    at = np.unique(starts.values.to_numpy())
-                    np.add.at(marked, at, 1)
-                    np.add.at(marked, at + WINDOW, -1)
+                if found.is_valid:
+                    start = found.values.field("start").to_numpy()
+                    np.add.at(marked, start, 1)
+                    np.add.at(marked, start + found.values.field("n").to_numpy() + WINDOW - 1, -1)
                 gone = np.cumsum(marked[:-1]) > 0
                 total.append(len(split))
                 removed.append(int(gone.sum()))
@@ -251,7 +254,7 @@ def deduplicated(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
                 names=schema.names,
             )
 
-    return keyed.join(marks, "doc", "left").select("doc_id", "text", "starts").mapInArrow(rows, schema)
+    return apply_runs(docs, repeated_windows(docs, scratch), rows, schema, scratch)
 
 
 def digests(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:

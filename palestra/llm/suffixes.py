@@ -11,10 +11,11 @@ equality within the length counts, so ranks are replaced by hashes of the trunca
 suffixes. An entry that is alone at its trigger needs no suffixes at all: its first
 occurrence stays, the others repeat it. That is why copies cost a row per phrase only.
 
-Counts and first places are pre-aggregated per task; nothing is grouped beyond one string.
+Counts and first places are pre-aggregated per task; nothing is grouped beyond one string
+or a bounded number of entries.
 
-Defined results: a null text is empty; rows that repeat a doc_id are one document, so that
-they do not repeat each other; null ids come last; an empty table gives no rows; extra
+Defined results: a null text is empty; rows that repeat a doc_id, or have none, are one
+document, so that they do not repeat each other at the same place; null ids come last; an empty table gives no rows; extra
 columns are ignored.
 """
 
@@ -28,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palestra.llm.arrays import Hasher, joined, signed, slices
+from palestra.llm.arrays import Hasher, joined, mixed, signed, slices
 from palestra.llm.scratch import Scratch
 
 LENGTH = 100
 TRIGGER = 12
 FILTER_BITS = 26
+# Entries whose suffixes are put in order together.
+ENTRIES_AT_ONCE = 10_000
 LAST = 2**63 - 1
 
 
@@ -82,12 +85,12 @@ class Entries:
         self.entry = hasher(self.begin, self.begin + self.size + LENGTH - 1)
 
 
-def _passing(values: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+def passing(values: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     low = (values & np.uint64(2**FILTER_BITS - 1)).astype(np.int64)
     return (bitmap[low >> 6] >> (low & 63).astype(np.uint64)) & np.uint64(1) > 0
 
 
-def _bitmap(found: DataFrame, column: str) -> np.ndarray:
+def bitmap_of(found: DataFrame, column: str) -> np.ndarray:
     """A bitmap of fixed size that all values of the column pass."""
     mask = 2**FILTER_BITS - 1
     words = found.groupBy(F.shiftright(F.col(column).bitwiseAND(mask), 6).alias("word")).agg(
@@ -99,6 +102,26 @@ def _bitmap(found: DataFrame, column: str) -> np.ndarray:
     return bitmap.view(np.uint64)
 
 
+def _place_hash(content: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A hash of a content at a place."""
+    place = doc.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start.astype(np.int64).view(np.uint64)
+    return mixed(content.view(np.uint64) ^ mixed(place))
+
+
+def first_places(classes: DataFrame, content: str):
+    """A test for the places of the classes' first members, by a bitmap of fixed size: of the
+    members of a class hardly another one passes."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _place_hash(*(batch.column(c).to_numpy() for c in (content, "doc", "start")))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(found))], names=["h"])
+
+    places = classes.select(content, "doc", "start").mapInArrow(rows, "h long")
+    bitmap = classes.sparkSession.sparkContext.broadcast(bitmap_of(places, "h"))
+    return lambda contents, doc, start: passing(_place_hash(contents, doc, start), bitmap.value)
+
+
 def _recurring_triggers(docs: DataFrame) -> np.ndarray:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -106,7 +129,7 @@ def _recurring_triggers(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(signed(values)), pa.array(counts)], names=["trigger", "n"])
 
     counts = docs.select("text").mapInArrow(rows, "trigger long, n long").groupBy("trigger").agg(F.sum("n").alias("n"))
-    return _bitmap(counts.where("n > 1"), "trigger")
+    return bitmap_of(counts.where("n > 1"), "trigger")
 
 
 def parse(docs: DataFrame) -> DataFrame:
@@ -116,31 +139,87 @@ def parse(docs: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             e = Entries(*joined(batch.column("text")))
-            keep = _passing(e.trigger, recurring.value)
+            keep = passing(e.trigger, recurring.value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(signed(e.trigger[keep])), pa.array(signed(e.entry[keep])),
-                 batch.column("doc").take(pa.array(e.row[keep])), pa.array(e.start[keep]), pa.array(e.size[keep])],
-                names=["trigger", "entry", "doc", "start", "size"],
+                 *(batch.column(c).take(pa.array(e.row[keep])) for c in ("doc", "copy")),
+                 pa.array(e.start[keep]), pa.array(e.size[keep])],
+                names=["trigger", "entry", "doc", "copy", "start", "size"],
             )
 
-    return _keyed(docs).select("doc", "text").mapInArrow(
-        rows, "trigger long, entry long, doc long, start long, size long"
+    return keyed(docs).select("doc", "copy", "text").mapInArrow(
+        rows, "trigger long, entry long, doc long, copy long, start long, size long"
     )
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
+def keyed(docs: DataFrame) -> DataFrame:
+    """With ``doc`` to order by, and ``copy`` to tell texts of one doc_id apart."""
+    return docs.select("doc_id", "text").withColumns(
+        {"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "copy": F.xxhash64("text")}
+    )
 
 
-def _suffixes(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """The truncated suffixes of the dictionary entries, as hashes, each with the place where
-    the entry occurs first."""
-    wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(dictionary, "entry"))
+def _suffixes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The truncated suffixes of the entries of a batch: the row, the step and the hash."""
+    data, offsets = joined(batch.column("content"))
+    sizes = np.maximum(np.diff(offsets) - LENGTH + 1, 0)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    step = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    begin = offsets[:-1][owner] + step
+    return owner, step, Hasher(data)(begin, begin + LENGTH)
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per suffix."""
+    for batch in slices(batches, "content"):
+        owner, step, suffix = _suffixes(batch)
+        columns = [batch.column(c).take(pa.array(owner)) for c in ("trigger", "entry", "doc", "start")]
+        yield pa.RecordBatch.from_arrays(
+            [*columns, pa.array(step), pa.array(signed(suffix))],
+            names=["trigger", "entry", "doc", "start", "step", "suffix"],
+        )
+
+
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries come sorted by trigger. Their suffixes are put in order, and of equal ones the
+    first in the corpus goes to its entry."""
+
+    def sorted_out(kept: list[pa.RecordBatch]) -> pa.RecordBatch:
+        batch = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+        owner, step, suffix = _suffixes(batch)
+        trigger, doc, start = (batch.column(c).to_numpy()[owner] for c in ("trigger", "doc", "start"))
+        order = np.lexsort((start + step, doc, suffix, trigger))
+        new = np.ones(len(order), bool)
+        new[1:] = (trigger[order[1:]] != trigger[order[:-1]]) | (suffix[order[1:]] != suffix[order[:-1]])
+        firsts = np.sort(order[new])
+        places = np.searchsorted(owner[firsts], np.arange(batch.num_rows + 1)).astype(np.int32)
+        own = pa.ListArray.from_arrays(pa.array(places), pa.array(step[firsts]))
+        return pa.RecordBatch.from_arrays([batch.column("trigger"), batch.column("entry"), own], names=["trigger", "entry", "own"])
+
+    kept, rows = [], 0
+    for batch in slices(batches, "content"):
+        trigger = batch.column("trigger").to_numpy()
+        cuts = np.flatnonzero(trigger[1:] != trigger[:-1]) + 1
+        if rows + batch.num_rows > ENTRIES_AT_ONCE and rows and kept[-1].column("trigger")[-1].as_py() != trigger[0]:
+            yield sorted_out(kept)
+            kept, rows = [], 0
+        elif rows + batch.num_rows > ENTRIES_AT_ONCE and len(cuts):
+            yield sorted_out([*kept, batch.slice(0, cuts[-1])])
+            kept, rows, batch = [], 0, batch.slice(cuts[-1])
+        kept.append(batch)
+        rows += batch.num_rows
+    if rows:
+        yield sorted_out(kept)
+
+
+def _contents(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """The bytes of the dictionary entries, where they occur first."""
+    is_first = first_places(dictionary, "entry")
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             e = Entries(*joined(batch.column("text")))
-            keep = np.flatnonzero(_passing(e.entry, wanted.value))
+            keep = np.flatnonzero(is_first(e.entry, batch.column("doc").to_numpy()[e.row], e.start))
             raw = e.data.tobytes()
             ends = e.begin[keep] + e.size[keep] + LENGTH - 1
             yield pa.RecordBatch.from_arrays(
@@ -150,27 +229,29 @@ def _suffixes(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
                 names=["trigger", "entry", "doc", "start", "content"],
             )
 
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "content"):
-            data, offsets = joined(batch.column("content"))
-            sizes = np.maximum(np.diff(offsets) - LENGTH + 1, 0)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            step = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            begin = offsets[:-1][owner] + step
-            take = pa.array(owner)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(take) for c in ("trigger", "entry", "doc", "start")), pa.array(step),
-                 pa.array(signed(Hasher(data)(begin, begin + LENGTH)))],
-                names=["trigger", "entry", "doc", "start", "step", "suffix"],
-            )
-
-    found = _keyed(docs).select("doc", "text").mapInArrow(
+    found = keyed(docs).select("doc", "text").mapInArrow(
         contents, "trigger long, entry long, doc long, start long, content binary"
     )
     first = found.join(dictionary.select("trigger", "entry", "doc", "start"), ["trigger", "entry", "doc", "start"], "left_semi")
     # rows that repeat a doc_id give the same entry at the same place
-    return first.dropDuplicates(["trigger", "entry", "doc", "start"]).mapInArrow(
-        suffixes, "trigger long, entry long, doc long, start long, step long, suffix long"
+    return first.dropDuplicates(["trigger", "entry", "doc", "start"])
+
+
+def _own_suffixes(contents: DataFrame, several: DataFrame) -> DataFrame:
+    """Per entry the steps of the suffixes that no earlier place of the corpus has. The entries
+    of a trigger are ordered together; those of a trigger with many are compared through one
+    row per suffix instead, pre-aggregated, so that no trigger is a hot task."""
+    usual = contents.join(several.where(F.col("n") <= ENTRIES_AT_ONCE), "trigger", "left_semi")
+    ordered = usual.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(
+        _ordered, "trigger long, entry long, own array<long>"
+    )
+    place = F.struct("doc", (F.col("start") + F.col("step")).alias("at"), "entry", "step")
+    listed = contents.join(several.where(F.col("n") > ENTRIES_AT_ONCE), "trigger", "left_semi").mapInArrow(
+        _listed, "trigger long, entry long, doc long, start long, step long, suffix long"
+    )
+    firsts = listed.groupBy("trigger", "suffix").agg(F.min(place).alias("first"))
+    return ordered.unionByName(
+        firsts.groupBy("trigger", F.col("first.entry").alias("entry")).agg(F.collect_set("first.step").alias("own"))
     )
 
 
@@ -182,29 +263,57 @@ def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
         found.groupBy(*key).agg(F.min(F.struct("doc", "start")).alias("first")).select(*key, "first.doc", "first.start"),
         "dictionary",
     )
-    several = dictionary.groupBy("trigger").agg(F.count("*").alias("n")).where("n > 1").select("trigger")
+    several = scratch.table(dictionary.groupBy("trigger").agg(F.count("*").alias("n")).where("n > 1"), "several")
     compared = scratch.table(dictionary.join(several, "trigger", "left_semi"), "compared")
-    place = F.struct("doc", (F.col("start") + F.col("step")).alias("at"), "entry", "step")
-    firsts = _suffixes(docs, compared).groupBy("trigger", "suffix").agg(F.min(place).alias("first"))
-    own = firsts.groupBy("trigger", F.col("first.entry").alias("entry")).agg(F.collect_set("first.step").alias("own"))
+    contents = scratch.table(_contents(docs, compared), "contents")
+    own = scratch.table(_own_suffixes(contents, several), "own")
+    scratch.drop(contents)
     known = compared.join(own, ["trigger", "entry"], "left").select(
-        *key, F.col("doc").alias("first_doc"), F.col("start").alias("first_start"),
+        *key, "doc", "start",
         F.array_except(F.sequence(F.lit(0).cast("long"), F.col("size") - 1), F.coalesce("own", F.array().cast("array<long>"))).alias("again"),
     )
     alone = dictionary.join(several, "trigger", "left_anti").select(
-        *key, F.col("doc").alias("first_doc"), F.col("start").alias("first_start"), F.array().cast("array<long>").alias("again")
+        *key, "doc", "start", F.lit(None).cast("array<long>").alias("again")
     )
+    return runs_removed(found, known.unionByName(alone), key)
+
+
+def runs_removed(found: DataFrame, classes: DataFrame, key: list[str]) -> DataFrame:
+    """Members of a class but its first repeat it as a whole. The first, whose place the class
+    has, repeats others at the steps in ``again``, if any."""
+    firsts = classes.select(*key, F.col("doc").alias("first_doc"), F.col("start").alias("first_start"), "again")
     is_first = (F.col("doc") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))
-    all_of_it = F.array(F.struct(F.col("start").alias("start"), F.col("size").alias("n")))
-    some = F.transform("again", lambda k: F.struct((F.col("start") + k).alias("start"), F.lit(1).cast("long").alias("n")))
-    marks = found.join(known.unionByName(alone), key).select("doc", F.when(is_first, some).otherwise(all_of_it).alias("runs"))
-    return marks.where("size(runs) > 0")
+    one = F.lit(1).cast("long")
+    some = F.transform("again", lambda k: F.struct((F.col("start") + k).alias("start"), one.alias("n")))
+    whole = F.array(F.struct(F.col("start").alias("start"), F.col("size").alias("n")))
+    return found.join(firsts, key).select("doc", "copy", F.when(is_first, some).otherwise(whole).alias("runs")).where("size(runs) > 0")
+
+
+def apply_runs(docs: DataFrame, runs: DataFrame, remove, schema: T.StructType, scratch: Scratch) -> DataFrame:
+    """``remove`` over doc_id, text and the document's runs. Only documents that may have runs,
+    by a bitmap of fixed size, are joined with theirs; the texts of the others stay in place."""
+    of_doc = runs.groupBy("doc", "copy").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    stored = scratch.table(of_doc.withColumn("h", F.xxhash64("doc", "copy")), "runs")
+    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(stored, "h"))
+    hashed = keyed(docs).withColumn("h", F.xxhash64("doc", "copy"))
+
+    def chosen(with_runs: bool):
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = passing(batch.column("h").to_numpy().view(np.uint64), bitmap.value)
+                yield batch.filter(pa.array(hit == with_runs))
+
+        return hashed.mapInArrow(rows, hashed.schema)
+
+    joined_runs = chosen(True).join(stored.select("doc", "copy", "runs"), ["doc", "copy"], "left")
+    plain = chosen(False).withColumn("runs", F.lit(None).cast(stored.schema["runs"].dataType))
+    parts = [df.select("doc_id", "text", "runs").mapInArrow(remove, schema) for df in (joined_runs, plain)]
+    return parts[0].unionByName(parts[1])
 
 
 def deduplicated(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Per document its bytes without the repeated strings, and how much was removed."""
     scratch = scratch or Scratch(docs.sparkSession)
-    runs = repeated(docs, scratch).groupBy("doc").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     schema = T.StructType(
         [docs.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")),
          T.StructField("kept", T.BinaryType())]
@@ -231,7 +340,7 @@ def deduplicated(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
                 names=schema.names,
             )
 
-    return _keyed(docs).join(runs, "doc", "left").select("doc_id", "text", "runs").mapInArrow(rows, schema)
+    return apply_runs(docs, repeated(docs, scratch), rows, schema, scratch)
 
 
 def digests(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:

@@ -241,6 +241,17 @@ def test_bytes_leave_all_but_their_first_place(docs):
     assert sorted_rows(suffixes.digests(docs)) == by_rows(expected)
 
 
+def test_different_texts_of_one_id(spark):
+    """Each text loses what it repeats, and nothing that only the other one repeats."""
+    shared = prose(31, 60)
+    data = [(1, shared, None, None, None), (2, prose(32, 40) + " " + shared, None, None, None),
+            (2, prose(33, 12), None, None, None), (None, prose(34, 30) + " " + shared, None, None, None),
+            (None, prose(35, 15), None, None, None)]
+    for found in (phrases.deduplicated(documents(spark, data)), suffixes.deduplicated(documents(spark, data))):
+        sizes = sorted((r["doc_id"] or 0, r["n_removed"] > 0) for r in found.collect())
+        assert sizes == [(0, False), (0, True), (1, False), (2, False), (2, True)]
+
+
 def test_no_documents_have_no_passages(spark):
     assert phrases.digests(empty(spark)).count() == 0 and suffixes.digests(empty(spark)).count() == 0
 
@@ -324,7 +335,7 @@ def test_outliers_of_a_group_go_and_the_rest_stays(spark):
     gone = {r[0] for r in quality.verdicts(docs).where("NOT kept").select("doc_id").collect()}
     assert gone == {1000 + k for k in range(5)}
     kept = quality.filtered(docs)
-    assert kept.columns == docs.columns and kept.schema == docs.schema
+    assert kept.dtypes == docs.dtypes
     assert {r[0] for r in kept.select("doc_id").collect()} == {k for k, *_ in data} - gone
     assert quality.verdicts(empty(spark)).count() == 0 and quality.filtered(empty(spark)).count() == 0
 
@@ -341,3 +352,12 @@ def test_registered_names():
     names = list(queries.queries())
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
     assert set(queries.oracle_sql()) < set(names) and len(texts()) == 40
+
+
+@pytest.mark.parametrize("name", list(queries.oracle_sql()))
+def test_queries_match_their_sql(spark, name):
+    from check_oracle import compare, oracle_connection
+
+    path = "/root/testdata/sf0.001"
+    rows_, difference = compare(queries.queries()[name](spark, path), oracle_connection(path), name)
+    assert difference == "" and rows_ > 0
