@@ -33,7 +33,8 @@ from palestra.llm.arrays import Hasher, joined, mixed, signed, slices
 from palestra.llm.scratch import Scratch
 
 LENGTH = 100
-TRIGGER = 12
+# Long enough that other text hardly shares a trigger, short enough that a string has two or more.
+TRIGGER = 32
 FILTER_BITS = 26
 # Entries whose suffixes are put in order together.
 ENTRIES_AT_ONCE = 10_000
