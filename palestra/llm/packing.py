@@ -12,6 +12,9 @@ document is left. Then each piece finds its place by its length and rank in one
 Ranks are counted per length and salt, so a length that a third of all pieces have is no
 hot group, and only lengths and keys are shuffled.
 
+Ids are those of the tokenizer's JSON beside the ranks file, without special tokens put
+around a text. The added tokens that it lists are found inside texts, as its library does.
+
 Defined results: a null or empty text is the end token alone; repeated rows and null ids
 are packed each; an empty table gives an empty result; extra columns are ignored.
 """
@@ -19,9 +22,11 @@ are packed each; an empty table gives an empty result; extra columns are ignored
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -44,9 +49,22 @@ BROADCAST_ROWS = 100_000
 _encoders: dict[str, tuple] = {}
 
 
+def _added_tokens(ranks_file: str) -> dict[str, int]:
+    """The added tokens of the vocabulary, from its JSON; none if there is no JSON."""
+    listed = Path(ranks_file).with_suffix(".json")
+    if not listed.exists():
+        return {}
+    found = json.loads(listed.read_text(encoding="utf-8")).get("added_tokens") or []
+    for token in found:
+        if token["single_word"] or token["lstrip"] or token["rstrip"]:
+            raise ValueError(f"added token {token['content']!r} does not stand for its text alone")
+    return {token["content"]: token["id"] for token in found}
+
+
 def _encoder(ranks_file: str):
-    """Encoders of the vocabulary for texts without and with neighbouring white space. Without
-    it, the usual pattern needs no look-ahead, which makes splitting much faster."""
+    """Encoders of the vocabulary for texts without and with neighbouring white space, and its
+    added tokens. Without white space side by side, the usual pattern needs no look-ahead,
+    which makes splitting much faster."""
     if ranks_file not in _encoders:
         import tiktoken
 
@@ -57,15 +75,22 @@ def _encoder(ranks_file: str):
         plain, full = (
             tiktoken.Encoding("bpe", pat_str=split + end, mergeable_ranks=ranks, special_tokens={}) for end in tail
         )
-        _encoders[ranks_file] = plain, full, re.compile(r"\s\s")
+        added = _added_tokens(ranks_file)
+        # the longest first, and nothing at all if there are none
+        marks = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")" if added else r"((?!))")
+        _encoders[ranks_file] = plain, full, re.compile(r"\s\s"), marks, added
     return _encoders[ranks_file]
 
 
 def token_ids(text: str | None, ranks_file: str) -> np.ndarray:
     """The ids of a text, with the end token."""
-    plain, full, spaces = _encoder(ranks_file)
-    text = text or ""
-    found = (full if spaces.search(text) else plain).encode_ordinary(text)
+    plain, full, spaces, marks, added = _encoder(ranks_file)
+    found = []
+    for k, part in enumerate(marks.split(text or "")):
+        if k % 2:
+            found.append(added[part])
+        else:
+            found += (full if spaces.search(part) else plain).encode_ordinary(part)
     found.append(END_TOKEN)
     return np.array(found, "<u4")
 

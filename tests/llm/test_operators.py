@@ -64,6 +64,16 @@ def test_pieces_are_packed_without_gaps(docs, capacity):
     assert found.sequence_id.nunique() <= 1.1 * least + 1
 
 
+@pytest.mark.parametrize("text", [
+    "<|endoftext|> it's", "a  <|endoftext|>  b \n<|endoftext|><|endoftext|>", "<|endoftext|>", "<|endoftext| >", "x <|endoftext|>\n\n y",
+    "é ü　ñ　x  y\r\n",
+])
+def test_added_tokens_are_found_inside_texts(text):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    expected = [*tokenizer.encode(text, add_special_tokens=False).ids, packing.END_TOKEN]
+    assert packing.token_ids(text, queries.vocabulary()).tolist() == expected
+
+
 def test_equal_lengths_fill_sequences(spark):
     counts = spark.createDataFrame([(1, 5000), (600, 10), (512, 7), (300, 100)], "length long, n long")
     placed = packing.placements(counts, 1024)
