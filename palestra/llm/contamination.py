@@ -5,14 +5,17 @@ typed placeholders. Windows of the benchmark's canonical words are hash-joined w
 of all documents. Matches of one document and item that lie on one alignment are put
 together; their slots must map each value of the item to one value of the document, else
 only windows without slots count. So a re-parameterised question is caught and a text that
-merely has the same shape is not.
+merely has the same shape is not. Windows of the words as they stand, in lower case, are
+joined too. So a verbatim copy is found however many slots it has, and also where a word is
+a name in the one text and opens a sentence in the other. The first word of an item may be
+a name, as in running text.
 
 Document windows are tested against a bitmap of the benchmark's windows before the join.
 Its size is fixed, so what is sent to the executors is bounded; what passes by chance is
 removed by the join.
 
-Defined results: null and empty texts have no windows; windows with few literal words are
-not searched for; items with fewer than four words are never found; rows that repeat a
+Defined results: null and empty texts have no windows; windows with few literal words and
+items of three words are found as they stand only, items of one or two words never; rows that repeat a
 doc_id count as one document; null ids form one group; empty tables give no rows; extra
 columns are ignored by ``matches`` and kept by ``clean``.
 """
@@ -20,6 +23,7 @@ columns are ignored by ``matches`` and kept by ``clean``.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,8 @@ from palestra.llm.scratch import Scratch
 
 WIDTH = 8
 SHORTEST = 4
+# Words of an item that is found as it stands.
+SHORTEST_EXACT = 3
 # Words of an item that must be found on one alignment, or this share of a shorter item.
 COVERED = 13
 SHARE = 0.8
@@ -60,6 +66,8 @@ _UPPER[0x41:0x5B] = True
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".!?:;\n\""]] = True
 _NUMBER, _NAME, _UNIT = (np.uint64(n) for n in (1, 2, 3))
+# Tells words as they stand from canonical ones.
+_AS_IS = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _lowered(data: np.ndarray) -> np.ndarray:
@@ -84,18 +92,20 @@ def _among(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
     return listed[at] == values
 
 
-def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per word its canonical hash and, for a slot, the hash of its value, else 0; then the
-    first word of each text, with the number of words last."""
+def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Per word its canonical hash; for a slot the hash of its value, else 0; the hash of the
+    word itself; and whether it opens a sentence and else were a name. Then the first word of
+    each text, with the number of words last."""
+    none = np.zeros(0, np.uint64)
     if len(data) == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return none, none, none, np.zeros(0, bool), np.zeros(len(offsets), np.int64)
     digit = _DIGIT[data]
     inside = _WORD[data]
     point = (data[1:-1] == 0x2E) | (data[1:-1] == 0x2C)  # within a number
     inside[1:-1] |= point & digit[:-2] & digit[2:]
     starts, ends, first = runs(inside, offsets)
     if len(starts) == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), first
+        return none, none, none, np.zeros(0, bool), first
     value = Hasher(_lowered(data))(starts, ends)
     number = digit[starts] | _among(value, _NUMBER_WORDS)
     unit = np.zeros(len(starts), bool)
@@ -108,15 +118,17 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     opens[1:] = breaks[starts[1:]] > breaks[ends[:-1]]
     opens[first[:-1][first[:-1] < len(starts)]] = True
     # words in capitals are no names
-    name = upper & ~_UPPER[second] & ~opens & ~number & ~unit
+    title = upper & ~_UPPER[second] & ~number & ~unit
+    name = title & ~opens
     words = value.copy()
     for kind, marked in ((_NUMBER, number), (_NAME, name), (_UNIT, unit)):
         words[marked] = kind
-    return words, np.where(number | name | unit, mixed(value), np.uint64(0)), first
+    return words, np.where(number | name | unit, mixed(value), np.uint64(0)), value, title & opens, first
 
 
 def _windows_of(words, slots, first, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, hashes and texts of the windows that lie in one text and have enough literals."""
+    """Starts, hashes and texts of the windows that lie in one text and have enough literals.
+    Words without slots all are literals."""
     found = windows(words, width)
     n = len(found)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -128,19 +140,33 @@ def _windows_of(words, slots, first, width: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _window_rows(key: T.StructField, widths: Sequence[int], bitmap, whole: bool):
-    """A mapInArrow function: windows with key, position and slots. ``whole`` takes a text
-    that is shorter than the widest window as one window."""
+    """A mapInArrow function: canonical windows, and those of the words as they stand, with
+    key, position and slots. ``whole`` takes a text that is shorter than the widest window as
+    one window, and its first word also as a name."""
     names = ["hash", key.name, "at", "width", "n_words", "slots"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passing = None if bitmap is None else bitmap.value
         for batch in slices(batches):
-            words, slots, first = canonical(*joined(batch.column("text")))
+            words, slots, value, title, first = canonical(*joined(batch.column("text")))
             sizes = np.diff(first)
-            for width in widths:
+            # words, slots, and the places at which windows begin, if not all
+            forms = [(words, slots, None), (mixed(value ^ _AS_IS), np.zeros_like(slots), None)]
+            if whole:
+                heads = first[:-1][sizes > 0]
+                heads = heads[title[heads]]
+                named, filled = words.copy(), slots.copy()
+                named[heads], filled[heads] = _NAME, mixed(value[heads])
+                forms.append((named, filled, heads))
+            for width, (kind, form) in product(widths, enumerate(forms)):
+                if width < SHORTEST and kind != 1:
+                    continue
+                words, slots, begins = form
                 at, hashes, text = _windows_of(words, slots, first, width)
                 if whole:
                     keep = (sizes[text] == width) if width < max(widths) else np.ones(len(at), bool)
+                    if begins is not None:
+                        keep &= np.isin(at, begins)
                 else:
                     low = (hashes & np.uint64(2**BITMAP_BITS - 1)).astype(np.int64)
                     keep = (passing[low >> 6] >> (low & 63).astype(np.uint64)) & np.uint64(1) > 0
@@ -182,7 +208,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = Non
     alignment, the number of slots there and how many of them have another value."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
-    widths = list(range(SHORTEST, WIDTH + 1))
+    widths = list(range(SHORTEST_EXACT, WIDTH + 1))
     rows, schema = _window_rows(benchmark.schema["item_id"], widths, None, whole=True)
     items = scratch.table(benchmark.select("item_id", "text").mapInArrow(rows, schema), "items")
     used = sorted(r["width"] for r in items.select("width").distinct().collect())

@@ -155,6 +155,21 @@ def test_slots_must_be_consistent(spark):
     assert [r["doc_id"] for r in contamination.matches(docs, items).collect()] == [1]
 
 
+def test_short_items_and_items_dense_in_slots_are_found(spark):
+    asked = ["What is 12 plus 15 times 3?", "Convert 5 km to m.", "Who wrote Romeo and Juliet?", "Solve 3x + 5 = 20 for x.",
+             "Tom eats red apples with great joy", "Define entropy briefly."]
+    dense = "Add 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20."
+    items = spark.createDataFrame(list(enumerate([*asked, dense])), "item_id long, text string")
+    around = [f"{prose(k, 30)} and then {t} {prose(k + 50, 30)}" for k, t in enumerate([*asked, dense])]
+    other = ["and then Bob eats red apples with great joy at last", "What is 13 plus 15 times 3?", "add 1 2 3 4 5 6 7 8 9 11 10"]
+    data = [(k, t, None, None, None) for k, t in enumerate([*around, *other, *asked, around[0].lower(), around[2].upper()])]
+    found = {(r["doc_id"], r["item_id"]): r["n_changed"] for r in contamination.matches(documents(spark, data), items).collect()}
+    n = len(around)
+    assert set(found) == {(k, k) for k in range(n)} | {(n, 4)} | {(n + 3 + k, k) for k in range(len(asked))} | {
+        (n + 3 + len(asked), 0), (n + 4 + len(asked), 2)}
+    assert found[n, 4] == 1 and sum(found.values()) == 1
+
+
 # shingle join
 
 
