@@ -31,14 +31,29 @@ from palestra.llm.arrays import LOWER, joined, slices
 @dataclass(frozen=True)
 class Rule:
     """Matches are leftmost and do not overlap; those whose ``group`` is shorter than
-    ``least`` are dropped after matching. ``value`` is the group that holds the secret."""
+    ``least`` are dropped after matching. ``value`` is the group that holds the secret,
+    ``whole`` the one whose span is reported."""
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
     value: int = 0
-
+    whole: int = 0
+
+
+# Between the lines of a key: white space, also escaped, and what code and quotes put there.
+_GAP = r"""(?:\\[nrt]|[\s"'>#*|,\\]|\+(?=\s))*+"""
+# From the header to the footer, or without one to the end of the lines of base64; a short
+# last line counts if it stands alone.
+_KEY = (
+    r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:"
+    r"(?:[^-]|-(?!----BEGIN ))*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+    rf"|(?>(?:{_GAP}(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):[^\r\n\\]*)*)"
+    rf"(?:{_GAP}[A-Za-z0-9+/]{{16,}}+={{0,2}})+"
+    rf"(?:{_GAP}[A-Za-z0-9+/]++={{0,2}}(?=[ \t]*(?:[\r\n\\\"']|\Z)))?"
+    r"|)"
+)
 
 # fixed values: the first three rules
 BASE_RULES = (
@@ -52,12 +67,16 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]{24,}", least=24),
 )
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", _KEY),
     Rule("hub_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("map_key", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^/\s:@]{1,80}:([^/\s:@]{3,80})@", value=1),
+    # begins where a run of such characters does, so that long runs are read once
+    Rule(
+        "url_login", r"(?<![a-z0-9+.-])[0-9+.-]*+([a-z][a-z0-9+.-]++://[^/\s:@]++:([^/\s:@]{3,}+)@)",
+        value=2, whole=1,
+    ),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -154,7 +173,7 @@ class Scanner:
                     texts[row] = column[row].as_py() or ""
                 for m in regex.finditer(texts[row]):
                     if len(m[rule.group]) >= rule.least:
-                        found.setdefault(row, []).append((m.start(), number, m.end(), *m.span(rule.value)))
+                        found.setdefault(row, []).append((m.start(rule.whole), number, m.end(rule.whole), *m.span(rule.value)))
         return {row: sorted(spans) for row, spans in found.items()}
 
 

@@ -331,6 +331,41 @@ def test_redaction_keeps_columns_and_clean_texts(spark):
     assert secret_scan.redacted(empty(spark)).count() == 0 and secret_scan.scan(empty(spark)).count() == 0
 
 
+def test_whole_keys_and_long_passwords_are_redacted(spark):
+    lines = [hashlib.sha512(bytes([k])).hexdigest().upper().replace("0", "+") [:64] for k in range(20)] + ["QmFz="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = "\n".join(lines)
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"
+    long = "tok" + "Ab1." * 100
+    cases = [
+        (f"a\n{begin}\n{body}\n{end}\nb", "a\n[private_key]\nb"),
+        (f"a\n{begin}\n{headers}{body}\n{end}\nb", "a\n[private_key]\nb"),
+        ('{"k": "' + f"{begin}\n{body}\n{end}".replace("\n", "\\n") + '"}', '{"k": "[private_key]"}'),
+        (f"{begin}\n{headers}{body}\n\nthen more text", "[private_key]\n\nthen more text"),
+        (f"{begin}\n{body}", "[private_key]"),
+        (f"{begin}\n{body}\n{end}\nx\n{begin}\n{body}\n{end}", "[private_key]\nx\n[private_key]"),
+        (f"the line {begin} opens a key", "the line [private_key] opens a key"),
+        (f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: 1\n\n{body}\n-----END PGP PRIVATE KEY BLOCK-----", "[private_key]"),
+        (f"see https://oauth2:{long}@host/x", "see https://oauth2:[url_login]@host/x"),
+        (f"see 1.https://{'u' * 200}:pass@host/x", f"see 1.https://{'u' * 200}:[url_login]@host/x"),
+    ]
+    docs = documents(spark, [(k, t, None, None, None) for k, (t, _) in enumerate(cases)])
+    found = {r["doc_id"]: r["text"] for r in secret_scan.redacted(docs).collect()}
+    assert [found[k] for k in range(len(cases))] == [expected for _, expected in cases]
+    spans = {r["doc_id"]: r["spans"] for r in secret_scan.scan(docs).collect()}
+    assert "url_login:6:220" in spans[9].split(",")
+
+
+def test_long_runs_are_scanned_once():
+    import time
+
+    import pyarrow as pa
+
+    began = time.time()
+    secret_scan.Scanner(secret_scan.RULES).spans(pa.array(["://" + "a1" * 500_000 + "-----BEGIN PRIVATE KEY-----" * 2000]))
+    assert time.time() - began < 30
+
+
 # quality
 
 
