@@ -15,19 +15,22 @@ Its size is fixed, so what is sent to the executors is bounded; what passes by c
 removed by the join.
 
 Defined results: null and empty texts have no windows; windows with few literal words and
-items of three words are found as they stand only, items of one or two words never; rows that repeat a
-doc_id count as one document; null ids form one group; empty tables give no rows; extra
-columns are ignored by ``matches`` and kept by ``clean``.
+items of three words are found as they stand only, items of one or two words never; each
+text is judged by itself, also those that share a doc_id or have none, and ``clean`` drops
+only the texts that hold an item; ``matches`` gives one row for each doc_id and item, of the
+best text, and null ids form one group there; empty tables give no rows; extra columns are
+ignored by ``matches`` and kept by ``clean``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,11 +142,11 @@ def _windows_of(words, slots, first, width: int) -> tuple[np.ndarray, np.ndarray
     return at, found[at] + np.uint64(width), text[at]
 
 
-def _window_rows(key: T.StructField, widths: Sequence[int], bitmap, whole: bool):
+def _window_rows(keys: Sequence[T.StructField], widths: Sequence[int], bitmap, whole: bool):
     """A mapInArrow function: canonical windows, and those of the words as they stand, with
-    key, position and slots. ``whole`` takes a text that is shorter than the widest window as
+    keys, position and slots. ``whole`` takes a text that is shorter than the widest window as
     one window, and its first word also as a name."""
-    names = ["hash", key.name, "at", "width", "n_words", "slots"]
+    names = ["hash", *(k.name for k in keys), "at", "width", "n_words", "slots"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passing = None if bitmap is None else bitmap.value
@@ -175,7 +178,7 @@ def _window_rows(key: T.StructField, widths: Sequence[int], bitmap, whole: bool)
                     continue
                 values = slots[at[:, None] + np.arange(width)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(hashes)), batch.column(key.name).take(pa.array(text)),
+                    [pa.array(signed(hashes)), *(batch.column(k.name).take(pa.array(text)) for k in keys),
                      pa.array(at - first[text]), pa.array(np.full(len(at), width, np.int64)),
                      pa.array(sizes[text].astype(np.int64)),
                      pa.ListArray.from_arrays(
@@ -185,7 +188,7 @@ def _window_rows(key: T.StructField, widths: Sequence[int], bitmap, whole: bool)
                 )
 
     schema = T.StructType(
-        [T.StructField("hash", T.LongType()), key, *(T.StructField(n, T.LongType()) for n in ("at", "width", "n_words")),
+        [T.StructField("hash", T.LongType()), *keys, *(T.StructField(n, T.LongType()) for n in ("at", "width", "n_words")),
          T.StructField("slots", T.ArrayType(T.LongType()))]
     )
     return rows, schema
@@ -203,24 +206,38 @@ def _bitmap(found: DataFrame) -> np.ndarray:
     return bitmap
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None, covered: int = COVERED) -> DataFrame:
-    """One row per document and item found in it, with the words covered on the best
-    alignment, the number of slots there and how many of them have another value."""
+_OF_BEST = ["covered_words", "item_words", "consistent", "n_slots", "n_changed"]
+
+
+def _copy(text) -> Column:
+    """Tells texts of one doc_id apart."""
+    return F.xxhash64(text)
+
+
+def _best() -> Column:
+    """The best of some alignments."""
+    return F.max(
+        F.struct("covered_words", "consistent", (-F.col("n_changed")).alias("same"), "n_slots", "n_changed", "item_words")
+    ).alias("best")
+
+
+def _by_text(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, covered: int = COVERED) -> DataFrame:
+    """One row per different text of a doc_id and item found in it."""
     spark = docs.sparkSession
-    scratch = scratch or Scratch(spark)
     widths = list(range(SHORTEST_EXACT, WIDTH + 1))
-    rows, schema = _window_rows(benchmark.schema["item_id"], widths, None, whole=True)
+    rows, schema = _window_rows([benchmark.schema["item_id"]], widths, None, whole=True)
     items = scratch.table(benchmark.select("item_id", "text").mapInArrow(rows, schema), "items")
     used = sorted(r["width"] for r in items.select("width").distinct().collect())
     bitmap = spark.sparkContext.broadcast(_bitmap(items))
-    rows, schema = _window_rows(docs.schema["doc_id"], used or [WIDTH], bitmap, whole=False)
-    found = docs.select("doc_id", "text").mapInArrow(rows, schema)
-    key = ["doc_id", "item_id", "shift"]
+    keys = [docs.schema["doc_id"], T.StructField("copy", T.LongType())]
+    rows, schema = _window_rows(keys, used or [WIDTH], bitmap, whole=False)
+    found = docs.select("doc_id", "text", _copy("text").alias("copy")).mapInArrow(rows, schema)
+    key = ["doc_id", "copy", "item_id", "shift"]
     hits = scratch.table(
-        found.select("hash", "doc_id", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots"))
+        found.select("hash", "doc_id", "copy", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots"))
         .join(items, "hash")
         .select(
-            "doc_id", "item_id", (F.col("doc_at") - F.col("at")).alias("shift"), "at", "width", "n_words",
+            "doc_id", "copy", "item_id", (F.col("doc_at") - F.col("at")).alias("shift"), "at", "width", "n_words",
             F.filter(
                 F.arrays_zip(
                     F.transform("slots", lambda v, i: F.col("at") + i).alias("place"),
@@ -259,27 +276,35 @@ def matches(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = Non
         )["total"]
 
     same = [places[k].eqNullSafe(filled[k]) for k in key]
-    judged = places.join(filled, same[0] & same[1] & same[2], "left").select(
+    judged = places.join(filled, reduce(Column.__and__, same), "left").select(
         *[places[k] for k in key], "item_words",
         F.coalesce("consistent", F.lit(True)).alias("consistent"),
         F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"),
         F.coalesce("n_changed", F.lit(0)).cast("long").alias("n_changed"),
         F.when(F.coalesce("consistent", F.lit(True)), words_in("all")).otherwise(words_in("literal")).alias("covered_words"),
     )
-    best = F.max(
-        F.struct("covered_words", "consistent", (-F.col("n_changed")).alias("same"), "n_slots", "n_changed", "item_words")
-    ).alias("best")
     return (
         judged.where(F.col("covered_words") >= F.least(F.lit(covered), F.ceil(F.col("item_words") * SHARE)))
-        .groupBy("doc_id", "item_id").agg(best)
-        .select("doc_id", "item_id", *[F.col(f"best.{c}") for c in ("covered_words", "item_words", "consistent", "n_slots", "n_changed")])
+        .groupBy("doc_id", "copy", "item_id").agg(_best())
+        .select("doc_id", "copy", "item_id", *[F.col(f"best.{c}") for c in _OF_BEST])
+    )
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None, covered: int = COVERED) -> DataFrame:
+    """One row per doc_id and item found in one of its texts, with the words covered on the
+    best alignment, the number of slots there and how many of them have another value."""
+    scratch = scratch or Scratch(docs.sparkSession)
+    return (
+        _by_text(docs, benchmark, scratch, covered).groupBy("doc_id", "item_id").agg(_best())
+        .select("doc_id", "item_id", *[F.col(f"best.{c}") for c in _OF_BEST])
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """The documents in which no item was found."""
     scratch = scratch or Scratch(docs.sparkSession)
-    found = scratch.table(matches(docs, benchmark, scratch).select("doc_id").distinct(), "found")
-    # the key is named apart, so that a column of any name in the documents stays unambiguous
-    marked = found.withColumnRenamed("doc_id", "_found_id")
-    return docs.join(marked, docs["doc_id"].eqNullSafe(marked["_found_id"]), "left_anti")
+    found = scratch.table(_by_text(docs, benchmark, scratch).select("doc_id", "copy").distinct(), "found")
+    # the keys are named apart, so that a column of any name in the documents stays unambiguous
+    marked = found.toDF("_found_id", "_found_copy")
+    same = docs["doc_id"].eqNullSafe(marked["_found_id"]) & (_copy(docs["text"]) == marked["_found_copy"])
+    return docs.join(marked, same, "left_anti")

@@ -16,7 +16,8 @@ group of near copies does not become all its pairs.
 Defined results: without words the set is empty, linked with nothing; rows that repeat a
 doc_id have one result per row and link as their texts do, their own id included; null ids
 are ignored as smallest id and a component of them alone has none; an empty table gives no
-rows; extra columns are ignored by ``components_of`` and kept by ``one_of_each``.
+rows; extra columns are ignored by ``components_of`` and kept by ``one_of_each``, which judges
+each text by itself and leaves one row of each class of equal texts, with or without ids.
 """
 
 from __future__ import annotations
@@ -89,23 +90,24 @@ def _lists(flat: np.ndarray, width: int) -> pa.Array:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """Per document its set's size, key and bitmap; an empty set has no key."""
+    """Per document its set's size, key and bitmap, and ``copy`` to tell texts of one doc_id
+    apart; an empty set has no key."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found, sizes = shingle_sets(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes.astype(np.int64)),
+                [batch.column("doc_id"), batch.column("copy"), pa.array(sizes.astype(np.int64)),
                  pa.array(signed(_keys(found, sizes)), mask=sizes == 0),
                  _lists(_bitmaps(found, sizes).ravel(), WORDS_OF_BITMAP)],
-                names=["doc_id", "n_shingles", "key", "bitmap"],
+                names=["doc_id", "copy", "n_shingles", "key", "bitmap"],
             )
 
     schema = T.StructType(
-        [docs.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("key", T.LongType()),
-         T.StructField("bitmap", T.ArrayType(T.LongType()))]
+        [docs.schema["doc_id"], T.StructField("copy", T.LongType()), T.StructField("n_shingles", T.LongType()),
+         T.StructField("key", T.LongType()), T.StructField("bitmap", T.ArrayType(T.LongType()))]
     )
-    return docs.select("doc_id", "text").mapInArrow(rows, schema)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("copy")).mapInArrow(rows, schema)
 
 
 def heavy_shingles(docs: DataFrame) -> np.ndarray:
@@ -435,32 +437,49 @@ def linked_sets(docs: DataFrame, sets: DataFrame, scratch: Scratch, percent: int
     return first.unionByName(verified(docs, pairs, scratch, percent))
 
 
-def components_of(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
-    """Per document the size of its set and the smallest doc_id that links lead to."""
-    scratch = scratch or Scratch(docs.sparkSession)
+def _placed(docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Per document the size of its set and the ``first`` document that links lead to: the one
+    with the smallest doc_id, those without any last, and among its texts the smallest copy."""
     known = scratch.table(described(docs), "described")
     sets = scratch.table(
         known.where("key IS NOT NULL").groupBy("key")
-        .agg(F.first("n_shingles").alias("n"), F.first("bitmap").alias("bitmap"), F.min("doc_id").alias("first_id")),
+        .agg(F.first("n_shingles").alias("n"), F.first("bitmap").alias("bitmap"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "copy")).alias("first")),
         "classes",
     )
     roots = connected(linked_sets(docs, sets, scratch, percent), scratch)
-    in_component = sets.select("key", "first_id").join(
+    in_component = sets.select("key", "first").join(
         roots.withColumnRenamed("node", "key"), "key", "left"
     ).withColumn("root", F.coalesce("root", "key"))
-    least = in_component.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_key = in_component.join(least, "root").select("key", "component_id")
-    return known.select("doc_id", "n_shingles", "key").join(of_key, "key", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+    least = in_component.groupBy("root").agg(F.min("first").alias("first"))
+    of_key = in_component.drop("first").join(least, "root").select("key", "first")
+    return known.select("doc_id", "copy", "n_shingles", "key").join(of_key, "key", "left").drop("key")
+
+
+def components_of(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
+    """Per document the size of its set and the smallest doc_id that links lead to."""
+    return _placed(docs, percent, scratch or Scratch(docs.sparkSession)).select(
+        "doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id")
     )
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
-    """The documents, of each component only the one with the smallest doc_id. Rows that repeat
-    a doc_id are one document. Documents without words or ids all stay."""
+    """The documents, of each component only one row: of the document with the smallest doc_id,
+    or of any if none has an id. Documents without words all stay."""
     scratch = scratch or Scratch(docs.sparkSession)
-    gone = (
-        components_of(docs, percent, scratch)
-        .where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("copy") == F.col("first.copy"))
+    counted = (
+        _placed(docs, percent, scratch).where("n_shingles > 0")
+        .groupBy(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"))
+        .agg(F.first(is_first).alias("_stays"), F.count("*").alias("_n"))
     )
-    return docs.join(scratch.table(gone, "gone"), docs["doc_id"] == F.col("_gone_id"), "left_anti")
+    # what does not stay as it is; the keys are named apart from any column of the documents
+    touched = scratch.table(counted.where("NOT _stays OR _n > 1"), "touched")
+    same = lambda keys: docs["doc_id"].eqNullSafe(keys["_id"]) & (F.xxhash64(docs["text"]) == keys["_copy"])
+    kept = docs.join(touched, same(touched), "left_anti")
+    repeated = touched.where("_stays").select("_id", "_copy")
+    if repeated.isEmpty():
+        return kept
+    # one row of those that repeat both the id and the text; the rows are cut per task first
+    row = F.struct(*[docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    ones = docs.join(repeated, same(repeated)).groupBy("_id", "_copy").agg(F.first(row).alias("_row"))
+    return kept.unionAll(ones.select(*[F.col(f"_row.c{k}").alias(c) for k, c in enumerate(docs.columns)]))

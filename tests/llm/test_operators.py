@@ -170,6 +170,17 @@ def test_short_items_and_items_dense_in_slots_are_found(spark):
     assert found[n, 4] == 1 and sum(found.values()) == 1
 
 
+def test_clean_texts_stay_beside_others_of_their_id(spark):
+    item = "In 5 boxes there are 5 red balls and 5 blue balls and 5 green balls now."
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    data = [(None, item, None, None, None), (None, prose(1, 30), None, None, None), (3, item.replace("5", "9"), None, None, None),
+            (3, item.replace("5", "7"), None, None, None), (3, prose(2, 30), None, None, None), (3, None, None, None, None)]
+    docs = documents(spark, data)
+    assert {(r["doc_id"], r["item_id"]) for r in contamination.matches(docs, items).collect()} == {(None, 1), (3, 1)}
+    stayed = {(r["doc_id"], r["text"]) for r in contamination.clean(docs, items).collect()}
+    assert stayed == {(None, prose(1, 30)), (3, prose(2, 30)), (3, None)}
+
+
 # shingle join
 
 
@@ -217,6 +228,17 @@ def test_one_of_each_stays(docs):
     assert kept.columns == docs.columns and Counter(r[0] for r in kept.select("doc_id").collect()) == expected
 
 
+def test_one_row_of_equal_texts_stays(spark):
+    data = [(None, prose(1, 30)), (None, prose(1, 30)), (None, prose(2, 30)), (4, prose(2, 30)), (5, prose(3, 30)), (5, prose(3, 30)),
+            (6, prose(4, 30)), (6, prose(3, 30)), (None, edited(prose(5, 200), 1, 150)), (None, prose(5, 200)), (None, None), (None, None)]
+    kept = ngram_join.one_of_each(documents(spark, [(k, t, None, None, None) for k, t in data]))
+    assert kept.columns == documents(spark).columns
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    near = [k for k in got if k[0] is None and k[1] and len(k[1].split()) == 200]
+    assert len(near) == 1 and got.pop(near[0]) == 1
+    assert got == {(None, prose(1, 30)): 1, (4, prose(2, 30)): 1, (5, prose(3, 30)): 1, (6, prose(4, 30)): 1, (None, None): 2}
+
+
 def test_no_documents_have_no_components(spark):
     assert ngram_join.components_of(empty(spark)).count() == 0 and ngram_join.one_of_each(empty(spark)).count() == 0
 
