@@ -3,8 +3,9 @@
 Method: the integer measures of all documents go into histograms per language and
 source, whose bins are two leading digits wide. Such sketches merge by adding their
 counts, so they are pre-aggregated before the shuffle and a hot source is no hot task.
-Quartiles read from the sketches give the fences of each group, and a join brings the
-fences to the documents. DataFrame functions only.
+Quantiles read from the sketches give the fences of each group, and a join brings the
+fences to the documents. Repeats are rare, so that their quartiles are zero nearly everywhere;
+their fences start from a high quantile. DataFrame functions only.
 
 Defined results: a null text has no words and fails; null languages and sources form
 groups of their own, named by the empty text; repeated rows count and are judged each;
@@ -32,24 +33,28 @@ MAX_REPEAT_PERCENT = 20
 @dataclass(frozen=True)
 class Fence:
     """A measure is out of line beyond its group's quartile by ``spreads`` times the
-    distance of the quartiles plus ``slack``. ``lower`` adds the same on the low side."""
+    distance of the quartiles plus ``slack``. ``lower`` adds the same on the low side. ``tail``
+    takes the 95th percentile and the median in place of the quartiles."""
 
     measure: str
     slack: int
     spreads: int = 3
     lower: bool = False
+    tail: bool = False
 
 
 # permille of words, permille of lines, tenths of a character, permille of words
 FENCES = (
     Fence("symbol_rate", 300),
-    Fence("dup_line_rate", 500),
+    Fence("dup_line_rate", 100, tail=True),
     Fence("word_length", 20, lower=True),
-    Fence("repeat_rate", 200),
+    Fence("repeat_rate", 50, tail=True),
 )
 # Groups with fewer documents are judged by the merged sketch of their language, and
 # languages with fewer by the one of all documents.
 LEAST_GROUP = 100
+# in percent
+QUANTILES = (25, 50, 75, 95)
 
 
 def _let(value: Column, body) -> Column:
@@ -170,7 +175,7 @@ def sketches(measures: DataFrame, fences: Sequence[Fence] = FENCES) -> DataFrame
 
 
 def _merged(sketch: DataFrame, *group: str) -> DataFrame:
-    """Quartiles per group and measure from the sketches merged over the rest."""
+    """Quantiles per group and measure from the sketches merged over the rest."""
     counts = sketch.groupBy(*group, "measure", "bin").agg(F.sum("docs").alias("docs"))
     w = Window.partitionBy(*group, "measure")
     ranked = counts.withColumns(
@@ -179,9 +184,9 @@ def _merged(sketch: DataFrame, *group: str) -> DataFrame:
             "total": F.sum("docs").over(w),
         }
     )
-    quartile = lambda k: F.min(F.when(4 * F.col("below") >= k * F.col("total"), F.col("bin")))
+    quantile = lambda k: F.min(F.when(100 * F.col("below") >= k * F.col("total"), F.col("bin")))
     return ranked.groupBy(*group, "measure").agg(
-        quartile(1).alias("q1"), quartile(3).alias("q3"), F.max("total").alias("total")
+        *[quantile(k).alias(f"q{k}") for k in QUANTILES], F.max("total").alias("total")
     )
 
 
@@ -189,22 +194,23 @@ def thresholds(sketch: DataFrame, fences: Sequence[Fence] = FENCES, least: int =
     """Per language and source one row with a low and a high bound for each measure."""
     group = ["lang_key", "source_key"]
     levels = [
-        _merged(sketch, *group).withColumnsRenamed({"q1": "g1", "q3": "g3", "total": "gn"}),
-        _merged(sketch, "lang_key").withColumnsRenamed({"q1": "l1", "q3": "l3", "total": "ln"}),
-        _merged(sketch).withColumnsRenamed({"q1": "a1", "q3": "a3", "total": "an"}),
+        _merged(sketch, *of).withColumnsRenamed({**{f"q{k}": f"{level}{k}" for k in QUANTILES}, "total": f"{level}n"})
+        for level, of in (("g", group), ("l", group[:1]), ("a", []))
     ]
     joined = levels[0].join(levels[1], ["lang_key", "measure"]).join(levels[2], ["measure"])
     pick = lambda k: F.when(F.col("gn") >= least, F.col(f"g{k}")).when(
         F.col("ln") >= least, F.col(f"l{k}")
     ).otherwise(F.col(f"a{k}"))
-    chosen = joined.select(*group, "measure", pick(1).alias("q1"), pick(3).alias("q3"))
+    chosen = joined.select(*group, "measure", *[pick(k).alias(f"q{k}") for k in QUANTILES])
     bounds = []
     for f in fences:
-        q1, q3 = (F.max(F.when(F.col("measure") == f.measure, F.col(q))) for q in ("q1", "q3"))
-        reach = f.spreads * (q3 - q1) + f.slack
-        bounds.append((q3 + reach).alias(f"high_{f.measure}"))
+        low, high = (
+            F.max(F.when(F.col("measure") == f.measure, F.col(f"q{k}"))) for k in ((50, 95) if f.tail else (25, 75))
+        )
+        reach = f.spreads * (high - low) + f.slack
+        bounds.append((high + reach).alias(f"high_{f.measure}"))
         if f.lower:
-            bounds.append((q1 - reach).alias(f"low_{f.measure}"))
+            bounds.append((low - reach).alias(f"low_{f.measure}"))
     return chosen.groupBy(*group).agg(*bounds)
 
 

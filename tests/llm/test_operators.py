@@ -422,6 +422,25 @@ def test_outliers_of_a_group_go_and_the_rest_stays(spark):
     assert quality.verdicts(empty(spark)).count() == 0 and quality.filtered(empty(spark)).count() == 0
 
 
+def test_each_fence_has_an_outlier_of_its_own(spark):
+    phrase, lines = " ".join(prose(7000, 8).split()), prose(7001, 60).split("\n")
+    outliers = {
+        "symbol_rate": " ".join(f"{w}#" for w in prose(7002, 60).split()),
+        "dup_line_rate": "\n".join(f"{line}\nHome" for line in lines),
+        "word_length": " ".join(w * 5 for w in prose(7003, 60).split()),
+        "repeat_rate": f"{phrase} {prose(7004, 50)} {phrase} {prose(7005, 50)}",
+    }
+    data = [(k, prose(k, 60), "en", "big", None) for k in range(300)]
+    data += [(1000 + k, outliers[f.measure], "en", "big", None) for k, f in enumerate(quality.FENCES)]
+    docs = documents(spark, data)
+    measures = quality.measured(docs.select("doc_id", "text", "lang", "source")).drop("text").cache()
+    for k, f in enumerate(quality.FENCES):
+        limits = quality.thresholds(quality.sketches(measures, [f]), [f])
+        gone = quality.judged(measures, limits, [f]).where("NOT kept AND NOT base_failed")
+        assert [r["doc_id"] for r in gone.select("doc_id").collect()] == [1000 + k], f.measure
+    assert {r[0] for r in quality.verdicts(docs).where("NOT kept").select("doc_id").collect()} == set(range(1000, 1004))
+
+
 def test_sketches_merge(spark):
     docs = documents(spark, [(k, prose(k, 20 + k), "en", f"s{k % 3}", None) for k in range(60)])
     measures = quality.measured(docs.select("doc_id", "text", "lang", "source"))
