@@ -1,10 +1,13 @@
 """Licence notices in documents, by the Dice coefficient over word bigrams.
 
-Method: texts are normalised to lower-case words. Each line, each block of lines and the
-whole text is compared with the licence templates by the Dice coefficient of their distinct
-word bigrams. A coefficient of at least t needs sizes within a factor of t / (2 - t), which
-leaves few templates for a passage and none for most passages. Templates are a bounded
-parameter; DataFrame functions only, and nothing but matches is shuffled.
+Method: texts are normalised to lower-case words. Each line, each block of lines, each
+sentence and the whole text is compared with the licence templates by the Dice coefficient of
+their distinct word bigrams. A coefficient of at least t needs sizes within a factor of
+t / (2 - t), which leaves few templates for a passage and none for most passages. Runs of as
+many words as a template has are compared with it too, wherever they hold one of its telling
+bigrams, so a notice inside a line or over several lines is found; one inside a longer notice
+that is found there is part of that. Templates are a bounded parameter; nothing but matches is
+shuffled.
 
 Defined results: null and empty texts and passages of one word have no bigrams and match
 nothing; rows that repeat a doc_id count as one document, null ids as one too; an empty
@@ -13,11 +16,14 @@ table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections import Counter
+from collections.abc import Iterator, Mapping
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PERCENT = 80
 
@@ -73,53 +79,136 @@ def _words(line: Column) -> Column:
     return F.filter(F.split(line, r"[ \n]+"), lambda w: w != "")
 
 
-def _telling(known: list[tuple[str, list[str]]], percent: int) -> list[str]:
-    """Bigrams of which every matching passage has at least one: of each template the longest,
+def _telling(bigrams: list[str], percent: int) -> list[str]:
+    """Bigrams of a template of which every matching passage has at least one: the longest,
     one more than a match can lack."""
-    found: set[str] = set()
-    for _, bigrams in known:
-        lacking = len(bigrams) - -(-len(bigrams) * percent // (200 - percent))
-        found.update(sorted(bigrams, key=lambda b: (-len(b), b))[: lacking + 1])
-    return sorted(found)
+    lacking = len(bigrams) - -(-len(bigrams) * percent // (200 - percent))
+    return sorted(bigrams, key=lambda b: (-len(b), b))[: lacking + 1]
 
 
-def passages(docs: DataFrame, telling: list[str]) -> DataFrame:
-    """The different lines, blocks and whole texts, normalised, of each document that has one
-    of the telling bigrams."""
-    text = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), _SPLIT, " ")
+def _normalised(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), _SPLIT, " ")
+
+
+def candidates(docs: DataFrame, telling: list[str]) -> DataFrame:
+    """The normalised texts that have one of the telling bigrams, also in one line, and raw."""
+    raw = F.coalesce("text", F.lit(""))
+    plain = docs.select("doc_id", F.inline(F.array(F.struct(raw.alias("raw"), _normalised(raw).alias("plain")))))
+    one_line = plain.select("*", F.inline(F.array(F.struct(F.regexp_replace("plain", r"[ \n]+", " ").alias("one_line")))))
+    return one_line.where(reduce(Column.__or__, [F.col("one_line").contains(b) for b in telling]))
+
+
+def passages(found: DataFrame) -> DataFrame:
+    """The different lines, blocks, sentences and whole texts of the candidates, normalised."""
+    sentences = F.transform(
+        F.split(F.col("raw"), r"(?<=[.!?])\s+"), lambda s: F.regexp_replace(_normalised(s), r"[ \n]+", " ")
+    )
     units = F.array_distinct(
-        F.concat(F.split(F.col("plain"), "\n"), F.split(F.col("plain"), r"\n ?\n"), F.array("plain"))
+        F.concat(F.split(F.col("plain"), "\n"), F.split(F.col("plain"), r"\n ?\n"), F.array("plain"), sentences)
     )
-    plain = docs.select("doc_id", F.inline(F.array(F.struct(text.alias("plain")))))
-    one_line = plain.select("*", F.inline(F.array(F.struct(F.regexp_replace("plain", r"[ \n]+", " ").alias("one_line")))))
-    return one_line.where(reduce(Column.__or__, [F.col("one_line").contains(b) for b in telling])).select(
-        "doc_id", F.explode(units).alias("passage")
+    return found.select("doc_id", F.explode(units).alias("passage"))
+
+
+def _run_scores(pairs: list[str], bigrams: set[str], telling: set[str], width: int, percent: int) -> dict[int, int]:
+    """By first word: the coefficients, if large enough, of the runs of ``width`` bigrams that
+    hold a telling one."""
+    last = len(pairs) - width
+    starts = sorted({s for p, b in enumerate(pairs) if b in telling for s in range(max(0, p - width + 1), min(p, last) + 1)})
+    found, inside, common, before = {}, Counter(), 0, None
+    for start in starts:
+        if before is not None and start == before + 1:
+            gone, come = pairs[before], pairs[start + width - 1]
+            inside[gone] -= 1
+            if not inside[gone]:
+                del inside[gone]
+                common -= gone in bigrams
+            common += come in bigrams and come not in inside
+            inside[come] += 1
+        else:
+            inside = Counter(pairs[start : start + width])
+            common = sum(b in bigrams for b in inside)
+        score = 200 * common // (len(bigrams) + len(inside))
+        if score >= percent:
+            found[start] = score
+        before = start
+    return found
+
+
+def _peaks(scores: dict[int, int]) -> Iterator[tuple[list[int], int]]:
+    """Of each series of neighbouring starts those with the best coefficient, and that."""
+    starts = sorted(scores)
+    firsts = [k for k, s in enumerate(starts) if k == 0 or s != starts[k - 1] + 1]
+    for a, b in zip(firsts, [*firsts[1:], len(starts)]):
+        score = max(scores[s] for s in starts[a:b])
+        yield [s for s in starts[a:b] if scores[s] == score], score
+
+
+def runs_of(found: DataFrame, known: list[tuple[str, list[str], int]], percent: int) -> DataFrame:
+    """Per candidate and licence the best coefficient of its runs of words."""
+    schema = T.StructType(
+        [found.schema["doc_id"], T.StructField("license", T.StringType()), T.StructField("dice_percent", T.LongType())]
+    )
+    # the longest first
+    listed = sorted(
+        ((n, set(b), set(_telling(b, percent)), words - 1) for n, b, words in known), key=lambda t: (-t[3], t[0])
     )
 
+    def best_of(line: str) -> dict[str, int]:
+        words = line.split()
+        pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
+        distinct, best, places = set(pairs), {}, []
+        for name, bigrams, telling, size in listed:
+            width = min(size, len(pairs))
+            if len(distinct & bigrams) * (200 - percent) < percent * len(bigrams):
+                continue
+            scores = _run_scores(pairs, bigrams, telling, width, percent)
+            longer = [(a, b) for a, b in places if b - a > width]
+            for tops, score in _peaks(scores):
+                if not any(a <= s and s + width <= b for a, b in longer for s in tops):
+                    best[name] = max(best.get(name, 0), score)
+                places += [(s, s + width) for s in tops]
+        return best
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, names, scores = [], [], []
+            for row, line in enumerate(batch.column("one_line").to_pylist()):
+                for name, score in best_of(line).items():
+                    at.append(row)
+                    names.append(name)
+                    scores.append(score)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(names, pa.string()), pa.array(scores, pa.int64())],
+                names=schema.names,
+            )
+
+    return found.select("doc_id", "one_line").mapInArrow(rows, schema)
+
 
 def matches(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
     """One row per document and licence found in it, with the best coefficient in percent."""
     spark = docs.sparkSession
     plain = spark.createDataFrame(list(templates.items()), "license string, text string").select(
-        "license", _bigrams(_words(F.regexp_replace(F.lower("text"), _SPLIT, " "))).alias("bigrams")
-    )
-    known = [(r["license"], r["bigrams"]) for r in plain.collect() if r["bigrams"]]
+        "license", _words(_normalised(F.col("text"))).alias("words")
+    ).select("license", _bigrams(F.col("words")).alias("bigrams"), F.size("words").alias("n_words"))
+    known = [(r["license"], r["bigrams"], r["n_words"]) for r in plain.collect() if r["bigrams"]]
     if not known:
         return docs.select("doc_id", F.lit("").alias("license"), F.lit(0).cast("long").alias("dice_percent")).limit(0)
-    least, most = (f(len(b) for _, b in known) for f in (min, max))
+    least, most = (f(len(b) for _, b, _ in known) for f in (min, max))
     # words are letters and digits, so quotes need no care but in names
     listed = ", ".join(
         "struct('{}' AS license, {} AS n, array({}) AS bigrams)".format(
             n.replace("\\", "").replace("'", "\\'"), len(b), ", ".join(f"'{g}'" for g in b)
         )
-        for n, b in known
+        for n, b, _ in known
     )
     table = F.expr(f"array({listed})")
     # sizes a and b fit if 100 * 2 * min(a, b) >= percent * (a + b)
     fits = lambda n, a: 200 * F.least(n, a) >= percent * (n + a)
     spaces = F.length("passage") - F.length(F.translate("passage", " \n", ""))
     # a passage has at most one more word than spaces, and one bigram less than words
-    split = passages(docs, _telling(known, percent)).where(spaces >= percent * least // (200 - percent)).select(
+    found = candidates(docs, sorted({g for _, b, _ in known for g in _telling(b, percent)}))
+    split = passages(found).where(spaces >= percent * least // (200 - percent)).select(
         "doc_id", F.inline(F.array(F.struct(_bigrams(_words(F.col("passage"))).alias("bigrams"))))
     )
     sized = split.where((F.size("bigrams") * (200 - percent) >= percent * least) & (percent * F.size("bigrams") <= (200 - percent) * most))
@@ -132,5 +221,6 @@ def matches(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, percent:
     )
     return (
         sized.select("doc_id", F.inline(scored)).where(F.col("dice_percent") >= percent)
+        .unionAll(runs_of(found, known, percent))
         .groupBy("doc_id", "license").agg(F.max("dice_percent").alias("dice_percent"))
     )

@@ -106,6 +106,18 @@ def test_licence_notices(spark):
     assert licenses.matches(empty(spark)).count() == 0
 
 
+def test_notices_inside_lines_and_over_lines(spark):
+    apache = licenses.TEMPLATES["Apache-2.0"]
+    data = [(1, "This file is part of Foo and bar. Released under the MIT License. All rights kept."),
+            (2, "The tool that we made is free and\nit is Licensed under the\nApache License, Version 2.0. Have a look\nat the rest"),
+            (3, "so " * 50 + "released under the MIT license " + "so " * 50), (4, "text before " + apache + " text after"),
+            (5, "text before " + apache + " and licensed under CC BY 4.0 too"), (6, "released by the MIT under a license")]
+    docs = documents(spark, [(k, t, None, None, None) for k, t in data])
+    found = {(r[0], r[1]): r[2] for r in licenses.matches(docs).collect()}
+    assert found.pop((5, "CC-BY-4.0-notice")) == 100
+    assert found == {(1, "MIT-notice"): 100, (2, "Apache-2.0-notice"): 100, (3, "MIT-notice"): 100, (4, "Apache-2.0"): 100, (5, "Apache-2.0"): 100}
+
+
 def test_pruning_loses_no_licence(spark):
     data = []
     for k, notice in enumerate(licenses.TEMPLATES.values()):
