@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from palestra.llm import (
-    archives, chats, contamination, licenses, ngram_join, packing, phrases, quality, secret_scan,
-    suffixes,
+    alignment, archives, chats, contamination, licenses, ngram_join, packing, periods, phrases, quality, secret_scan,
+    suffixes, wrappers,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def pieces_model() -> str:
+    """The model of the second tokenizer; any machine of the cluster has the file there."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.converted(pages(spark, sf_dir)).drop("url", "date")
 
@@ -45,6 +52,9 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": lambda s, d: quality.verdicts(documents(s, d)),
         "op9_suffix_array_dedup": lambda s, d: suffixes.digests(documents(s, d)),
         "op10_chat_formatting": lambda s, d: chats.rendered(conversations(s, d)),
+        "op11_cross_tokenizer_alignment": lambda s, d: alignment.scored(documents(s, d), vocabulary(), pieces_model()),
+        "op12_html_extraction": lambda s, d: wrappers.main_texts(pages(s, d)),
+        "op13_periodic_run_detection": lambda s, d: periods.digests(documents(s, d)),
     }
 
 
@@ -91,6 +101,28 @@ FROM placed WHERE conv_id IN (SELECT conv_id FROM kept)
 """
 
 
+# The pages of the test tables mark their article, and only headings, paragraphs and inline tags
+# are inside.
+_MAIN_TEXTS = r"""
+WITH block AS (
+    SELECT page_id, url, html, unnest(blocks) AS block, generate_subscripts(blocks, 1) AS place
+    FROM (SELECT page_id, url, html, string_split_regex(
+              regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '<br>', ' ', 'g'),
+              '</?(?:h1|p)>') AS blocks FROM pages) AS b
+), plain AS (
+    SELECT page_id, url, html, place, trim(regexp_replace(regexp_replace(replace(replace(replace(
+               regexp_replace(regexp_replace(block, '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'),
+               '&lt;', '<'), '&gt;', '>'), '&#39;', chr(39)), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS block
+    FROM block
+), joined AS (
+    SELECT page_id, url, html,
+           coalesce(string_agg(block, chr(10) ORDER BY place) FILTER (block <> ''), '') AS text
+    FROM plain GROUP BY page_id, url, html
+)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM joined
+"""
+
+
 def _license_sql() -> str:
     rows = ", ".join(
         "('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.TEMPLATES.items()
@@ -121,4 +153,4 @@ GROUP BY doc_id, license
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scans": _license_sql(), "op3_warc": _WARC, "op10_chat_formatting": _CHATS}
+    return {"op2_license_scans": _license_sql(), "op3_warc": _WARC, "op10_chat_formatting": _CHATS, "op12_html_extraction": _MAIN_TEXTS}
