@@ -71,6 +71,12 @@ BODIES = {
         FROM g_machine q JOIN g_machinestatus z USING (machinestatusid) GROUP BY z.status
     """,
     "x08_class_grid_cells": _CELLS,
+    "x08_class_grid": f"""
+        SELECT hour, {", ".join(
+            f"max(CAST(enrolled AS VARCHAR) || '/' || CAST(places AS VARCHAR)) FILTER (room = '{r}') AS \"{r}\""
+            for r in ("Brand#1", "Brand#5", "Brand#12", "Brand#20"))}
+        FROM ({_CELLS}) WHERE date = $today GROUP BY hour ORDER BY hour
+    """,
     "x09_instructor_month": """
         SELECT k.instructorid, count(DISTINCT s.classscheduleid) AS classes,
                CAST((SELECT sum(endtime - starttime) FROM month_schedule z JOIN g_class c
@@ -89,6 +95,14 @@ BODIES = {
         SELECT * FROM ({VIEWS["v14_all_members"]})
         WHERE (name ILIKE '%9%' OR email ILIKE '%9%') AND isactive AND plan_name = 'Premium'
     """,
+    "x10_find_members_indexed": f"""
+        SELECT * FROM ({VIEWS["v14_all_members"]})
+        WHERE (name ILIKE '%0004%' OR email ILIKE '%0004%') AND isactive
+    """,
+    "x10_find_members_indexed_short": f"""
+        SELECT * FROM ({VIEWS["v14_all_members"]})
+        WHERE (name ILIKE '%#0%' OR email ILIKE '%#0%') AND plan_name = 'Premium'
+    """,
     "x10_find_payments": f"""
         SELECT v.*, h.payment_status, h.memberid
         FROM ({VIEWS["v18_payments"]}) v
@@ -103,7 +117,7 @@ BODIES = {
     """,
     "x10_find_classes": f"""
         SELECT * FROM ({VIEWS["v15_all_classes"]})
-        WHERE instructor_name = 'Supplier#000000003' AND room = 'Brand#7'
+        WHERE instructor_name = 'Supplier#000000003' AND room = 'Brand#5'
     """,
     "x10_find_machines": f"""
         SELECT * FROM ({VIEWS["v17_machines"]})

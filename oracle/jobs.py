@@ -91,7 +91,9 @@ BODIES = {
     """,
     "m03_users_after_logins": """
         SELECT userid, email, password, name, usertypeid, isactive,
-               (SELECT max(logged_in_at) FROM r_login q WHERE q.userid = w.userid) AS last_login,
+               (SELECT max(seen) FROM (SELECT logged_in_at AS seen FROM r_login q
+                                       WHERE q.userid = w.userid
+                                       UNION ALL SELECT w.last_login) AS logins) AS last_login,
                password_changed_at, created_at,
                CASE WHEN userid IN (SELECT userid FROM r_login) THEN $now
                     ELSE updated_at END AS updated_at
@@ -147,4 +149,112 @@ BODIES = {
     """,
 }
 
+# Visits with odd corrections: some a day later, some gone, some new.
+_CORRECTED = """
+    SELECT checkinid, memberid, if(checkinid % 50 = 7, date + 1, date) AS date, entrancetime, exittime,
+           created_at, if(checkinid % 50 = 7, $now, updated_at) AS updated_at
+    FROM g_checkin WHERE checkinid % 50 <> 8
+"""
+_NEW_VISITS = """
+    SELECT checkinid + 1 + (SELECT max(checkinid) FROM g_checkin), memberid, $today, $clock,
+           CAST(NULL AS BIGINT), $now, $now
+    FROM g_checkin
+"""
+# The member table as it comes again: some rows new, some changed, some missing.
+_AGAIN = """
+    SELECT memberid, userid, nif, phone, iban, registrationdate, birthdate, gender, address, city,
+           postalcode, isactive
+    FROM d_member WHERE memberid % 23 <> 5
+    UNION ALL
+    SELECT memberid + 50000000, NULL, lpad(CAST(memberid + 50000000 AS VARCHAR), 9, '0'), phone,
+           iban, registrationdate, birthdate, gender, address, city, postalcode, isactive
+    FROM g_member WHERE memberid % 10 = 0
+"""
+_MEMBER_COLUMNS = """memberid, userid, nif, phone, iban, registrationdate, birthdate, gender,
+    address, city, postalcode, isactive"""
+_KIND = f"""
+    SELECT coalesce(n.memberid, o.memberid) AS memberid,
+           CASE WHEN o.memberid IS NULL THEN 'inserted' WHEN n.memberid IS NULL THEN 'removed'
+                WHEN row(n.userid, n.nif, n.phone, n.iban, n.registrationdate, n.birthdate, n.gender,
+                         n.address, n.city, n.postalcode, n.isactive)
+                     IS DISTINCT FROM
+                     row(o.userid, o.nif, o.phone, o.iban, o.registrationdate, o.birthdate, o.gender,
+                         o.address, o.city, o.postalcode, o.isactive) THEN 'changed' END AS kind
+    FROM ({_AGAIN}) n FULL JOIN g_member o ON o.memberid = n.memberid
+"""
+
+# A batch that deletes inactive members with their bookings and visits, their subscriptions
+# that nobody paid for, some schedules without the bookings of others, and a plan.
+_GONE_MEMBERS = "SELECT memberid FROM g_member WHERE NOT isactive"
+_KEPT_SUBSCRIPTIONS = f"""
+    SELECT * FROM g_membersubscription s
+    WHERE NOT (memberid IN ({_GONE_MEMBERS})
+               AND NOT EXISTS (SELECT 1 FROM g_payment y WHERE y.subscriptionid = s.subscriptionid))
+"""
+_KEPT_BOOKINGS = f"SELECT * FROM g_classbooking WHERE memberid NOT IN ({_GONE_MEMBERS})"
+_KEPT_VISITS = f"SELECT * FROM g_checkin WHERE memberid NOT IN ({_GONE_MEMBERS})"
+_KEPT_SCHEDULES = f"""
+    SELECT * FROM g_classschedule s
+    WHERE isactive OR classscheduleid IN (SELECT classscheduleid FROM ({_KEPT_BOOKINGS}))
+"""
+_KEPT_PLANS = f"""
+    SELECT * FROM g_plan WHERE isactive AND planid <> 2
+        OR planid IN (SELECT planid FROM ({_KEPT_SUBSCRIPTIONS}))
+"""
+_KEPT_MEMBERS = f"""
+    SELECT * FROM g_member WHERE isactive OR memberid IN (SELECT memberid FROM ({_KEPT_SUBSCRIPTIONS}))
+"""
+_LEFT = [("checkin", "checkinid", _KEPT_VISITS), ("classbooking", "bookingid", _KEPT_BOOKINGS),
+         ("membersubscription", "subscriptionid", _KEPT_SUBSCRIPTIONS),
+         ("classschedule", "classscheduleid", _KEPT_SCHEDULES), ("plan", "planid", _KEPT_PLANS),
+         ("member", "memberid", _KEPT_MEMBERS)]
+
+BODIES |= {
+    "s06_visits_inserted": f"SELECT * FROM g_checkin UNION ALL ({_NEW_VISITS})",
+    "s07_payments_settled": BODIES["m04_overdue_settled"],
+    "s07_visits_corrected": f"{_CORRECTED} UNION ALL ({_NEW_VISITS})",
+    "s08_machines_after_recreation": """
+        SELECT q.machineid, q.name, q.type, q.manufacturer, q.model, z.status,
+               q.installationdate, q.maintenancedate
+        FROM g_machine q JOIN g_machinestatus z USING (machinestatusid)
+    """,
+    "m04_member_differences": f"SELECT * FROM ({_KIND}) WHERE kind IS NOT NULL",
+    "m04_members_redelivered": f"""
+        SELECT {_MEMBER_COLUMNS}, created_at, updated_at FROM g_member
+        WHERE memberid IN (SELECT memberid FROM ({_KIND}) WHERE kind IS NULL)
+        UNION ALL
+        SELECT n.*, coalesce((SELECT o.created_at FROM g_member o WHERE o.memberid = n.memberid), $now), $now
+        FROM ({_AGAIN}) n WHERE n.memberid IN (SELECT memberid FROM ({_KIND}) WHERE kind IN ('inserted', 'changed'))
+    """,
+    "m07_batch_left": " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, CAST({key} AS BIGINT) AS row_id FROM ({body})" for name, key, body in _LEFT
+    ),
+    "m07_batch_refused": f"""
+        SELECT 'membersubscription' AS table_name, CAST(subscriptionid AS BIGINT) AS row_id, 'payment' AS held_by
+        FROM ({_KEPT_SUBSCRIPTIONS}) WHERE memberid IN ({_GONE_MEMBERS})
+        UNION ALL
+        SELECT 'classschedule', classscheduleid, 'classbooking' FROM ({_KEPT_SCHEDULES}) WHERE NOT isactive
+        UNION ALL
+        SELECT 'plan', planid, 'membersubscription' FROM ({_KEPT_PLANS}) WHERE NOT isactive OR planid = 2
+        UNION ALL
+        SELECT 'member', memberid, 'membersubscription' FROM ({_KEPT_MEMBERS}) WHERE NOT isactive
+    """,
+    "m07_keys_changed": """
+        SELECT 'classbooking' AS table_name, b.bookingid AS row_id,
+               if(g.isactive, b.memberid + 50000000, b.memberid) AS memberid,
+               if(s.isactive, b.classscheduleid + 70000000, b.classscheduleid) AS other_key,
+               if(g.isactive OR s.isactive, $now, b.updated_at) AS updated_at
+        FROM g_classbooking b JOIN g_member g USING (memberid) JOIN g_classschedule s USING (classscheduleid)
+        UNION ALL
+        SELECT 'membersubscription', u.subscriptionid, if(g.isactive, u.memberid + 50000000, u.memberid),
+               CAST(if(u.planid = 2, 500, u.planid) AS BIGINT),
+               if(g.isactive OR u.planid = 2, $now, u.updated_at)
+        FROM g_membersubscription u JOIN g_member g USING (memberid)
+    """,
+    "a05_running_counts": """
+        SELECT classscheduleid, count(*) FILTER (memberid % 10 <> 0) AS booked
+        FROM g_classbooking GROUP BY classscheduleid
+    """,
+}
+
 ORACLE = {name: sql(body) for name, body in BODIES.items()}

@@ -100,6 +100,18 @@ BODIES = {
     """,
     "q_valid_members": "SELECT * FROM d_member WHERE "
     + " AND ".join(f"coalesce(NOT ({broken}), true)" for _, _, broken in _MEMBER_RULES),
+    "q_delivery_counts": f"""
+        SELECT table_name, rule, count(*) AS broken
+        FROM ({_lines(REQUIRED + LENGTHS + BROKEN)}) GROUP BY table_name, rule
+    """,
+    "q_rejected_members": f"""
+        SELECT row_id AS memberid, count(*) AS rules FROM ({_lines(_MEMBER_RULES)}) GROUP BY row_id
+    """,
+    "q_repeated_keys": "\nUNION ALL ".join(
+        f"SELECT '{t.name}' AS table_name, CAST({t.key} AS BIGINT) AS row_id,"
+        f" CAST(if({t.key} % 33 = 0, 2, 1) AS BIGINT) AS surplus FROM d_{t.name} WHERE {t.key} % 11 = 0"
+        for t in TABLES.values()
+    ),
 }
 
 ORACLE = {name: sql(body) for name, body in BODIES.items()}

@@ -2,23 +2,34 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palestra.operators.cascades import change_batch, delete_batch
 from palestra.operators.changes import change_keys, delete_rows, update_where, with_defaults
 from palestra.operators.checks import check
+from palestra.operators.differences import differences, redelivered
+from palestra.operators.existence import build_filter, filter_bits
 from palestra.operators.numbering import highest_key, numbered
+from palestra.operators.running import booking_deltas, merge_counts, read_counts
+from palestra.operators.text_index import write_postings
 from palestra.plans import app_queries as app
 from palestra.plans import club_rules as rules
 from palestra.plans import screen_figures as figures
 from palestra.plans import views
 from palestra.plans.bookings import Bookings, book_classes
+from palestra.plans.deliveries import take_delivery
 from palestra.plans.logins import Logins, apply_logins
 from palestra.plans.registration import Registration, register_members
 from palestra.sources.fixture import FIXTURE_AS_OF as AS_OF
+from palestra.session import application_folder, durable
 from palestra.sources.fixture import delivered_tables, mapped_tables, requests
+from palestra.sources.schema import TABLES
+from palestra.sources.stored import StoredTables
 from palestra.sources.tables import ClubTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -206,6 +217,157 @@ def _instructors_renumbered(t: ClubTables, as_of) -> DataFrame:
     )
 
 
+def _own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder, which goes when the application ends."""
+    return f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _store(t: ClubTables, *names: str) -> StoredTables:
+    """A new store that holds some of the tables."""
+    store = StoredTables(t.spark, _own_folder(t.spark, "store"), unit="month")
+    for name in names:
+        store.create(name, t[name])
+    return store
+
+
+def _visits_inserted(t: ClubTables, as_of) -> DataFrame:
+    store = _store(t, "checkin")
+    store.insert("checkin", _bare_checkins(t, as_of))
+    return store.read("checkin")
+
+
+def _payments_settled(t: ClubTables, as_of) -> DataFrame:
+    store = _store(t, "payment")
+    overdue = store.read("payment").where(~F.col("ispayed") & (F.col("duedate") < as_of.today()))
+    changes = overdue.select("paymentid", F.lit(True).alias("ispayed"), as_of.today().alias("paymentdate"))
+    store.update("payment", changes, as_of)
+    return store.read("payment")
+
+
+def _visits_corrected(t: ClubTables, as_of) -> DataFrame:
+    """Some visits move to the next day, some go and some come, in one batch."""
+    store = _store(t, "checkin")
+    moved = t["checkin"].where("checkinid % 50 = 7").withColumns(
+        {"date": F.date_add("date", 1), "updated_at": as_of.timestamp()}
+    )
+    gone = t["checkin"].where("checkinid % 50 = 8").select("checkinid")
+    store.merge("checkin", moved.unionByName(_bare_checkins(t, as_of)), gone)
+    return store.read("checkin")
+
+
+def _machines_after_recreation(t: ClubTables, as_of) -> DataFrame:
+    """All tables dropped and created anew, the lookup rows loaded, the machines put back."""
+    store = _store(t, "machine", "machinestatus")
+    store.create_all(as_of)
+    store.insert("machine", t["machine"])
+    return views.machines(store.tables(), as_of)
+
+
+def _members_again(spark: SparkSession, sf_dir: str) -> tuple[ClubTables, DataFrame]:
+    """The member table as it comes again: some rows new, some changed, some missing."""
+    t, given = mapped_tables(spark, sf_dir), delivered_tables(spark, sf_dir)["member"]
+    columns = [c for c in given.columns if not c.endswith("_at")]
+    fresh = t["member"].where("memberid % 10 = 0").withColumns(
+        {
+            "memberid": F.col("memberid") + 50000000,
+            "nif": F.lpad((F.col("memberid") + 50000000).cast("string"), 9, "0"),
+            "userid": F.lit(None).cast("bigint"),
+        }
+    )
+    return t, given.where("memberid % 23 <> 5").select(*columns).unionByName(fresh.select(*columns))
+
+
+def _member_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, again = _members_again(spark, sf_dir)
+    return differences(t["member"], again, "memberid")
+
+
+def _members_redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, again = _members_again(spark, sf_dir)
+    return redelivered(t["member"], again, "member", AS_OF)[0]
+
+
+def _batch_deleted(t: ClubTables, as_of) -> tuple[ClubTables, DataFrame]:
+    """Inactive members with their bookings, visits and unpaid subscriptions; inactive
+    schedules; inactive plans and one that is in use."""
+    members = t["member"].where("NOT isactive").select("memberid")
+    of_members = lambda name: t[name].join(members, "memberid", "left_semi").select(TABLES[name].key)
+    wanted = {name: of_members(name) for name in ("classbooking", "checkin", "membersubscription")}
+    wanted |= {
+        "member": members,
+        "classschedule": t["classschedule"].where("NOT isactive").select("classscheduleid"),
+        "plan": t["plan"].where("NOT isactive OR planid = 2").select("planid"),
+    }
+    return delete_batch(t, wanted, as_of)
+
+
+def _batch_left(t: ClubTables, as_of) -> DataFrame:
+    after, _ = _batch_deleted(t, as_of)
+    names = ["checkin", "classbooking", "membersubscription", "classschedule", "plan", "member"]
+    keys = [after[n].select(F.lit(n).alias("table_name"), F.col(TABLES[n].key).cast("bigint").alias("row_id")) for n in names]
+    return reduce(DataFrame.unionByName, keys)
+
+
+def _keys_changed(t: ClubTables, as_of) -> DataFrame:
+    """Active members and schedules and one plan move to new keys; what points at them follows."""
+    moved = lambda name, by: t[name].where("isactive").select(
+        F.col(TABLES[name].key).alias("old_key"), (F.col(TABLES[name].key) + by).alias("new_key")
+    )
+    plan = t["plan"].where("planid = 2").select(
+        F.col("planid").alias("old_key"), F.lit(500).alias("new_key")
+    )
+    renames = {"member": moved("member", 50000000), "classschedule": moved("classschedule", 70000000), "plan": plan}
+    after, _ = change_batch(t, renames, as_of)
+    return after["classbooking"].select(
+        F.lit("classbooking").alias("table_name"), F.col("bookingid").alias("row_id"), "memberid",
+        F.col("classscheduleid").alias("other_key"), "updated_at",
+    ).unionByName(
+        after["membersubscription"].select(
+            F.lit("membersubscription").alias("table_name"), F.col("subscriptionid").alias("row_id"), "memberid",
+            F.col("planid").cast("bigint").alias("other_key"), "updated_at",
+        )
+    )
+
+
+def _counts_kept(t: ClubTables, removed=None) -> StoredTables:
+    """A store with the numbers of bookings after three batches of them; the last one takes
+    some back."""
+    store = _store(t)
+    for k in range(3):
+        added = t["classbooking"].where(F.col("bookingid") % 3 == k)
+        merge_counts(store, f"batch-{k}", booking_deltas(added, removed if k == 2 else None))
+    return store
+
+
+def _running_counts(t: ClubTables, as_of) -> DataFrame:
+    removed = t["classbooking"].where("memberid % 10 = 0")
+    store = _counts_kept(t, removed)
+    return read_counts(t.spark, store.root).select("classscheduleid", "booked")
+
+
+def _available_running(t: ClubTables, as_of) -> DataFrame:
+    return views.member_available_classes(t, as_of, read_counts(t.spark, _counts_kept(t).root))
+
+
+def _emails_taken_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D-03 with a stored filter of the emails in front of the exact join."""
+    t = mapped_tables(spark, sf_dir)
+    bits = filter_bits(t["users"].count())
+    stored = durable(build_filter(t["users"], "email", bits))
+    return app.emails_taken(
+        t, AS_OF, requests(spark, sf_dir, "signup").select("request_id", "email"), (stored, bits)
+    )
+
+
+def _members_by_index(text: str, **filters) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t, index = mapped_tables(spark, sf_dir), _own_folder(spark, "postings")
+        write_postings(t["users"], "userid", ["name", "email"], index)
+        return figures.find_members(t, AS_OF, text=text, index=index, **filters)
+
+    return run
+
+
 def job_queries() -> dict[str, Query]:
     return {
         "m01_new_users": lambda s, d: _registration(s, d).users,
@@ -223,6 +385,18 @@ def job_queries() -> dict[str, Query]:
         "m07_inactive_classes_refused": _view(_inactive_classes_refused),
         "m07_inactive_classes_deleted": _view(_inactive_classes_deleted),
         "m07_instructors_renumbered": _view(_instructors_renumbered),
+        "s06_visits_inserted": _view(_visits_inserted),
+        "s07_payments_settled": _view(_payments_settled),
+        "s07_visits_corrected": _view(_visits_corrected),
+        "s08_machines_after_recreation": _view(_machines_after_recreation),
+        "m04_member_differences": _member_differences,
+        "m04_members_redelivered": _members_redelivered,
+        "m07_batch_left": _view(_batch_left),
+        "m07_batch_refused": _view(lambda t, a: _batch_deleted(t, a)[1]),
+        "m07_keys_changed": _view(_keys_changed),
+        "a05_running_counts": _view(_running_counts),
+        "v07_available_classes_running": _view(_available_running),
+        "d03_emails_taken_filtered": _emails_taken_filtered,
     }
 
 
@@ -234,6 +408,29 @@ def _check(prefix: str) -> Query:
     return _on_delivery(lambda t: rules.broken_checks(t, prefix))
 
 
+def _taken(spark: SparkSession, sf_dir: str, name: str):
+    delivered = delivered_tables(spark, sf_dir)[name]
+    return take_delivery(delivered, name, _own_folder(spark, f"delivery-{name}"))
+
+
+def _delivery_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [_taken(spark, sf_dir, name).counts for name in TABLES])
+
+
+def _rejected_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rejects = _taken(spark, sf_dir, "member").rejects
+    return rejects.select("memberid", F.size("rules").cast("bigint").alias("rules"))
+
+
+def _sent_twice(t: ClubTables) -> ClubTables:
+    """Deliveries of which some rows came again, some of them twice."""
+    again = {}
+    for name, table in TABLES.items():
+        late = t[name].where(F.col(table.key) % 11 == 0)
+        again[name] = t[name].unionByName(late).unionByName(late.where(F.col(table.key) % 33 == 0))
+    return t.with_tables(**again)
+
+
 def _delivered_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.broken_references(delivered_tables(spark, sf_dir), mapped_tables(spark, sf_dir))
 
@@ -261,12 +458,18 @@ def rule_queries() -> dict[str, Query]:
         "q_unique_composite": _on_delivery(lambda t: rules.broken_uniqueness(t, composite=True)),
         "q_references": _delivered_references,
         "q_rule_counts": _on_delivery(rules.rule_counts),
+        "q_repeated_keys": _on_delivery(lambda t: rules.repeated_keys(_sent_twice(t))),
+        "q_delivery_counts": _delivery_counts,
+        "q_rejected_members": _rejected_members,
         "q_valid_members": _on_delivery(
             lambda t: check(t["member"], rules.rules_of("member"))[0]
         ),
     }
 
 
+GRID_ROOMS = ["Brand#1", "Brand#5", "Brand#12", "Brand#20"]
+
+
 def figure_queries() -> dict[str, Query]:
     return {
         "x01_monthly_revenue": _view(figures.monthly_revenue),
@@ -277,10 +480,13 @@ def figure_queries() -> dict[str, Query]:
         "x06_plan_performance": _view(figures.plan_performance),
         "x07_machines_per_status": _view(figures.machines_per_status),
         "x08_class_grid_cells": _view(figures.class_grid_cells),
+        "x08_class_grid": _view(lambda t, a: figures.class_grid(t, a, GRID_ROOMS)),
         "x09_instructor_month": _view(figures.instructor_month),
         "x10_find_members": _view(
             lambda t, a: figures.find_members(t, a, text="9", active=True, plan="Premium")
         ),
+        "x10_find_members_indexed": _members_by_index("0004", active=True),
+        "x10_find_members_indexed_short": _members_by_index("#0", plan="Premium"),
         "x10_find_payments": _view(
             lambda t, a: figures.find_payments(
                 t, a, text="7", status="Em Atraso", plan="Basico", since=a.date.replace(year=2022),
@@ -292,7 +498,7 @@ def figure_queries() -> dict[str, Query]:
         ),
         "x10_find_classes": _view(
             lambda t, a: figures.find_classes(
-                t, a, instructor="Supplier#000000003", room="Brand#7"
+                t, a, instructor="Supplier#000000003", room="Brand#5"
             )
         ),
         "x10_find_machines": _view(

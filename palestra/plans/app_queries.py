@@ -17,6 +17,7 @@ from palestra.functions.display import (
     or_default,
     rounded_hours,
 )
+from palestra.operators.existence import maybe_present
 from palestra.operators.joins import Hint, fits, only_users
 from palestra.operators.ranking import first_per_group, first_rows
 from palestra.plans import views
@@ -26,6 +27,7 @@ from palestra.plans.parts import (
     newest_first,
     open_classes,
 )
+from palestra.session import durable
 from palestra.sources.tables import ClubTables
 
 PAYMENTS_SHOWN = 10
@@ -83,9 +85,15 @@ def registration_plans(t: ClubTables, as_of: AsOf) -> DataFrame:
     return views.plan_choices(t, as_of)
 
 
-def emails_taken(t: ClubTables, as_of: AsOf, emails: DataFrame) -> DataFrame:
-    """The given rows with ``taken``: whether a user has this ``email``."""
+def emails_taken(
+    t: ClubTables, as_of: AsOf, emails: DataFrame, known_by: tuple[DataFrame, int] | None = None
+) -> DataFrame:
+    """The given rows with ``taken``: whether a user has this ``email``. ``known_by`` is a
+    stored filter of all emails with its bits; only emails that it may hold are joined."""
     known = views.email_exists(t, as_of).select("email", F.lit(True).alias("taken"))
+    if known_by is not None:
+        maybe = durable(maybe_present(emails, "email", *known_by))
+        known = known.join(Hint(fits(maybe))(maybe), "email", "left_semi")
     return emails.join(known, "email", "left").withColumn(
         "taken", F.coalesce("taken", F.lit(False))
     )

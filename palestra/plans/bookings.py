@@ -41,7 +41,8 @@ def book_classes(t: ClubTables, as_of: AsOf, requests: DataFrame) -> Bookings:
     schedules = rows_for(
         t["classschedule"].select("classscheduleid"), arrivals, ["classscheduleid"], hint
     )
-    judged = durable(
+    # the requests are stored once, by their number; what is found for them is joined anew
+    judged = (
         arrivals.join(hint(members), "userid", "left")
         .join(hint(schedules.withColumn("schedule_known", F.lit(True))), "classscheduleid", "left")
         .withColumn(

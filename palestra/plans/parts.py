@@ -59,20 +59,26 @@ def class_details(t: ClubTables, how: str, only_active: bool = False) -> DataFra
     )
 
 
-def open_classes(t: ClubTables, as_of: AsOf, later_than: int | None = None) -> DataFrame:
+def open_classes(
+    t: ClubTables, as_of: AsOf, later_than: int | None = None, counts: DataFrame | None = None
+) -> DataFrame:
     """Today's active classes that have free spots; with ``later_than`` only those that
-    start after that time of day. The large tables meet the day's schedules only."""
+    start after that time of day. The large tables meet the day's schedules only. ``counts``
+    (``classscheduleid``, ``booked``), if they are kept, stand for the bookings."""
     schedules = t["classschedule"].where(F.col("isactive") & (F.col("date") == as_of.today()))
     if later_than is not None:
         schedules = schedules.where(F.col("starttime") > F.lit(later_than))
     schedules = schedules.where(F.col("maxparticipants").isNotNull()).select(
         "classscheduleid", "classid", "date", "starttime", "endtime", "maxparticipants"
     )
-    booked = (
-        t["classbooking"].select("classscheduleid")
-        .join(schedules.select("classscheduleid"), "classscheduleid", "left_semi")
-        .groupBy("classscheduleid").agg(F.count("*").alias("current_bookings"))
-    )
+    if counts is not None:
+        booked = counts.select("classscheduleid", F.col("booked").alias("current_bookings"))
+    else:
+        booked = (
+            t["classbooking"].select("classscheduleid")
+            .join(schedules.select("classscheduleid"), "classscheduleid", "left_semi")
+            .groupBy("classscheduleid").agg(F.count("*").alias("current_bookings"))
+        )
     free = (
         schedules.join(booked, "classscheduleid", "left")
         .withColumn("current_bookings", F.coalesce("current_bookings", F.lit(0)))

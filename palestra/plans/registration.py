@@ -121,14 +121,18 @@ def register_members(t: ClubTables, as_of: AsOf, requests: DataFrame) -> Registr
     rejected one gives the first reason it meets: email taken, a broken rule of the user,
     of the member, NIF taken, plan unknown.
     """
+    typed = _typed(requests)
+    # names and passwords stay out of the stored tables: requests are numbered and judged by
+    # what can collide, and meet the rest of their fields by a hash of all of them at the end
+    fields = [c for c in typed.columns if c != "request_id"]
+    told = F.xxhash64(*fields, F.array(*[F.col(c).isNull() for c in fields]))
+    broken = F.concat(failed_rules(_own_rules("users")), failed_rules(_own_rules("member")))
     arrivals = numbered(
-        _typed(requests).withColumns(
-            {
-                "user_rules": failed_rules(_own_rules("users")),
-                "member_rules": failed_rules(_own_rules("member")),
-            }
+        typed.select(
+            "request_id", told.alias("fields"), "email", "nif", "plan",
+            F.get(broken, 0).alias("broken"),
         ),
-        ["request_id", "email"],
+        ["request_id", "email", "fields"],
         "arrival",
     )
     # emails and NIFs are unique in store, so a small batch finds few of them
@@ -138,7 +142,6 @@ def register_members(t: ClubTables, as_of: AsOf, requests: DataFrame) -> Registr
     known_plan = rows_for(
         t["plan"].select(F.col("planid").alias("plan")), arrivals, ["plan"], hint
     )
-    broken = F.concat(F.col("user_rules"), F.col("member_rules"))
     judged = durable(
         arrivals.join(hint(known_email.withColumn("email_known", F.lit(True))), "email", "left")
         .join(hint(known_nif.withColumn("nif_known", F.lit(True))), "nif", "left")
@@ -146,7 +149,7 @@ def register_members(t: ClubTables, as_of: AsOf, requests: DataFrame) -> Registr
         .withColumn(
             "reason",
             F.when(F.col("email_known"), F.lit(EMAIL_TAKEN))
-            .when(F.size(broken) > 0, broken[0])
+            .when(F.col("broken").isNotNull(), F.col("broken"))
             .when(F.col("nif_known"), F.lit(NIF_TAKEN))
             .when(F.col("plan_known").isNull(), F.lit(PLAN_UNKNOWN)),
         )
@@ -168,12 +171,17 @@ def register_members(t: ClubTables, as_of: AsOf, requests: DataFrame) -> Registr
 
     # as with a sequence, a rejected request leaves a gap in the keys
     arrival = F.col("arrival")
-    rows = judged.join(accepted.select("arrival"), "arrival", "left_semi").withColumns(
-        {
-            "userid": arrival + highest_key(t["users"], "userid"),
-            "memberid": arrival + highest_key(t["member"], "memberid"),
-            "subscriptionid": arrival + highest_key(t["membersubscription"], "subscriptionid"),
-        }
+    keys = judged.join(accepted.select("arrival"), "arrival", "left_semi").select(
+        "request_id", "fields",
+        (arrival + highest_key(t["users"], "userid")).alias("userid"),
+        (arrival + highest_key(t["member"], "memberid")).alias("memberid"),
+        (arrival + highest_key(t["membersubscription"], "subscriptionid")).alias("subscriptionid"),
+    )
+    # of requests that are equal in all fields at most one is accepted
+    given = typed.withColumn("fields", told).dropDuplicates(["request_id", "fields"])
+    rows = given.join(
+        hint(keys.withColumnsRenamed({"request_id": "_id", "fields": "_fields"})),
+        F.col("request_id").eqNullSafe(F.col("_id")) & (F.col("fields") == F.col("_fields")),
     )
     users = rows.select(
         "userid", *_USER_FIELDS, F.lit(MEMBER_USER_TYPE).alias("usertypeid")

@@ -12,6 +12,7 @@ from palestra.asof import AsOf
 from palestra.functions.clock import MICROS_PER_MINUTE, clock_text, hours, total_length, whole_hours
 from palestra.functions.display import OVERDUE, PENDING
 from palestra.operators.ranking import first_per_group
+from palestra.operators.text_index import candidates
 from palestra.plans import views
 from palestra.plans.parts import active_subscriptions, lowest_first
 from palestra.sources.tables import ClubTables
@@ -199,8 +200,17 @@ def _contains(text: str, *columns: str) -> Column:
 
 def find_members(
     t: ClubTables, as_of: AsOf, text: str | None = None, active: bool | None = None,
-    plan: str | None = None,
+    plan: str | None = None, index: str | None = None,
 ) -> DataFrame:
+    """Members by a part of name or email, by activity and by plan. ``index`` names stored
+    postings of the users' names and emails; then only users that hold the parts are read on."""
+    if text and index:
+        found = candidates(t.spark, index, text, ["name", "email"])
+        named = found.select(F.col("row_id").alias("userid"))
+        t = t.with_tables(
+            member=t["member"].join(named, "userid", "left_semi"),
+            users=t["users"].join(named, "userid", "left_semi"),
+        )
     rows = views.all_members(t, as_of)
     if text:
         rows = rows.where(_contains(text, "name", "email"))

@@ -134,9 +134,12 @@ def member_schedule_classes(t: ClubTables, as_of: AsOf) -> DataFrame:
     )
 
 
-def member_available_classes(t: ClubTables, as_of: AsOf) -> DataFrame:
-    """Today's active classes that start later than now and have free spots."""
-    return open_classes(t, as_of, later_than=as_of.time_us)
+def member_available_classes(
+    t: ClubTables, as_of: AsOf, counts: DataFrame | None = None
+) -> DataFrame:
+    """Today's active classes that start later than now and have free spots. ``counts`` are
+    numbers of bookings that are kept up to date (``operators/running.py``)."""
+    return open_classes(t, as_of, later_than=as_of.time_us, counts=counts)
 
 
 def member_account_details(t: ClubTables, as_of: AsOf) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,10 +50,50 @@ def scratch_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def application_folder(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables, below the shared one. It is
+    removed when the application ends."""
+    folder = f"{scratch_folder(spark)}/palestra-{spark.sparkContext.applicationId}"
+    if folder not in _to_remove:
+        _to_remove.add(folder)
+        atexit.register(_remove, spark, folder)
+    return folder
+
+
+_to_remove: set[str] = set()
+_workspaces: list[str] = []
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        delete_folder(spark, folder)
+    except Exception:  # the engine is gone already; nothing reads the folder any more
+        return
+
+
+@contextlib.contextmanager
+def workspace(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables made within the block are removed at its end. What is read from
+    them must be written elsewhere before."""
+    folder = f"{application_folder(spark)}/work-{uuid.uuid4().hex}"
+    _workspaces.append(folder)
+    try:
+        yield folder
+    finally:
+        _workspaces.remove(folder)
+        delete_folder(spark, folder)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared folder. Lost executors then cost no
     recomputation, later steps see the same rows, and they read only the columns they use."""
     spark = df.sparkSession
-    path = f"{scratch_folder(spark)}/palestra-{uuid.uuid4().hex}"
+    folder = _workspaces[-1] if _workspaces else application_folder(spark)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

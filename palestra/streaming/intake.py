@@ -1,5 +1,9 @@
-"""Continuous intake: each micro-batch of requests runs an intake job on the stored tables
-and publishes its rows and its rejects together, once."""
+"""Continuous intake: each micro-batch of requests runs an intake job on the stored tables.
+
+The outcome of a batch is written to a folder of its own first, and marked as complete; then
+its rows are merged into the tables by key. A batch that the stream repeats after a failure
+takes the outcome that is there and merges it again, which changes nothing.
+"""
 
 from __future__ import annotations
 
@@ -9,10 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from palestra.asof import AsOf
+from palestra.operators.running import booking_deltas, merge_counts
 from palestra.plans.bookings import book_classes
 from palestra.plans.logins import apply_logins
 from palestra.plans.registration import register_members
-from palestra.sources.snapshots import SnapshotStore
+from palestra.session import workspace
+from palestra.sources.stored import StoredTables
+from palestra.sources.schema import TABLES
+from palestra.sources.tables import ClubTables
 
 REQUEST_SCHEMAS = {
     "signup": "request_id BIGINT, name STRING, password STRING, email STRING, nif STRING, "
@@ -24,43 +32,65 @@ REQUEST_SCHEMAS = {
 }
 
 
-def _signups(store: SnapshotStore, as_of: AsOf, rows: DataFrame, batch: str) -> None:
-    done = register_members(store.tables(), as_of, rows)
-    store.publish(
-        append={
-            "users": done.users,
-            "member": done.member,
-            "membersubscription": done.membersubscription,
-            "signup_rejects": done.rejects,
-        },
-        batch=batch,
-    )
+def _signups(t: ClubTables, as_of: AsOf, rows: DataFrame) -> dict[str, DataFrame]:
+    done = register_members(t, as_of, rows)
+    return {"users": done.users, "member": done.member,
+            "membersubscription": done.membersubscription, "rejects": done.rejects}
 
 
-def _bookings(store: SnapshotStore, as_of: AsOf, rows: DataFrame, batch: str) -> None:
-    done = book_classes(store.tables(), as_of, rows)
-    store.publish(
-        append={"classbooking": done.classbooking, "booking_rejects": done.rejects}, batch=batch
-    )
+def _bookings(t: ClubTables, as_of: AsOf, rows: DataFrame) -> dict[str, DataFrame]:
+    done = book_classes(t, as_of, rows)
+    return {"classbooking": done.classbooking, "rejects": done.rejects}
 
 
-def _logins(store: SnapshotStore, as_of: AsOf, rows: DataFrame, batch: str) -> None:
-    done = apply_logins(store.tables(), as_of, rows)
-    store.publish(
-        replace={"users": done.users}, append={"login_rejects": done.rejects}, batch=batch
-    )
+def _logins(t: ClubTables, as_of: AsOf, rows: DataFrame) -> dict[str, DataFrame]:
+    done = apply_logins(t, as_of, rows)
+    return {"users": done.changed, "rejects": done.rejects}
 
 
 _JOBS = {"signup": _signups, "booking": _bookings, "login": _logins}
 
 
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _marked(spark: SparkSession, path: str) -> bool:
+    files, where = _files(spark, path)
+    return files.exists(where)
+
+
+def _mark(spark: SparkSession, path: str) -> None:
+    files, where = _files(spark, path)
+    files.create(where, True).close()
+
+
 def take_in(
-    store: SnapshotStore, kind: str, rows: DataFrame, batch: str, as_of: AsOf | None = None
+    store: StoredTables, kind: str, rows: DataFrame, batch: str, as_of: AsOf | None = None
 ) -> None:
-    """Run one batch of requests. A batch that is already published is left alone, so a
-    batch that the stream repeats after a failure changes nothing."""
-    if not store.published(batch):
-        _JOBS[kind](store, as_of or AsOf.now(), rows, batch)
+    """Run one batch of requests, once."""
+    spark = store.spark
+    folder = f"{store.root}/intake/{kind}/{batch}"
+    if _marked(spark, f"{folder}/_merged"):
+        return
+    if not _marked(spark, f"{folder}/_complete"):
+        with workspace(spark):
+            for name, df in _JOBS[kind](store.tables(), as_of or AsOf.now(), rows).items():
+                df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        _mark(spark, f"{folder}/_complete")
+    for name in TABLES:
+        if _marked(spark, f"{folder}/{name}"):
+            store.merge(name, spark.read.schema(TABLES[name].struct).parquet(f"{folder}/{name}"))
+    if kind == "booking":
+        made = spark.read.schema(TABLES["classbooking"].struct).parquet(f"{folder}/classbooking")
+        merge_counts(store, batch, booking_deltas(added=made))
+    _mark(spark, f"{folder}/_merged")
+
+
+def rejects(store: StoredTables, kind: str) -> DataFrame:
+    """What the batches so far have rejected, with the reason."""
+    return store.spark.read.parquet(f"{store.root}/intake/{kind}/*/rejects")
 
 
 def request_stream(spark: SparkSession, kind: str, folder: str) -> DataFrame:
@@ -69,7 +99,7 @@ def request_stream(spark: SparkSession, kind: str, folder: str) -> DataFrame:
 
 
 def start_intake(
-    store: SnapshotStore,
+    store: StoredTables,
     kind: str,
     requests: DataFrame,
     checkpoint: str,
