@@ -26,7 +26,9 @@ from palestra.plans.deliveries import take_delivery
 from palestra.plans.logins import Logins, apply_logins
 from palestra.plans.registration import Registration, register_members
 from palestra.sources.fixture import FIXTURE_AS_OF as AS_OF
+from palestra.plans.sql_functions import register_functions
 from palestra.session import application_folder, durable
+from palestra.sources.buckets import with_buckets, write_buckets
 from palestra.sources.fixture import delivered_tables, mapped_tables, requests
 from palestra.sources.schema import TABLES
 from palestra.sources.stored import StoredTables
@@ -359,6 +361,31 @@ def _emails_taken_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ROWS_PER_BUCKET = 1_000_000
+
+
+def _in_buckets(view) -> Query:
+    """A view on tables that are stored in buckets."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t, prefix = mapped_tables(spark, sf_dir), f"b{uuid.uuid4().hex}_"
+        buckets = max(4, t["checkin"].count() // ROWS_PER_BUCKET)
+        write_buckets(t, _own_folder(spark, "buckets"), prefix, buckets)
+        return view(with_buckets(t, prefix), AS_OF)
+
+    return run
+
+
+def _by_function(call: str) -> Query:
+    """A table function in SQL."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register_functions(mapped_tables(spark, sf_dir))
+        return spark.sql(f"SELECT * FROM {call}")
+
+    return run
+
+
 def _members_by_index(text: str, **filters) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t, index = mapped_tables(spark, sf_dir), _own_folder(spark, "postings")
@@ -368,6 +395,9 @@ def _members_by_index(text: str, **filters) -> Query:
     return run
 
 
+_NOW = f"TIMESTAMP_NTZ '{AS_OF.ts}'"
+
+
 def job_queries() -> dict[str, Query]:
     return {
         "m01_new_users": lambda s, d: _registration(s, d).users,
@@ -397,6 +427,12 @@ def job_queries() -> dict[str, Query]:
         "a05_running_counts": _view(_running_counts),
         "v07_available_classes_running": _view(_available_running),
         "d03_emails_taken_filtered": _emails_taken_filtered,
+        "v16_all_checkins_bucketed": _in_buckets(views.all_checkins),
+        "v18_payments_bucketed": _in_buckets(views.payments),
+        "v21_checkin_history_bucketed": _in_buckets(views.checkin_history_rows),
+        "v07_available_classes_sql": _by_function(f"available_classes({_NOW})"),
+        "d04_month_summary_sql": _by_function(f"month_summary({_NOW}, {ONE_USER})"),
+        "d08_last_payments_sql": _by_function(f"last_payments(DATE '{AS_OF.date}', {ONE_USER})"),
     }
 
 

@@ -41,7 +41,9 @@ def member_users(t: ClubTables) -> DataFrame:
 
 
 def member_names(t: ClubTables) -> DataFrame:
-    """Members that have a user, with its name."""
+    """Members that have a user, with its name; as stored, where they are."""
+    if "member_names" in t:
+        return t["member_names"]
     return member_users(t).join(user_names(t), "userid")
 
 

@@ -234,15 +234,21 @@ def machines(t: ClubTables, as_of: AsOf) -> DataFrame:
     )
 
 
-def payment_rows(t: ClubTables) -> DataFrame:
-    """Payments with member, member's name and plan."""
-    payers = (
+def payers(t: ClubTables) -> DataFrame:
+    """Subscriptions with member, member's name and plan; as stored, where they are."""
+    if "payers" in t:
+        return t["payers"]
+    return (
         t["membersubscription"].select("subscriptionid", "memberid", "planid")
         .join(member_names(t), "memberid")
         .join(t["plan"].select("planid", F.col("name").alias("plan_name")), "planid")
         .select("subscriptionid", "memberid", F.col("user_name").alias("member_name"), "plan_name")
     )
-    return t["payment"].join(payers, "subscriptionid")
+
+
+def payment_rows(t: ClubTables) -> DataFrame:
+    """Payments with member, member's name and plan."""
+    return t["payment"].join(payers(t), "subscriptionid")
 
 
 _PAYMENT_COLUMNS = [

@@ -1,15 +1,19 @@
 """Shapes of physical plans, and joins on a key that holds a third of the rows."""
 
 import contextlib
+import datetime as dt
 import io
 
 import pytest
 from conftest import HOUR
 from pyspark.sql import functions as F
 
+from palestra.asof import AsOf
 from palestra.plans import app_queries as app
 from palestra.plans import club_rules as rules
 from palestra.plans import views
+from palestra.plans.sql_functions import register_functions
+from palestra.sources.buckets import with_buckets, write_buckets
 from palestra.sources.fixture import FIXTURE_AS_OF, mapped_tables
 from palestra.sources.schema import TABLES
 from palestra.sources.tables import ClubTables, read_tables, write_table
@@ -212,3 +216,35 @@ def test_values_are_counted_in_one_pass(spark):
     text = rules.rule_counts(t)._jdf.queryExecution().optimizedPlan().toString()
     # users come from three inputs, so each scan of them shows three relations
     assert text.count("Relation") <= 3 * 2 * 14
+
+
+def test_joins_in_buckets_need_no_shuffle(spark, tmp_path):
+    mapped = mapped_tables(spark, SMALL)
+    write_buckets(mapped, str(tmp_path), "bt_", 4)
+    t = with_buckets(mapped, "bt_")
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        for view in (views.all_checkins, views.payments, views.checkin_history_rows):
+            text = plan(view(t, FIXTURE_AS_OF))
+            assert "SortMergeJoin" in text and "Exchange" not in text and "Bucketed: true" in text, view
+            rows = view(t, FIXTURE_AS_OF)
+            assert rows.exceptAll(view(mapped, FIXTURE_AS_OF)).isEmpty()
+            assert rows.count() == view(mapped, FIXTURE_AS_OF).count() > 0
+
+
+def test_table_functions_equal_the_frames(spark, stored):
+    register_functions(stored)
+    for day in ("2024-01-20", "2023-11-05"):
+        now = AsOf(dt.datetime.fromisoformat(f"{day} 07:30:15.250000"))
+        for user in (7, 8, 10, 99999999):
+            for call, frame in (
+                (f"month_summary(TIMESTAMP_NTZ '{now.ts}', {user})", app.month_summary(stored, now, user)),
+                (f"last_payments(DATE '{day}', {user})", app.last_payments(stored, now, user)),
+            ):
+                assert spark.sql(f"SELECT * FROM {call}").select(*frame.columns).collect() == frame.collect(), call
+        frame = views.member_available_classes(stored, now)
+        found = spark.sql(f"SELECT * FROM available_classes(TIMESTAMP_NTZ '{now.ts}')").select(*frame.columns)
+        assert sorted(found.collect()) == sorted(frame.collect())
+    # for a set of users, and with the user's rows only
+    many = spark.sql(f"SELECT f.* FROM (VALUES (7), (8)) AS u(id), LATERAL last_payments(DATE '2024-01-20', u.id) AS f")
+    assert {r["userid"] for r in many.collect()} == {7, 8}
+    assert spark.sql("SELECT * FROM last_payments(DATE '2024-01-20', NULL)").isEmpty()
