@@ -4,7 +4,8 @@
     SELECT * FROM available_classes(TIMESTAMP_NTZ '2024-01-20 09:00:00')
 
 A view cannot take the time or the user; these functions do, and are part of the query that
-calls them, so filters and column pruning reach the tables.
+calls them, so filters and column pruning reach the tables. Call them with constants: behind
+LATERAL Spark 4.1 does not resolve them rightly. For a set of users use ``plans/app_queries.py``.
 """
 
 from __future__ import annotations
