@@ -9,8 +9,11 @@ counted by their words, and those that occur in several classes are the confirme
 Sharded by anchor, they are compiled into Aho-Corasick automata over words, the members are
 streamed through them, and each occurrence that is not the first one is marked.
 
-Counts are pre-aggregated per task, and an anchor with many classes is split over shards
-that each get its phrases, so a passage that many documents share is no hot task.
+Counts are pre-aggregated per task. An anchor with many classes is cut into shards by the
+hash of the phrase; a member goes to the shards of its own windows, of which a cell has at most
+16, so the rows grow with the classes and not with their square. An automaton holds some
+``WINDOWS_PER_AUTOMATON`` phrases of 20 words, members pass it one after the other, and it is
+gone before the next is built.
 
 Defined results: a null or empty text has no words; rows that repeat a doc_id, or have none,
 are one document, so that they do not repeat each other at the same place; null ids come
@@ -33,8 +36,10 @@ from palestra.llm.suffixes import apply_runs, bitmap_of, first_places, keyed, pa
 
 WINDOW = 20
 GRAM = 5
-CLASSES_PER_SHARD = 5000
-ROWS_PER_AUTOMATON = 20_000
+CLASSES_PER_SHARD = 1000
+WINDOWS_PER_AUTOMATON = 16_000
+# Bytes of lines that a task cuts into windows at a time.
+LINE_BYTES = 1 << 17
 
 
 def _first_smallest(values: np.ndarray, width: int) -> np.ndarray:
@@ -126,7 +131,7 @@ def _lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each window of each line: its words, and where it is."""
-    for batch in batches:
+    for batch in slices(batches, "words", LINE_BYTES):
         owner, step, text = [], [], []
         for row, line in enumerate(batch.column("words").to_pylist()):
             split = line.split(" ")
@@ -143,47 +148,78 @@ def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Phrases and lines come sorted by shard, phrases first. For each line the windows that
-    have an earlier place than their own in it."""
+    """Phrases and lines come sorted by automaton, phrases first. For each line the windows
+    that have an earlier place than their own in it."""
     import ahocorasick
 
-    def streamed(phrases: list, lines: list) -> pa.RecordBatch:
-        ids: dict[str, int] = {}
-        number = lambda line: tuple(ids.setdefault(w, len(ids)) for w in line.split(" "))
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for line, doc, start, steps in phrases:
-            numbers = number(line)
-            for k in steps:
-                automaton.add_word(numbers[k : k + WINDOW], (doc, start + k))
-        automaton.make_automaton()
-        again = []
-        for line, doc, start, _, _ in lines:
-            hits = automaton.iter(number(line)) if len(automaton) else ()
-            steps = ((end - WINDOW + 1, place) for end, place in hits)
-            again.append([k for k, place in steps if place != (doc, start + k)])
-        columns = [pa.array([c[i] for c in lines], pa.int64()) for i in (3, 4)]
-        return pa.RecordBatch.from_arrays(
-            [*columns, pa.array(again, pa.list_(pa.int64()))], names=["anchor", "cell", "again"]
+    ids: dict[str, int] = {}
+    automaton, current, made = None, None, False
+    for batch in slices(batches, "words"):
+        columns = ("automaton", "words", "doc", "start", "anchor", "cell", "steps")
+        found: list[tuple] = []
+        for number, line, doc, start, anchor, cell, steps in zip(*(batch.column(c).to_pylist() for c in columns)):
+            if number != current:
+                automaton, ids = None, {}  # freed before the next one is built
+                automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+                current, made = number, False
+            if steps is not None:
+                numbers = tuple(ids.setdefault(w, len(ids) + 1) for w in line.split(" "))
+                for k in steps:
+                    automaton.add_word(numbers[k : k + WINDOW], (doc, start + k))
+            elif len(automaton):
+                if not made:
+                    automaton.make_automaton()
+                    made = True
+                hits = automaton.iter(tuple(ids.get(w, 0) for w in line.split(" ")))  # 0 is in no phrase
+                at = ((end - WINDOW + 1, place) for end, place in hits)
+                again = [k for k, place in at if place != (doc, start + k)]
+                if again:
+                    found.append((anchor, cell, again))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))],
+            names=["anchor", "cell", "again"],
         )
 
-    phrases, lines, shard = [], [], None
-    for batch in batches:
-        columns = ("anchor", "part", "words", "doc", "start", "cell", "steps")
-        for anchor, part, words_, doc, start, cell, steps in zip(*(batch.column(c).to_pylist() for c in columns)):
-            if (anchor, part) != shard:
-                if len(lines) + len(phrases) >= ROWS_PER_AUTOMATON:
-                    yield streamed(phrases, lines)
-                    phrases, lines = [], []
-                shard = anchor, part
-            if steps is not None:
-                phrases.append((words_, doc, start, steps))
-            else:
-                lines.append((words_, doc, start, anchor, cell))
-                if len(lines) >= 4 * ROWS_PER_AUTOMATON:  # within one shard its phrases stay
-                    yield streamed(phrases, lines)
-                    lines = []
-    if lines:
-        yield streamed(phrases, lines)
+
+def located(lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """Per class the windows of its first member that have an earlier place in another class.
+    ``lines`` are the first members with the number of ``parts`` of their anchor."""
+
+    def windows_of(some: DataFrame) -> DataFrame:
+        schema = "anchor long, cell long, doc long, start long, step long, window string"
+        return some.select("anchor", "cell", "doc", "start", "words").mapInArrow(_windows_of, schema).select(
+            "anchor", "cell", "doc", (F.col("start") + F.col("step")).alias("at"), "step",
+            F.xxhash64("window").alias("h"), F.xxhash64("window", F.lit(1)).alias("g"),
+        )
+
+    parts = lines.select("anchor", "parts").distinct()
+    # confirmed phrases: the same words in several classes, with their first place
+    confirmed = scratch.table(
+        windows_of(lines).groupBy("anchor", "h", "g").agg(F.min(F.struct("doc", "at", "step", "cell")).alias("first"), F.count("*").alias("n"))
+        .where("n > 1").join(parts, "anchor")
+        .select("anchor", F.col("first.cell").alias("cell"), F.col("first.step").alias("step"), F.pmod("h", "parts").alias("part")),
+        "confirmed",
+    )
+    total = confirmed.count()
+    automata = F.lit(max(1, -(-total // WINDOWS_PER_AUTOMATON)))
+    automaton = F.pmod(F.xxhash64("anchor", "part"), automata).alias("automaton")
+    text = ["anchor", "cell", "words", "doc", "start"]
+    phrases = lines.select(*text).join(
+        confirmed.groupBy("anchor", "cell", "part").agg(F.collect_list("step").alias("steps")),  # of one cell: at most 16
+        ["anchor", "cell"],
+    )
+    # a line goes to the parts of its windows: mostly there is one part
+    cut = lines.where("parts > 1")
+    several = windows_of(cut).join(parts, "anchor").select("anchor", "cell", F.pmod("h", "parts").alias("part")).distinct()
+    nothing = F.lit(None).cast("array<long>").alias("steps")
+    streams = lines.where("parts = 1").select(*text, F.lit(0).cast("long").alias("part")).unionByName(
+        cut.select(*text).join(several, ["anchor", "cell"])
+    )
+    sharded = phrases.unionByName(streams.select("*", nothing)).select("*", automaton).repartition("automaton")
+    found = sharded.sortWithinPartitions("automaton", F.col("steps").isNull()).mapInArrow(
+        _located, "anchor long, cell long, again array<long>"
+    )
+    return found.groupBy("anchor", "cell").agg(F.flatten(F.collect_list("again")).alias("again"))  # at most 16
 
 
 def repeated_windows(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -201,29 +237,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch) -> DataFrame:
     )
     compared = scratch.table(classes.join(several, "anchor", "left_semi"), "compared")
     lines = scratch.table(_lines(docs, compared).join(several, "anchor"), "lines")
-    pieces = lines.mapInArrow(
-        _windows_of, "anchor long, cell long, doc long, start long, step long, window string"
-    )
-    place = F.struct("doc", (F.col("start") + F.col("step")).alias("at"), "step", "cell")
-    confirmed = (
-        pieces.select("anchor", F.xxhash64("window").alias("h"), F.xxhash64("window", F.lit(1)).alias("g"), place.alias("place"))
-        .groupBy("anchor", "h", "g").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
-        .groupBy("anchor", F.col("first.cell").alias("cell"))
-        .agg(F.collect_list("first.step").alias("steps"))  # of one cell: at most 16
-    )
-    phrases = lines.join(confirmed, ["anchor", "cell"]).select(
-        "anchor", "cell", "words", "doc", "start", "steps",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
-    )
-    streams = lines.select(
-        "anchor", "cell", "words", "doc", "start", F.lit(None).cast("array<long>").alias("steps"),
-        F.pmod("cell", "parts").alias("part"),
-    )
-    sharded = phrases.unionByName(streams).repartition("anchor", "part").sortWithinPartitions(
-        "anchor", "part", F.col("steps").isNull()
-    )
-    located = sharded.mapInArrow(_located, "anchor long, cell long, again array<long>").where("size(again) > 0")
-    return runs_removed(found, classes.join(located, ["anchor", "cell"], "left"), key)
+    return runs_removed(found, classes.join(located(lines, scratch), ["anchor", "cell"], "left"), key)
 
 
 def deduplicated(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:

@@ -6,16 +6,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palestra.session import scratch_folder
+from palestra.session import application_folder, delete_folder
 
 
 class Scratch:
-    """One run's folder below the shared folder. A table in it cuts the lineage: lost
-    executors cost no recomputation of what came before."""
+    """One run's folder below the application's, which goes when the application ends. A table
+    in it cuts the lineage: lost executors cost no recomputation of what came before."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.folder = f"{scratch_folder(spark)}/llm-{uuid.uuid4().hex}"
+        self.folder = f"{application_folder(spark)}/llm-{uuid.uuid4().hex}"
         self._tables = 0
 
     def path(self, name: str) -> str:
@@ -48,6 +48,4 @@ class Scratch:
         self.delete(self.folder)
 
     def delete(self, path: str) -> None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        files = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        files.delete(where, True)
+        delete_folder(self.spark, path)

@@ -293,7 +293,8 @@ def runs_removed(found: DataFrame, classes: DataFrame, key: list[str]) -> DataFr
 def apply_runs(docs: DataFrame, runs: DataFrame, remove, schema: T.StructType, scratch: Scratch) -> DataFrame:
     """``remove`` over doc_id, text and the document's runs. Only documents that may have runs,
     by a bitmap of fixed size, are joined with theirs; the texts of the others stay in place."""
-    of_doc = runs.groupBy("doc", "copy").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    # rows that repeat a document have the same runs, which count once
+    of_doc = runs.groupBy("doc", "copy").agg(F.flatten(F.collect_set("runs")).alias("runs"))
     stored = scratch.table(of_doc.withColumn("h", F.xxhash64("doc", "copy")), "runs")
     bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(stored, "h"))
     hashed = keyed(docs).withColumn("h", F.xxhash64("doc", "copy"))

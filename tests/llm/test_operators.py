@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables with awkward rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -8,10 +9,10 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from helpers import WORD, documents, edited, empty, prose, rows, texts
+from helpers import VOCABULARY, WORD, documents, edited, empty, prose, rows, texts
 from tokenizers import Tokenizer
 
-from palestra.llm import contamination, licenses, ngram_join, packing, phrases, quality, queries, secret_scan, suffixes
+from palestra.llm import arrays, contamination, licenses, ngram_join, packing, phrases, quality, queries, secret_scan, suffixes
 
 LAST = 2**63 - 1
 
@@ -276,7 +277,10 @@ def covered(repeats, n, width):
     return marks
 
 
-def test_passages_leave_all_but_their_first_place(docs):
+@pytest.mark.parametrize("classes,windows", [(1000, 16_000), (2, 8)])
+def test_passages_leave_all_but_their_first_place(docs, classes, windows, monkeypatch):
+    monkeypatch.setattr(phrases, "CLASSES_PER_SHARD", classes)
+    monkeypatch.setattr(phrases, "WINDOWS_PER_AUTOMATON", windows)
     words = {k: WORD.findall(t or "") for k, t, *_ in rows()}
     again = first_places({k: [tuple(w[i : i + 20]) for i in range(len(w) - 19)] for k, w in words.items()})
 
@@ -288,6 +292,34 @@ def test_passages_leave_all_but_their_first_place(docs):
     assert sorted_rows(phrases.digests(docs)) == by_rows(expected)
 
 
+def test_many_classes_on_one_anchor(spark, monkeypatch):
+    """A run of five words that is the anchor of thousands of different cells: rows grow with the
+    cells, not with their square, and the result is that of brute force."""
+    monkeypatch.setattr(phrases, "CLASSES_PER_SHARD", 50)
+    monkeypatch.setattr(phrases, "WINDOWS_PER_AUTOMATON", 500)
+    rng = random.Random(3)
+    some = [rng.choice(VOCABULARY) + str(rng.randrange(100)) for _ in range(100_000)]
+    data = " ".join(some).encode()
+    starts, ends, _ = arrays.words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    smallest = int(np.argmin(arrays.windows(arrays.Hasher(np.frombuffer(data, np.uint8))(starts, ends), 5)))
+    anchor = some[smallest : smallest + 5]
+    word = lambda: rng.choice(VOCABULARY) + str(rng.randrange(50))
+    before = [[word() for _ in range(16)] for _ in range(40)]
+    texts_ = {}
+    for k in range(2500):
+        lead = rng.choice(before) if k % 2 else [word() for _ in range(16)]
+        texts_[k] = " ".join([*lead, *anchor, *(word() for _ in range(rng.randrange(16)))])
+    rows_ = [(k, t, None, None, None) for k, t in texts_.items()]
+
+    seen, made = [], phrases.located
+    monkeypatch.setattr(phrases, "located", lambda lines, scratch: seen.append(lines.count()) or made(lines, scratch))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in phrases.deduplicated(documents(spark, rows_)).collect()}
+    words = {k: t.split() for k, t in texts_.items()}
+    again = first_places({k: [tuple(w[i : i + 20]) for i in range(len(w) - 19)] for k, w in words.items()})
+    assert got == {k: (len(w), sum(covered(again[k], len(w), 20))) for k, w in words.items()}
+    assert seen[0] > 1500 and sum(n for _, n in got.values()) > 5000
+
+
 def test_bytes_leave_all_but_their_first_place(docs):
     data = {k: (t or "").encode() for k, t, *_ in rows()}
     again = first_places({k: [b[i : i + 100] for i in range(len(b) - 99)] for k, b in data.items()})
