@@ -38,6 +38,8 @@ WINDOW = 20
 GRAM = 5
 CLASSES_PER_SHARD = 1000
 WINDOWS_PER_AUTOMATON = 16_000
+# Bytes of text whose cells a task finds at a time; arrays take some 60 times as much.
+CELL_BYTES = 1 << 18
 # Bytes of lines that a task cuts into windows at a time.
 LINE_BYTES = 1 << 17
 
@@ -76,7 +78,7 @@ def cells(data: np.ndarray, offsets: np.ndarray):
 
 def _recurring_anchors(docs: DataFrame) -> np.ndarray:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=CELL_BYTES):
             values, counts = np.unique(cells(*joined(batch.column("text")))[3], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(signed(values)), pa.array(counts)], names=["anchor", "n"])
 
@@ -89,7 +91,7 @@ def recurring_cells(docs: DataFrame) -> DataFrame:
     recurring = docs.sparkSession.sparkContext.broadcast(_recurring_anchors(docs))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=CELL_BYTES):
             text, start, sizes, anchor, cell = cells(*joined(batch.column("text")))
             keep = passing(anchor, recurring.value)
             yield pa.RecordBatch.from_arrays(
@@ -109,7 +111,7 @@ def _lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
     is_first = first_places(classes, "cell")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=CELL_BYTES):
             text, start, sizes, anchor, cell = cells(*joined(batch.column("text")))
             keep = np.flatnonzero(is_first(cell, batch.column("doc").to_numpy()[text], start))
             lines, row, split = [], -1, []

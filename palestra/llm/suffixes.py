@@ -299,18 +299,29 @@ def apply_runs(docs: DataFrame, runs: DataFrame, remove, schema: T.StructType, s
     bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(stored, "h"))
     hashed = keyed(docs).withColumn("h", F.xxhash64("doc", "copy"))
 
-    def chosen(with_runs: bool):
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def has_runs(batch: pa.RecordBatch) -> np.ndarray:
+        return passing(batch.column("h").to_numpy().view(np.uint64), bitmap.value)
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(has_runs(batch)))
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """In one step with ``remove``, so that a task needs one Python worker."""
+
+        def given():
             for batch in batches:
-                hit = passing(batch.column("h").to_numpy().view(np.uint64), bitmap.value)
-                yield batch.filter(pa.array(hit == with_runs))
+                rest = batch.filter(pa.array(~has_runs(batch)))
+                nothing = pa.nulls(rest.num_rows, pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64())])))
+                yield pa.RecordBatch.from_arrays(
+                    [rest.column("doc_id"), rest.column("text"), nothing], names=["doc_id", "text", "runs"]
+                )
 
-        return hashed.mapInArrow(rows, hashed.schema)
+        return remove(given())
 
-    joined_runs = chosen(True).join(stored.select("doc", "copy", "runs"), ["doc", "copy"], "left")
-    plain = chosen(False).withColumn("runs", F.lit(None).cast(stored.schema["runs"].dataType))
-    parts = [df.select("doc_id", "text", "runs").mapInArrow(remove, schema) for df in (joined_runs, plain)]
-    return parts[0].unionByName(parts[1])
+    found = hashed.mapInArrow(chosen, hashed.schema).join(stored.select("doc", "copy", "runs"), ["doc", "copy"], "left")
+    marked = found.select("doc_id", "text", "runs").mapInArrow(remove, schema)
+    return marked.unionByName(hashed.mapInArrow(others, schema))
 
 
 def deduplicated(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
