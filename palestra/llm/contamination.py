@@ -5,17 +5,18 @@ typed placeholders. Windows of the benchmark's canonical words are hash-joined w
 of all documents. Matches of one document and item that lie on one alignment are put
 together; their slots must map each value of the item to one value of the document, else
 only windows without slots count. So a re-parameterised question is caught and a text that
-merely has the same shape is not. Windows of the words as they stand, in lower case, are
-joined too. So a verbatim copy is found however many slots it has, and also where a word is
-a name in the one text and opens a sentence in the other. The first word of an item may be
-a name, as in running text.
+merely has the same shape is not. An item that is shorter than a window is one window, its
+whole canonical sequence. Capitals that open a sentence may begin a name or not, so windows
+that hold one are made both ways, in items and documents alike. Windows of the words as they
+stand, in lower case, are joined too. So a verbatim copy is found however many slots it has.
 
 Document windows are tested against a bitmap of the benchmark's windows before the join.
 Its size is fixed, so what is sent to the executors is bounded; what passes by chance is
 removed by the join.
 
-Defined results: null and empty texts have no windows; windows with few literal words and
-items of three words are found as they stand only, items of one or two words never; each
+Defined results: null and empty texts have no windows; windows of which less than a quarter
+is literal and items of three words are found as they stand only, items of one or two words
+only where they are the whole text; each
 text is judged by itself, also those that share a doc_id or have none, and ``clean`` drops
 only the texts that hold an item; ``matches`` gives one row for each doc_id and item, of the
 best text, and null ids form one group there; empty tables give no rows; extra columns are
@@ -39,8 +40,8 @@ from palestra.llm.scratch import Scratch
 
 WIDTH = 8
 SHORTEST = 4
-# Words of an item that is found as it stands.
-SHORTEST_EXACT = 3
+# Words of an item that is found as it stands inside a text; shorter ones must be the text.
+SHORTEST_INSIDE = 3
 # Words of an item that must be found on one alignment, or this share of a shorter item.
 COVERED = 13
 SHARE = 0.8
@@ -130,22 +131,22 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _windows_of(words, slots, first, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, hashes and texts of the windows that lie in one text and have enough literals.
-    Words without slots all are literals."""
+    """Starts, hashes and texts of the windows that lie in one text, with a quarter of literals
+    at least. Words without slots all are literals."""
     found = windows(words, width)
     n = len(found)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     filled = np.zeros(len(slots) + 1, np.int64)
     np.cumsum(slots != 0, out=filled[1:])
     literal = width - (filled[width : width + n] - filled[:n])
-    at = np.flatnonzero((text[:n] == text[width - 1 : width - 1 + n]) & (8 * literal >= 5 * width))
+    at = np.flatnonzero((text[:n] == text[width - 1 : width - 1 + n]) & (4 * literal >= width))
     return at, found[at] + np.uint64(width), text[at]
 
 
 def _window_rows(keys: Sequence[T.StructField], widths: Sequence[int], bitmap, whole: bool):
     """A mapInArrow function: canonical windows, and those of the words as they stand, with
     keys, position and slots. ``whole`` takes a text that is shorter than the widest window as
-    one window, and its first word also as a name."""
+    one window."""
     names = ["hash", *(k.name for k in keys), "at", "width", "n_words", "slots"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,26 +154,25 @@ def _window_rows(keys: Sequence[T.StructField], widths: Sequence[int], bitmap, w
         for batch in slices(batches):
             words, slots, value, title, first = canonical(*joined(batch.column("text")))
             sizes = np.diff(first)
-            # words, slots, and the places at which windows begin, if not all
-            forms = [(words, slots, None), (mixed(value ^ _AS_IS), np.zeros_like(slots), None)]
-            if whole:
-                heads = first[:-1][sizes > 0]
-                heads = heads[title[heads]]
-                named, filled = words.copy(), slots.copy()
-                named[heads], filled[heads] = _NAME, mixed(value[heads])
-                forms.append((named, filled, heads))
+            # capitals that open a sentence as names
+            named, filled = words.copy(), slots.copy()
+            named[title], filled[title] = _NAME, mixed(value[title])
+            titles = np.zeros(len(words) + 1, np.int64)
+            np.cumsum(title, out=titles[1:])
+            forms = [(words, slots), (mixed(value ^ _AS_IS), np.zeros_like(slots)), (named, filled)]
             for width, (kind, form) in product(widths, enumerate(forms)):
                 if width < SHORTEST and kind != 1:
                     continue
-                words, slots, begins = form
+                words, slots = form
                 at, hashes, text = _windows_of(words, slots, first, width)
-                if whole:
-                    keep = (sizes[text] == width) if width < max(widths) else np.ones(len(at), bool)
-                    if begins is not None:
-                        keep &= np.isin(at, begins)
-                else:
+                keep = np.ones(len(at), bool)
+                if kind == 2:  # without such a word the windows are those of the first form
+                    keep = titles[at + width] > titles[at]
+                if whole and width < max(widths) or width < SHORTEST_INSIDE:
+                    keep &= sizes[text] == width
+                if not whole:
                     low = (hashes & np.uint64(2**BITMAP_BITS - 1)).astype(np.int64)
-                    keep = (passing[low >> 6] >> (low & 63).astype(np.uint64)) & np.uint64(1) > 0
+                    keep &= (passing[low >> 6] >> (low & 63).astype(np.uint64)) & np.uint64(1) > 0
                 at, hashes, text = at[keep], hashes[keep], text[keep]
                 if len(at) == 0:
                     continue
@@ -224,7 +224,7 @@ def _best() -> Column:
 def _by_text(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, covered: int = COVERED) -> DataFrame:
     """One row per different text of a doc_id and item found in it."""
     spark = docs.sparkSession
-    widths = list(range(SHORTEST_EXACT, WIDTH + 1))
+    widths = list(range(1, WIDTH + 1))
     rows, schema = _window_rows([benchmark.schema["item_id"]], widths, None, whole=True)
     items = scratch.table(benchmark.select("item_id", "text").mapInArrow(rows, schema), "items")
     used = sorted(r["width"] for r in items.select("width").distinct().collect())
