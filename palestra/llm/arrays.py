@@ -103,6 +103,15 @@ class Hasher:
         return mixed(found + (ends - starts).astype(np.uint64))
 
 
+    def windows(self, width: int) -> np.ndarray:
+        """The same for every range of ``width`` bytes."""
+        n = max(0, len(self._sums) - width)
+        found = self._sums[width:] - self._sums[:n]
+        found *= self._down[:n]
+        found += np.uint64(width)
+        return mixed(found)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values in which every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(33))

@@ -36,24 +36,25 @@ LENGTH = 100
 # Long enough that other text hardly shares a trigger, short enough that a string has two or more.
 TRIGGER = 32
 FILTER_BITS = 26
+# Bytes of text whose entries a task finds at a time: arrays of so many numbers stay in the cache.
+ENTRY_BYTES = 1 << 17
 # Entries whose suffixes are put in order together.
 ENTRIES_AT_ONCE = 10_000
 LAST = 2**63 - 1
 
 
 def _first_smallest(values: np.ndarray, width: int) -> np.ndarray:
-    """The place of the first smallest of each ``width`` neighbours."""
-    place = np.arange(len(values))
+    """The place of the first smallest of each ``width`` neighbours, by the upper 32 bits."""
+    # the place in the lower bits breaks ties and comes along
+    keys = (values & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(values), dtype=np.uint64)
     step = 1
-
-    def merged(left, right):
-        return np.where(values[left] <= values[right], left, right)
-
     while 2 * step <= width:
-        place = merged(place[:-step], place[step:])
+        keys = np.minimum(keys[:-step], keys[step:])
         step *= 2
-    rest = width - step
-    return merged(place[: len(place) - rest], place[rest:]) if rest else place
+    if width > step:
+        rest = width - step
+        keys = np.minimum(keys[: len(keys) - rest], keys[rest:])
+    return (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 class Entries:
@@ -67,8 +68,7 @@ class Entries:
         if len(data) < LENGTH:
             return
         hasher = Hasher(data)
-        at = np.arange(len(data) - TRIGGER + 1)
-        grams = hasher(at, at + TRIGGER)
+        grams = hasher.windows(TRIGGER)
         place = _first_smallest(grams, LENGTH - TRIGGER + 1)
         row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         whole = np.flatnonzero(row[: len(place)] == row[LENGTH - 1 : LENGTH - 1 + len(place)])
@@ -125,7 +125,7 @@ def first_places(classes: DataFrame, content: str):
 
 def _recurring_triggers(docs: DataFrame) -> np.ndarray:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=ENTRY_BYTES):
             values, counts = np.unique(Entries(*joined(batch.column("text"))).trigger, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(signed(values)), pa.array(counts)], names=["trigger", "n"])
 
@@ -138,7 +138,7 @@ def parse(docs: DataFrame) -> DataFrame:
     recurring = docs.sparkSession.sparkContext.broadcast(_recurring_triggers(docs))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=ENTRY_BYTES):
             e = Entries(*joined(batch.column("text")))
             keep = passing(e.trigger, recurring.value)
             yield pa.RecordBatch.from_arrays(
@@ -218,7 +218,7 @@ def _contents(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
     is_first = first_places(dictionary, "entry")
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=ENTRY_BYTES):
             e = Entries(*joined(batch.column("text")))
             keep = np.flatnonzero(is_first(e.entry, batch.column("doc").to_numpy()[e.row], e.start))
             raw = e.data.tobytes()
