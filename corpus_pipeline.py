@@ -50,6 +50,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn, each written as Parquet and read again by the next."""
     scratch = Scratch(spark)
     docs = queries.documents(spark, sf_dir)
+    stored = None
     for name, stage in STAGES[:-1]:
         docs = scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if stored is not None:
+            scratch.drop(stored)  # one copy of the corpus stays
+        stored = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -41,6 +41,10 @@ BODIES = {
                count(*) FILTER (date = $today AND exittime IS NULL) AS inside
         FROM g_checkin
     """,
+    "x03_month_visitors": """
+        SELECT CAST(date_trunc('month', date) AS DATE) AS month, count(DISTINCT memberid) AS visitors
+        FROM g_checkin GROUP BY 1
+    """,
     "x04_busiest_half_hours": """
         SELECT date, printf('%02d:%02d', slot // 2, slot % 2 * 30) AS half_hour, n AS checkins
         FROM (SELECT date, entrancetime // 1800000000 AS slot, count(*) AS n

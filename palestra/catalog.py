@@ -24,6 +24,7 @@ from palestra.plans import views
 from palestra.plans.bookings import Bookings, book_classes
 from palestra.plans.deliveries import take_delivery
 from palestra.plans.logins import Logins, apply_logins
+from palestra.plans.member_days import daily_visitors, member_days, month_visitors
 from palestra.plans.registration import Registration, register_members
 from palestra.sources.fixture import FIXTURE_AS_OF as AS_OF
 from palestra.plans.sql_functions import register_functions
@@ -430,6 +431,10 @@ def job_queries() -> dict[str, Query]:
         "v16_all_checkins_bucketed": _in_buckets(views.all_checkins),
         "v18_payments_bucketed": _in_buckets(views.payments),
         "v21_checkin_history_bucketed": _in_buckets(views.checkin_history_rows),
+        "v05_member_stats_from_days": _view(
+            lambda t, a: views.member_stats_month(t, a, durable(member_days(t)))
+        ),
+        "x03_month_visitors": _view(lambda t, a: month_visitors(durable(daily_visitors(t)))),
         "v07_available_classes_sql": _by_function(f"available_classes({_NOW})"),
         "d04_month_summary_sql": _by_function(f"month_summary({_NOW}, {ONE_USER})"),
         "d08_last_payments_sql": _by_function(f"last_payments(DATE '{AS_OF.date}', {ONE_USER})"),

@@ -9,6 +9,7 @@ from palestra.asof import AsOf
 from palestra.functions.clock import hours, stay_text, total_length
 from palestra.functions.display import STILL_INSIDE, payment_status
 from palestra.operators.joins import split_left_join
+from palestra.plans.member_days import month_of_days
 from palestra.plans.parts import (
     active_subscriptions,
     class_details,
@@ -51,9 +52,8 @@ def member_data(t: ClubTables, as_of: AsOf) -> DataFrame:
     )
 
 
-def _month_activity(t: ClubTables, as_of: AsOf) -> DataFrame:
-    """One row per active member: this month's visits, bookings and unpaid payments, each
-    aggregated on its own side, so the sides never multiply each other's rows."""
+def _month_rows(t: ClubTables, as_of: AsOf) -> tuple[DataFrame, DataFrame]:
+    """Visits and bookings per member this month."""
     visits = (
         t["checkin"].where(F.col("date").between(as_of.month_start(), as_of.today()))
         .groupBy("memberid")
@@ -68,6 +68,13 @@ def _month_activity(t: ClubTables, as_of: AsOf) -> DataFrame:
         .groupBy("memberid")
         .agg(F.count("*").alias("bookings"))
     )
+    return visits, bookings
+
+
+def _month_activity(t: ClubTables, as_of: AsOf, days: DataFrame | None = None) -> DataFrame:
+    """One row per active member: this month's visits, bookings and unpaid payments, each
+    aggregated on its own side, so the sides never multiply each other's rows."""
+    visits, bookings = month_of_days(t, days, as_of) if days is not None else _month_rows(t, as_of)
     unpaid = (
         t["payment"].where(~F.col("ispayed") & (F.col("duedate") >= as_of.month_start()))
         .groupBy("subscriptionid")
@@ -97,11 +104,12 @@ def _month_columns(total_us) -> list:
     ]
 
 
-def member_stats_month(t: ClubTables, as_of: AsOf) -> DataFrame:
+def member_stats_month(t: ClubTables, as_of: AsOf, days: DataFrame | None = None) -> DataFrame:
     """Month to date per active member. As defined, a visit's hours count once for every
-    pair of the member's bookings and unpaid payments."""
+    pair of the member's bookings and unpaid payments. ``days`` are figures per day, kept as
+    ``plans/member_days.py`` makes them."""
     times = F.greatest("bookings", F.lit(1)) * F.greatest("unpaid", F.lit(1))
-    return _month_activity(t, as_of).select(*_month_columns(F.col("stay_us") * times))
+    return _month_activity(t, as_of, days).select(*_month_columns(F.col("stay_us") * times))
 
 
 def member_stats_month_corrected(t: ClubTables, as_of: AsOf) -> DataFrame:
