@@ -7,7 +7,10 @@ turns are rendered. DataFrame functions only.
 
 The rolling hash combines hashes salted with the turn's place, so it is computed per block
 of turns and then over the blocks: no conversation is one task's group, however long it
-is. Only hashes and keys are compared. The result has a row per turn for the same reason.
+is. Blocks are cut by turn number; those of the at most ``HEAVY`` conversations that hold one in
+so many of all turns, such as the rows without an id, by ranges of the sorted turns, which also
+part turns that share a number. Only hashes and keys are compared. The result has a row per
+turn for the same reason.
 
 Defined results: turns of a conversation are ordered by number, null first, then by role
 and text, so repeated rows are turns of their own; null roles and texts are empty; rows
@@ -22,16 +25,37 @@ from pyspark.sql import functions as F
 from palestra.llm.scratch import Scratch
 
 BLOCK = 1024
+HEAVY = 10_000
 
 
-def hashed_turns(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
+def in_blocks(given: DataFrame, block: int, scratch: Scratch) -> DataFrame:
+    """The turns with the number of their block, which rises with their order. Conversations
+    that are heavy are cut anew, into ranges."""
+    total = given.count()
+    counts = given.groupBy("conv_key").agg(F.count("*").alias("n"))
+    heavy = scratch.table(
+        counts.where((F.col("n") > block) & (F.col("n") * HEAVY >= total)).select("conv_key"), "heavy"
+    )  # at most HEAVY rows
+    if heavy.isEmpty():
+        return given
+    # equal rows are interchangeable, and parted by where they come from
+    some = given.join(F.broadcast(heavy), "conv_key", "left_semi").withColumn("from", F.monotonically_increasing_id() % 1024)
+    ranges = some.repartitionByRange("conv_key", F.col("turn").asc_nulls_first(), "role", "text", "from")
+    cut = scratch.table(ranges.withColumn("block", F.spark_partition_id().cast("long")).drop("from"), "ranges")
+    light = given.join(F.broadcast(heavy), "conv_key", "left_anti")
+    return light.unionByName(cut)
+
+
+def hashed_turns(conversations: DataFrame, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
     """The turns with their position from 0 and the rolling hashes up to them."""
+    scratch = scratch or Scratch(conversations.sparkSession)
     given = conversations.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     ).withColumns(
         {"conv_key": F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("none")),
          "block": F.coalesce(F.floor(F.col("turn") / block), F.lit(-(2**62))).cast("long")}
     )
+    given = in_blocks(given, block, scratch)
     blocks = Window.partitionBy("conv_key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = given.groupBy("conv_key", "block").agg(F.count("*").alias("n")).select(
         "conv_key", "block", F.coalesce(F.sum("n").over(blocks), F.lit(0)).alias("skip")
@@ -73,7 +97,7 @@ def maximal(turns: DataFrame) -> DataFrame:
 def rendered(conversations: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """One row per turn of the kept conversations; joined in order they are the training text."""
     scratch = scratch or Scratch(conversations.sparkSession)
-    turns = scratch.table(hashed_turns(conversations), "turns")
+    turns = scratch.table(hashed_turns(conversations, scratch=scratch), "turns")
     kept = scratch.table(maximal(turns), "kept")
     return turns.join(kept, "conv_key").select(
         "conv_id", "position", "n_turns", "role",

@@ -91,6 +91,27 @@ def test_blocks_do_not_change_the_hashes(spark):
     assert {r["conv_id"] for r in chats.rendered(chat(spark, rows)).collect()} == {1}
 
 
+def test_a_conversation_with_a_third_of_all_rows_is_cut_by_ranges(spark):
+    """Rows without id that share few turn numbers: the same positions, and no group much larger
+    than a range."""
+    rows = [(None, k % 3 if k % 5 else None, f"r{k % 2}", f"{k % 40}") for k in range(3000)]
+    rows += [(c, k, "user", f"{c % 9} {k}") for c in range(600) for k in range(10)]
+    given = chat(spark, rows)
+    plain = chats.hashed_turns(given, 1 << 20).select("conv_id", "position", "role", "text", "hash1", "hash2").collect()
+    cut = chats.hashed_turns(given, 64).select("conv_id", "position", "role", "text", "hash1", "hash2").collect()
+    assert sorted(plain, key=repr) == sorted(cut, key=repr)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    keyed = given.selectExpr("conv_id", "turn", "role", "text", "if(conv_id IS NULL, 'none', concat('c', conv_id)) AS conv_key",
+                             "coalesce(turn div 64, -1) AS block")
+    largest = chats.in_blocks(keyed, 64, Scratch(spark)).groupBy("conv_key", "block").count().agg({"count": "max"}).first()[0]
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    assert largest <= 3 * 3000 / 16
+
+
 def test_paths_become_one_component(spark):
     n = 500
     edges = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(n + 5, n + 6), (n + 6, n + 6)], "a long, b long")
