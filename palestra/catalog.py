@@ -316,8 +316,8 @@ def _keys_changed(t: ClubTables, as_of) -> DataFrame:
     moved = lambda name, by: t[name].where("isactive").select(
         F.col(TABLES[name].key).alias("old_key"), (F.col(TABLES[name].key) + by).alias("new_key")
     )
-    plan = t["plan"].where("planid = 2").select(
-        F.col("planid").alias("old_key"), F.lit(500).alias("new_key")
+    plan = t["plan"].where("planid < 100 AND planid % 3 = 2").select(
+        F.col("planid").alias("old_key"), (F.col("planid") + 498).alias("new_key")
     )
     renames = {"member": moved("member", 50000000), "classschedule": moved("classschedule", 70000000), "plan": plan}
     after, _ = change_batch(t, renames, as_of)
