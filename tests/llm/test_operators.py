@@ -582,7 +582,7 @@ def test_sketches_merge(spark):
 
 def test_registered_names():
     names = list(queries.queries())
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     assert set(queries.oracle_sql()) < set(names) and len(texts()) == 40
 
 
