@@ -3,7 +3,8 @@
 Method: repeated-phrase automata. Windows of words are gathered in cells, the runs of
 neighbouring windows that share their smallest five-word hash, so equal windows meet under
 that hash, their anchor. Cells of anchors seen once go, and equal cells are one class with
-its first place; the other members repeat it as a whole. Where an anchor has several
+its first place; the other members repeat it as a whole. A cell that follows itself again and
+again, as in a run of one word, is one row with the number of times. Where an anchor has several
 classes, these may share some windows. There the windows of one member of each class are
 counted by their words, and those that occur in several classes are the confirmed phrases.
 Sharded by anchor, they are compiled into Aho-Corasick automata over words, the members are
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 
 from palestra.llm.arrays import Hasher, SequenceHasher, joined, signed, slices, windows, words
 from palestra.llm.scratch import Scratch
-from palestra.llm.suffixes import apply_runs, bitmap_of, first_places, keyed, passing, runs_removed
+from palestra.llm.suffixes import apply_runs, bitmap_of, counted, first_places, keyed, passing, runs_removed, series
 
 WINDOW = 20
 GRAM = 5
@@ -57,7 +58,8 @@ def _first_smallest(values: np.ndarray, width: int) -> np.ndarray:
 
 def cells(data: np.ndarray, offsets: np.ndarray):
     """Runs of windows with one anchor: the text, the first word within it, the number of
-    windows, the anchor's hash and the hash of all words of the cell."""
+    windows, the anchor's hash, the hash of all words of the cell, and how many times in a row
+    the cell stands there."""
     starts, ends, first = words(data, offsets)
     hashes = Hasher(data)(starts, ends)
     grams = windows(hashes, GRAM)
@@ -66,20 +68,23 @@ def cells(data: np.ndarray, offsets: np.ndarray):
     n = len(place)
     at = np.flatnonzero(text[:n] == text[WINDOW - 1 : WINDOW - 1 + n])
     if len(at) == 0:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),)
     new = np.ones(len(at), bool)
     new[1:] = (place[at[1:]] != place[at[:-1]]) | (at[1:] != at[:-1] + 1)
     opens = np.flatnonzero(new)
     sizes = np.diff(np.append(opens, len(at)))
     begin = at[opens]
     cell = SequenceHasher(hashes)(begin, begin + sizes + WINDOW - 1)
-    return text[begin], begin - first[text[begin]], sizes, grams[place[begin]], cell
+    row, anchor = text[begin], grams[place[begin]]
+    one, times = series(row, begin, sizes, anchor, cell)
+    return row[one], (begin - first[row])[one], sizes[one], anchor[one], cell[one], times
 
 
 def _recurring_anchors(docs: DataFrame) -> np.ndarray:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=CELL_BYTES):
-            values, counts = np.unique(cells(*joined(batch.column("text")))[3], return_counts=True)
+            *_, anchor, _, times = cells(*joined(batch.column("text")))
+            values, counts = counted(anchor, times)
             yield pa.RecordBatch.from_arrays([pa.array(signed(values)), pa.array(counts)], names=["anchor", "n"])
 
     counts = docs.select("text").mapInArrow(rows, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
@@ -92,17 +97,17 @@ def recurring_cells(docs: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=CELL_BYTES):
-            text, start, sizes, anchor, cell = cells(*joined(batch.column("text")))
+            text, start, sizes, anchor, cell, times = cells(*joined(batch.column("text")))
             keep = passing(anchor, recurring.value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(signed(anchor[keep])), pa.array(signed(cell[keep])),
                  *(batch.column(c).take(pa.array(text[keep])) for c in ("doc", "copy")),
-                 pa.array(start[keep]), pa.array(sizes[keep])],
-                names=["anchor", "cell", "doc", "copy", "start", "size"],
+                 pa.array(start[keep]), pa.array(sizes[keep]), pa.array(times[keep])],
+                names=["anchor", "cell", "doc", "copy", "start", "size", "times"],
             )
 
     return keyed(docs).select("doc", "copy", "text").mapInArrow(
-        rows, "anchor long, cell long, doc long, copy long, start long, size long"
+        rows, "anchor long, cell long, doc long, copy long, start long, size long, times long"
     )
 
 
@@ -112,7 +117,7 @@ def _lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=CELL_BYTES):
-            text, start, sizes, anchor, cell = cells(*joined(batch.column("text")))
+            text, start, sizes, anchor, cell, _ = cells(*joined(batch.column("text")))
             keep = np.flatnonzero(is_first(cell, batch.column("doc").to_numpy()[text], start))
             lines, row, split = [], -1, []
             for r, a, n in zip(text[keep].tolist(), start[keep].tolist(), sizes[keep].tolist()):

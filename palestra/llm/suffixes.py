@@ -5,11 +5,14 @@ a span, the one with the smallest hash. Triggers cut the corpus into phrases; a
 the bytes after it that its strings reach makes a dictionary entry, so no entry is cut off
 where another one goes on. The dictionary is the set of different entries; the parse is
 where they occur. Strings of the wanted length that are equal have the same trigger at the
-same distance, so the suffixes of the dictionary are ordered trigger by trigger, truncated
-to that length, and each run of equal suffixes takes its first place from the parse. Only
-equality within the length counts, so ranks are replaced by hashes of the truncated
-suffixes. An entry that is alone at its trigger needs no suffixes at all: its first
-occurrence stays, the others repeat it. That is why copies cost a row per phrase only.
+same distance, so the corpus order is built trigger by trigger: a suffix array of the
+dictionary, by doubling of ranks over the bytes up to the wanted length, and the parse
+ordered by entry and place. Together they give, for neighbours whose common prefix has the
+whole length, the first place in the corpus. The parse needs no order beyond one phrase,
+since an entry holds all bytes that its strings reach. An entry that is alone at its trigger
+needs no suffixes at all: its first occurrence stays, the others repeat it. That is why
+copies cost a row per phrase only. A phrase that follows itself again and again, as in a run
+of one letter, is one row of the parse with the number of times.
 
 Counts and first places are pre-aggregated per task; nothing is grouped beyond one string
 or a bounded number of entries.
@@ -25,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palestra.llm.arrays import Hasher, joined, mixed, signed, slices
+from palestra.llm.arrays import Hasher, joined, mixed, signed, slices, spread
 from palestra.llm.scratch import Scratch
 
 LENGTH = 100
@@ -59,11 +62,12 @@ def _first_smallest(values: np.ndarray, width: int) -> np.ndarray:
 
 class Entries:
     """The phrases of a slice of texts: the row, the first byte of its strings, how many
-    strings begin in it, its trigger's hash, and the hash of the whole entry."""
+    strings begin in it, its trigger's hash, the hash of the whole entry, and how many times
+    in a row it stands there."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, none = data, np.zeros(0, np.int64)
-        self.row = self.start = self.size = self.begin = none
+        self.row = self.start = self.size = self.begin = self.times = none
         self.trigger = self.entry = none.view(np.uint64)
         if len(data) < LENGTH:
             return
@@ -84,6 +88,26 @@ class Entries:
         self.trigger = grams[place[self.begin]]
         # the distance to the trigger is part of what makes entries equal
         self.entry = hasher(self.begin, self.begin + self.size + LENGTH - 1)
+        first, self.times = series(self.row, self.begin, self.size, self.trigger, self.entry)
+        for name in ("row", "start", "size", "begin", "trigger", "entry"):
+            setattr(self, name, getattr(self, name)[first])
+
+
+def series(row, begin, size, *content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each series of neighbours with equal content, each of which begins where
+    the one before ends, and their numbers."""
+    again = np.zeros(len(begin), bool)
+    again[1:] = (row[1:] == row[:-1]) & (size[1:] == size[:-1]) & (begin[1:] == begin[:-1] + size[:-1])
+    for values in content:
+        again[1:] &= values[1:] == values[:-1]
+    first = np.flatnonzero(~again)
+    return first, np.diff(np.append(first, len(begin)))
+
+
+def counted(values: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values and how often they occur."""
+    found, place = np.unique(values, return_inverse=True)
+    return found, np.bincount(place, times, len(found)).astype(np.int64)
 
 
 def passing(values: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
@@ -126,7 +150,8 @@ def first_places(classes: DataFrame, content: str):
 def _recurring_triggers(docs: DataFrame) -> np.ndarray:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=ENTRY_BYTES):
-            values, counts = np.unique(Entries(*joined(batch.column("text"))).trigger, return_counts=True)
+            e = Entries(*joined(batch.column("text")))
+            values, counts = counted(e.trigger, e.times)
             yield pa.RecordBatch.from_arrays([pa.array(signed(values)), pa.array(counts)], names=["trigger", "n"])
 
     counts = docs.select("text").mapInArrow(rows, "trigger long, n long").groupBy("trigger").agg(F.sum("n").alias("n"))
@@ -144,12 +169,12 @@ def parse(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(signed(e.trigger[keep])), pa.array(signed(e.entry[keep])),
                  *(batch.column(c).take(pa.array(e.row[keep])) for c in ("doc", "copy")),
-                 pa.array(e.start[keep]), pa.array(e.size[keep])],
-                names=["trigger", "entry", "doc", "copy", "start", "size"],
+                 pa.array(e.start[keep]), pa.array(e.size[keep]), pa.array(e.times[keep])],
+                names=["trigger", "entry", "doc", "copy", "start", "size", "times"],
             )
 
     return keyed(docs).select("doc", "copy", "text").mapInArrow(
-        rows, "trigger long, entry long, doc long, copy long, start long, size long"
+        rows, "trigger long, entry long, doc long, copy long, start long, size long, times long"
     )
 
 
@@ -160,38 +185,65 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def _suffixes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The truncated suffixes of the entries of a batch: the row, the step and the hash."""
+def _suffixes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The truncated suffixes of the entries of a batch: the bytes of all entries, and of each
+    suffix the row, the step and where it begins."""
     data, offsets = joined(batch.column("content"))
     sizes = np.maximum(np.diff(offsets) - LENGTH + 1, 0)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    step = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    begin = offsets[:-1][owner] + step
-    return owner, step, Hasher(data)(begin, begin + LENGTH)
+    owner, step = spread(sizes)
+    return data, owner, step, offsets[:-1][owner] + step
+
+
+def suffix_ranks(data: np.ndarray, begin: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The rank of ``length`` bytes from each place among all of them, in the order of bytes;
+    equal ones have one rank. Ranks of strings of twice the width come from two ranks."""
+
+    def ranked(keys: np.ndarray) -> np.ndarray:
+        return np.unique(keys, return_inverse=True)[1].astype(np.uint64)
+
+    padded = np.concatenate([data, np.zeros(length, np.uint8)])
+    width = min(8, length)
+    keys = np.zeros(len(data), np.uint64)
+    for k in range(width):
+        keys = (keys << np.uint64(8)) | padded[k : k + len(data)]
+    if width == length:
+        return ranked(keys[begin])
+    rank = ranked(keys)
+    while True:
+        step = min(width, length - width)
+        # places whose string ends behind the data are not asked for
+        after = np.concatenate([rank[step:], np.zeros(min(step, len(rank)), np.uint64)])
+        keys = rank << np.uint64(32) | after
+        if 2 * width >= length:
+            return ranked(keys[begin])
+        rank, width = ranked(keys), 2 * width
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per suffix."""
-    for batch in slices(batches, "content"):
-        owner, step, suffix = _suffixes(batch)
+    """One row per suffix, with its bytes."""
+    for batch in slices(batches, "content", ENTRY_BYTES):
+        data, owner, step, begin = _suffixes(batch)
         columns = [batch.column(c).take(pa.array(owner)) for c in ("trigger", "entry", "doc", "start")]
+        content = pa.py_buffer(np.ascontiguousarray(data[begin[:, None] + np.arange(LENGTH)]))
+        places = pa.py_buffer((np.arange(len(begin) + 1) * LENGTH).astype(np.int32))
+        suffix = pa.Array.from_buffers(pa.binary(), len(begin), [None, places, content])
         yield pa.RecordBatch.from_arrays(
-            [*columns, pa.array(step), pa.array(signed(suffix))],
-            names=["trigger", "entry", "doc", "start", "step", "suffix"],
+            [*columns, pa.array(step), suffix], names=["trigger", "entry", "doc", "start", "step", "suffix"]
         )
 
 
 def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries come sorted by trigger. Their suffixes are put in order, and of equal ones the
-    first in the corpus goes to its entry."""
+    """Entries come sorted by trigger. Their suffixes are put in order, and of neighbours that
+    share the whole length the first in the corpus goes to its entry."""
 
     def sorted_out(kept: list[pa.RecordBatch]) -> pa.RecordBatch:
         batch = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
-        owner, step, suffix = _suffixes(batch)
+        data, owner, step, begin = _suffixes(batch)
+        rank = suffix_ranks(data, begin)
         trigger, doc, start = (batch.column(c).to_numpy()[owner] for c in ("trigger", "doc", "start"))
-        order = np.lexsort((start + step, doc, suffix, trigger))
+        order = np.lexsort((start + step, doc, rank, trigger))
         new = np.ones(len(order), bool)
-        new[1:] = (trigger[order[1:]] != trigger[order[:-1]]) | (suffix[order[1:]] != suffix[order[:-1]])
+        new[1:] = (trigger[order[1:]] != trigger[order[:-1]]) | (rank[order[1:]] != rank[order[:-1]])
         firsts = np.sort(order[new])
         places = np.searchsorted(owner[firsts], np.arange(batch.num_rows + 1)).astype(np.int32)
         own = pa.ListArray.from_arrays(pa.array(places), pa.array(step[firsts]))
@@ -240,15 +292,15 @@ def _contents(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def _own_suffixes(contents: DataFrame, several: DataFrame) -> DataFrame:
     """Per entry the steps of the suffixes that no earlier place of the corpus has. The entries
-    of a trigger are ordered together; those of a trigger with many are compared through one
-    row per suffix instead, pre-aggregated, so that no trigger is a hot task."""
+    of a trigger are ordered together; those of a trigger with many are ordered by Spark, one
+    row per suffix with its bytes, pre-aggregated, so that no trigger is a hot task."""
     usual = contents.join(several.where(F.col("n") <= ENTRIES_AT_ONCE), "trigger", "left_semi")
     ordered = usual.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(
         _ordered, "trigger long, entry long, own array<long>"
     )
     place = F.struct("doc", (F.col("start") + F.col("step")).alias("at"), "entry", "step")
     listed = contents.join(several.where(F.col("n") > ENTRIES_AT_ONCE), "trigger", "left_semi").mapInArrow(
-        _listed, "trigger long, entry long, doc long, start long, step long, suffix long"
+        _listed, "trigger long, entry long, doc long, start long, step long, suffix binary"
     )
     firsts = listed.groupBy("trigger", "suffix").agg(F.min(place).alias("first"))
     return ordered.unionByName(
@@ -280,14 +332,27 @@ def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def runs_removed(found: DataFrame, classes: DataFrame, key: list[str]) -> DataFrame:
-    """Members of a class but its first repeat it as a whole. The first, whose place the class
-    has, repeats others at the steps in ``again``, if any."""
-    firsts = classes.select(*key, F.col("doc").alias("first_doc"), F.col("start").alias("first_start"), "again")
+    """Members of a class but its first repeat it as a whole, and so do those that follow the
+    first in a series. The first, whose place the class has, repeats others at the steps in
+    ``again``, if any."""
+    firsts = classes.select(
+        *key, F.col("doc").alias("first_doc"), F.col("start").alias("first_start"),
+        F.coalesce("again", F.array().cast("array<long>")).alias("again"),
+    )
     is_first = (F.col("doc") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))
-    one = F.lit(1).cast("long")
-    some = F.transform("again", lambda k: F.struct((F.col("start") + k).alias("start"), one.alias("n")))
-    whole = F.array(F.struct(F.col("start").alias("start"), F.col("size").alias("n")))
-    return found.join(firsts, key).select("doc", "copy", F.when(is_first, some).otherwise(whole).alias("runs")).where("size(runs) > 0")
+
+    def run(start: Column, n: Column) -> Column:
+        return F.struct(start.alias("start"), n.cast("long").alias("n"))
+
+    start, size, times = F.col("start"), F.col("size"), F.col("times")
+    some = F.transform("again", lambda k: run(start + k, F.lit(1)))
+    rest = F.filter(F.array(run(start + size, size * (times - 1))), lambda r: r["n"] > 0)
+    whole = F.array(run(start, size * times))
+    return (
+        found.join(firsts, key)
+        .select("doc", "copy", F.when(is_first, F.concat(some, rest)).otherwise(whole).alias("runs"))
+        .where("size(runs) > 0")
+    )
 
 
 def apply_runs(docs: DataFrame, runs: DataFrame, remove, schema: T.StructType, scratch: Scratch) -> DataFrame:

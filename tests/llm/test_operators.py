@@ -407,7 +407,9 @@ def test_many_classes_on_one_anchor(spark, monkeypatch):
     assert seen[0] > 1500 and sum(n for _, n in got.values()) > 5000
 
 
-def test_bytes_leave_all_but_their_first_place(docs):
+@pytest.mark.parametrize("entries", [10_000, 2])
+def test_bytes_leave_all_but_their_first_place(docs, entries, monkeypatch):
+    monkeypatch.setattr(suffixes, "ENTRIES_AT_ONCE", entries)
     data = {k: (t or "").encode() for k, t, *_ in rows()}
     again = first_places({k: [b[i : i + 100] for i in range(len(b) - 99)] for k, b in data.items()})
 
@@ -419,6 +421,43 @@ def test_bytes_leave_all_but_their_first_place(docs):
     assert sorted_rows(suffixes.digests(docs)) == by_rows(expected)
 
 
+@pytest.mark.parametrize("length", [1, 5, 8, 13, 16, 100])
+def test_suffix_ranks_are_the_order_of_bytes(length):
+    rng = random.Random(length)
+    texts_ = [bytes(rng.choice(b"\x00ab\xff") for _ in range(300)), b"ab" * 200, b"z" * 150]
+    data = b"".join(texts_)
+    begin = np.array([i for i in range(len(data) - length + 1) if rng.random() < 0.8])
+    got = arrays.signed(suffixes.suffix_ranks(np.frombuffer(data, np.uint8), begin, length))
+    strings = [data[b : b + length] for b in begin.tolist()]
+    order = {x: k for k, x in enumerate(sorted(set(strings)))}
+    assert got.tolist() == [order[x] for x in strings]
+
+
+def test_series_are_one_row(spark):
+    """Runs of one letter or word, and longer periods, in equal and in shifted texts."""
+    repeated = {0: "z" * 3000, 1: "z" * 1500, 2: "y" + "z" * 700 + "y", 3: "abcdefg" * 300, 4: "xx" + "abcdefg" * 100,
+                5: "no " * 900, 6: "well no " + "no " * 400 + "end", 7: "a b c d e " * 90, 8: "c d e " + "a b c d e " * 50}
+    data = [(k, t, None, None, None) for k, t in repeated.items()]
+    table = documents(spark, data)
+    encoded = {k: t.encode() for k, t in repeated.items()}
+    again = first_places({k: [b[i : i + 100] for i in range(len(b) - 99)] for k, b in encoded.items()})
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in suffixes.digests(table).collect()}
+    assert got == {k: (len(b), sum(covered(again[k], len(b), 100))) for k, b in encoded.items()}
+    words = {k: t.split() for k, t in repeated.items()}
+    again = first_places({k: [tuple(w[i : i + 20]) for i in range(len(w) - 19)] for k, w in words.items()})
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in phrases.digests(table).collect()}
+    assert got == {k: (len(w), sum(covered(again[k], len(w), 20))) for k, w in words.items()}
+
+
+@pytest.mark.parametrize("text", [b"z" * 100_000, b"abcdefg" * 14_286, b"no " * 33_333, b"a b c d e f g " * 7143])
+def test_repetitive_texts_have_few_rows(text):
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    entries = suffixes.Entries(data, offsets)
+    assert len(entries.row) <= 100 and int((entries.size * entries.times).sum()) == len(text) - 99
+    _, _, sizes, _, _, times = phrases.cells(data, offsets)
+    assert len(sizes) <= 100 and int((sizes * times).sum()) == max(0, len(text.split()) - 19)
+
+
 def test_different_texts_of_one_id(spark):
     """Each text loses what it repeats, and nothing that only the other one repeats."""
     shared = prose(31, 60)
