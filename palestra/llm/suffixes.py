@@ -41,8 +41,10 @@ TRIGGER = 32
 FILTER_BITS = 26
 # Bytes of text whose entries a task finds at a time: arrays of so many numbers stay in the cache.
 ENTRY_BYTES = 1 << 17
-# Entries whose suffixes are put in order together.
+# Entries of one trigger whose suffixes a task puts in order together.
 ENTRIES_AT_ONCE = 10_000
+# Entries of all triggers that share a sort, so that its arrays stay in the cache.
+ENTRIES_PER_SORT = 1000
 LAST = 2**63 - 1
 
 
@@ -250,13 +252,13 @@ def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([batch.column("trigger"), batch.column("entry"), own], names=["trigger", "entry", "own"])
 
     kept, rows = [], 0
-    for batch in slices(batches, "content"):
+    for batch in slices(batches, "content", ENTRY_BYTES):
         trigger = batch.column("trigger").to_numpy()
         cuts = np.flatnonzero(trigger[1:] != trigger[:-1]) + 1
-        if rows + batch.num_rows > ENTRIES_AT_ONCE and rows and kept[-1].column("trigger")[-1].as_py() != trigger[0]:
+        if rows + batch.num_rows > ENTRIES_PER_SORT and rows and kept[-1].column("trigger")[-1].as_py() != trigger[0]:
             yield sorted_out(kept)
             kept, rows = [], 0
-        elif rows + batch.num_rows > ENTRIES_AT_ONCE and len(cuts):
+        elif rows + batch.num_rows > ENTRIES_PER_SORT and len(cuts):
             yield sorted_out([*kept, batch.slice(0, cuts[-1])])
             kept, rows, batch = [], 0, batch.slice(cuts[-1])
         kept.append(batch)

@@ -407,9 +407,10 @@ def test_many_classes_on_one_anchor(spark, monkeypatch):
     assert seen[0] > 1500 and sum(n for _, n in got.values()) > 5000
 
 
-@pytest.mark.parametrize("entries", [10_000, 2])
-def test_bytes_leave_all_but_their_first_place(docs, entries, monkeypatch):
+@pytest.mark.parametrize("entries,sorted_", [(10_000, 1000), (10_000, 2), (2, 2)])
+def test_bytes_leave_all_but_their_first_place(docs, entries, sorted_, monkeypatch):
     monkeypatch.setattr(suffixes, "ENTRIES_AT_ONCE", entries)
+    monkeypatch.setattr(suffixes, "ENTRIES_PER_SORT", sorted_)
     data = {k: (t or "").encode() for k, t, *_ in rows()}
     again = first_places({k: [b[i : i + 100] for i in range(len(b) - 99)] for k, b in data.items()})
 
