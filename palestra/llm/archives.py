@@ -7,8 +7,9 @@ on Spark which records become revisits: only digests, lengths and keys are shuff
 counts are pre-aggregated, so many copies of one payload are no hot task.
 
 Archives are written by Spark's own text writer to any file system it knows; the record
-separator of the format is the writer's line separator. An archive holds a fixed number
-of records, so that a reader's task is bounded.
+separator of the format is the writer's line separator. An archive ends at a number of
+records or of bytes, whichever comes first, so that a reader's task is bounded; a longer
+record has an archive of its own.
 
 Defined results: a null html is an empty payload, a null url ``about:blank``; null page
 ids sort last; of records with equal payload and equal page id one is the response and the
@@ -30,9 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palestra.llm.arrays import slices
 from palestra.llm.scratch import Scratch
 
 RECORDS_PER_ARCHIVE = 2000
+BYTES_PER_ARCHIVE = 1 << 25
 # fixed values: the fields of a record's header line by version
 ARC_FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
@@ -107,39 +110,71 @@ def _arc_start(version: int, name: str, date: str) -> str:
     return " ".join(values[f] for f in ARC_FIELDS[version]) + "\n" + block
 
 
+class _Archives:
+    """Gathers the records of one task with the numbers of their archives."""
+
+    schema = "archive int, at long, value string"
+
+    def __init__(self, records: int, bytes_: int):
+        self._limits = records, bytes_
+        self.archive, self.written, self.size, self.at, self._rows = -1, 0, 0, 0, []
+
+    def full(self, more: int) -> bool:
+        """Whether a new archive begins, as the next ``more`` bytes are too many."""
+        records, bytes_ = self._limits
+        if self.archive >= 0 and self.written < records and (self.written < 2 or self.size + more <= bytes_):
+            return False
+        self.archive, self.written, self.size = self.archive + 1, 0, 0
+        return True
+
+    def add(self, record: str, separator: str) -> None:
+        self._rows.append((self.archive, self.at, record))
+        self.written, self.at = self.written + 1, self.at + 1
+        self.size += len(record.encode()) + len(separator)
+
+    def batch(self) -> pa.RecordBatch:
+        columns = list(zip(*self._rows)) or [()] * 3
+        self._rows = []
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.string()))],
+            names=["archive", "at", "value"],
+        )
+
+
+def _write(records: DataFrame, path: str, separator: str) -> None:
+    """One file per task and archive, the records in their order."""
+    ordered = records.sortWithinPartitions("archive", "at").select("archive", "value")
+    ordered.write.partitionBy("archive").options(lineSep=separator, **_SPEED).text(path)
+
+
 def write_arc(
     pages: DataFrame, path: str, date: str = "20240120090000", versions: tuple[int, ...] = (1, 2),
-    per_archive: int = RECORDS_PER_ARCHIVE,
+    per_archive: int = RECORDS_PER_ARCHIVE, bytes_per_archive: int = BYTES_PER_ARCHIVE,
 ) -> None:
     """One ARC record per page; the versions take turns over the partitions."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        version, written, offset = versions[part % len(versions)], 0, 0
-        name = ""
-        for batch in batches:
-            out = []
+        version, name = versions[part % len(versions)], ""
+        out = _Archives(per_archive, bytes_per_archive)
+        for batch in slices(batches, "html"):
             for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
-                if written % per_archive == 0:  # the writer begins a file here
-                    name = f"pages-{part}-{written // per_archive}.arc"
-                    out.append(_arc_start(version, name, date))
-                    written, offset = written + 1, len(out[-1].encode()) + 1
                 payload = html or ""
-                size = len(payload.encode())
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n"
+                content = payload.encode()
+                if out.full(len(content)):
+                    name = f"pages-{part}-{out.archive}.arc"
+                    out.add(_arc_start(version, name, date), "\n")
+                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(content)}\r\n"
                 head += "" if page_id is None else f"X-Page-Id: {page_id}\r\n"
-                block = f"{head}\r\n{payload}"
                 values = {"URL": _plain(url), "IP-address": "0.0.0.0", "Archive-date": date,
                           "Content-type": "text/html", "Result-code": "200",
-                          "Checksum": digest_of(payload.encode()), "Location": "-",
-                          "Offset": str(offset), "Filename": name,
-                          "Archive-length": str(len(head.encode()) + 2 + size)}
-                out.append(" ".join(values[f] for f in ARC_FIELDS[version]) + "\n" + block)
-                written, offset = written + 1, offset + len(out[-1].encode()) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                          "Checksum": digest_of(content), "Location": "-",
+                          "Offset": str(out.size), "Filename": name,
+                          "Archive-length": str(len(head.encode()) + 2 + len(content))}
+                out.add(" ".join(values[f] for f in ARC_FIELDS[version]) + f"\n{head}\r\n{payload}", "\n")
+            yield out.batch()
 
-    records = pages.select("page_id", "url", "html").mapInArrow(rows, "value string")
-    records.write.options(maxRecordsPerFile=per_archive, lineSep="\n", **_SPEED).text(path)
+    _write(pages.select("page_id", "url", "html").mapInArrow(rows, _Archives.schema), path, "\n")
 
 
 def _archives(spark, path: str) -> DataFrame:
@@ -207,14 +242,17 @@ def _warc_record(kind: str, headers: list[tuple[str, str]], block: str, size: in
     return "\r\n".join(lines) + "\r\n\r\n" + block
 
 
-def write_warc(archives: DataFrame, found: DataFrame, path: str, per_archive: int = RECORDS_PER_ARCHIVE) -> None:
+def write_warc(
+    archives: DataFrame, found: DataFrame, path: str, per_archive: int = RECORDS_PER_ARCHIVE,
+    bytes_per_archive: int = BYTES_PER_ARCHIVE,
+) -> None:
     """Each ARC record as a WARC record. The revisits of one archive come as one row, which
     is bounded by the archive's number of records."""
     told = found.groupBy("path").agg(
         F.collect_list(F.struct("offset", "to_id", "to_url", "to_date")).alias("revisits")
     )
 
-    def records(content: bytes, archive: str, told: dict) -> Iterator[str]:
+    def records(content: bytes, archive: str, told: dict) -> Iterator[tuple[str, int]]:
         for r in arc_records(content):
             at = told.get(r.offset)
             head = r.block[: len(r.block) - len(r.payload)]
@@ -230,28 +268,24 @@ def write_warc(archives: DataFrame, found: DataFrame, path: str, per_archive: in
             if at:
                 headers += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", at["to_id"]),
                             ("WARC-Refers-To-Target-URI", at["to_url"]), ("WARC-Refers-To-Date", at["to_date"])]
-            yield _warc_record("revisit" if at else "response", headers, block.decode("utf-8"), len(block))
+            yield _warc_record("revisit" if at else "response", headers, block.decode("utf-8"), len(block)), len(block)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        written = 0
+        out = _Archives(per_archive, bytes_per_archive)
         for batch in batches:
             for archive, content, places in zip(*(batch.column(c) for c in ("path", "content", "revisits"))):
                 told = {p["offset"]: p for p in places.as_py() or ()}
-                out = []
-                for record in records(content.as_py(), archive.as_py(), told):
-                    if written % per_archive == 0:
+                for record, size in records(content.as_py(), archive.as_py(), told):
+                    if out.full(size):
                         text = "software: palestra\r\nformat: WARC File Format 1.1\r\n"
-                        ident = uuid.uuid5(uuid.NAMESPACE_URL, f"{archive.as_py()}#{written}")
+                        ident = uuid.uuid5(uuid.NAMESPACE_URL, f"{archive.as_py()}#{out.archive}")
                         headers = [("WARC-Record-ID", f"<urn:uuid:{ident}>"), ("WARC-Date", "2024-01-20T09:00:00Z"),
                                    ("Content-Type", "application/warc-fields")]
-                        out.append(_warc_record("warcinfo", headers, text, len(text)))
-                        written += 1
-                    out.append(record)
-                    written += 1
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                        out.add(_warc_record("warcinfo", headers, text, len(text)), WARC_END)
+                    out.add(record, WARC_END)
+                yield out.batch()
 
-    warcs = archives.join(told, "path", "left").mapInArrow(rows, "value string")
-    warcs.write.options(maxRecordsPerFile=per_archive, lineSep=WARC_END, **_SPEED).text(path)
+    _write(archives.join(told, "path", "left").mapInArrow(rows, _Archives.schema), path, WARC_END)
 
 
 def warc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -312,10 +346,12 @@ def converted(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     write_warc(archives, revisits(index), warc)
     scratch.delete(arc)
     scratch.drop(index)
-    records = read_warc(spark, warc)
-    targets = records.where("record_type = 'response'").select(
-        F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to")
-    )
-    return records.join(targets, "refers_to_id", "left").select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "date"
-    )
+    # keys and digests only; the archives are read and checked once
+    records = scratch.table(read_warc(spark, warc), "records")
+    scratch.delete(warc)
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "date"]
+    responses = records.where("record_type = 'response'")
+    targets = responses.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
+    # responses refer to nothing and need no join, which would send them all to one task
+    repeated = records.where("record_type = 'revisit'").join(targets, "refers_to_id", "left")
+    return responses.withColumn("refers_to", F.lit(None).cast("long")).select(columns).unionAll(repeated.select(columns))

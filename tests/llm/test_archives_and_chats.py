@@ -57,6 +57,25 @@ def test_header_lines_of_each_version(spark, version):
         assert all(archives.digest_of(r.payload) == r.fields["Checksum"] for r in records)
 
 
+def test_archives_end_at_a_number_of_bytes(spark):
+    """Long pages beside short ones, in their order; one longer than the bound stands alone."""
+    sizes = [300, 40_000, 5, 70_000, 30_000, 30_000, 30_000, 250_000, 9, 0, 90_000]
+    data = [(k, f"http://h/{k}", "é" * (n // 2) + str(k)) for k, n in enumerate(sizes)]
+    scratch = Scratch(spark)
+    arc, warc = scratch.path("arc"), scratch.path("warc")
+    archives.write_arc(pages(spark, data).coalesce(1), arc, bytes_per_archive=100_000)
+    stored = archives._archives(spark, arc)
+    found = [[int(r.http_header("X-Page-Id")) for r in archives.arc_records(bytes(c["content"]))] for c in stored.collect()]
+    assert sorted(found) == [[0, 1, 2], [3], [4, 5, 6], [7], [8, 9, 10]]
+    archives.write_warc(stored, archives.revisits(archives.arc_index(stored)), warc, bytes_per_archive=100_000)
+    # records of several ARC archives share a WARC archive while they fit
+    lengths = [sum(len(b) for h, b in archives.warc_records(bytes(c["content"])) if h["WARC-Type"] != "warcinfo")
+               for c in archives._archives(spark, warc).collect()]
+    assert sum(n > 101_000 for n in lengths) == 1 and len(lengths) < len(sizes)
+    assert {(r["page_id"], r["payload_bytes"]) for r in archives.read_warc(spark, warc).collect()} == {
+        (k, len(t.encode())) for k, _, t in data}
+
+
 def test_broken_archives_are_refused():
     good = archives._arc_start(1, "a.arc", "20240101000000") + "\nhttp://h/ 0.0.0.0 20240101000000 text/html 5\nab"
     with pytest.raises(ValueError, match="declared length"):
