@@ -134,6 +134,58 @@ def test_pruning_loses_no_licence(spark):
     assert {(r[0], r[1]) for r in licenses.matches(docs).collect()} == expected
 
 
+def notices_of(text, percent=80):
+    """Every licence by plain comparison: of all lines, blocks, sentences and the whole text, and of
+    all runs of as many words as a template has, but those inside a longer template's best run."""
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    pairs = lambda w: list(zip(w, w[1:]))
+    plain = re.sub(r"[^\w\n]+|_+", " ", text.lower())
+    units = [*plain.split("\n"), *re.split(r"\n ?\n", plain), plain, *re.split(r"(?<=[.!?])\s+", text)]
+    templates = sorted(((n, pairs(words(t))) for n, t in licenses.TEMPLATES.items()), key=lambda t: (-len(t[1]), t[0]))
+    score = lambda a, b: 200 * len(set(a) & set(b)) // (len(set(a)) + len(set(b)))
+    found, places, own = {}, [], pairs(words(text))
+    for name, wanted in templates:
+        for unit in units:
+            part = pairs(words(unit))
+            if part and score(part, wanted) >= percent:
+                found[name] = max(found.get(name, 0), score(part, wanted))
+        width = min(len(wanted), len(own))
+        scores = {k: score(own[k : k + width], wanted) for k in range(len(own) - width + 1) if width}
+        good = [k for k in scores if scores[k] >= percent]
+        series = []
+        for k in good:
+            if series and series[-1][-1] == k - 1:
+                series[-1].append(k)
+            else:
+                series.append([k])
+        longer = [(a, b) for a, b in places if b - a > width]
+        for one in series:
+            best = max(scores[k] for k in one)
+            tops = [k for k in one if scores[k] == best]
+            if not any(a <= k and k + width <= b for a, b in longer for k in tops):
+                found[name] = max(found.get(name, 0), best)
+            places += [(k, k + width) for k in tops]
+    return found
+
+
+def test_licences_equal_plain_comparison(spark):
+    rng = random.Random(11)
+    some = sorted({w for t in licenses.TEMPLATES.values() for w in t.split()})
+    filler = lambda n: [rng.choice(some if rng.random() < 0.3 else VOCABULARY) for _ in range(n)]
+    data = []
+    for key in range(80):
+        made = filler(rng.randrange(30))
+        for notice in rng.sample(sorted(licenses.TEMPLATES.values()), rng.randrange(3)):
+            changed = rng.choice([0, 0.05, 0.12])
+            made += [f"other{rng.randrange(9)}" if rng.random() < changed else w for w in notice.split()]
+            made += [*rng.choice([[], ["."]]), *filler(rng.randrange(20))]
+        data.append((key, "".join(w + rng.choice([" "] * 12 + ["\n", ".\n", " \n\n", ". "]) for w in made)))
+    docs = documents(spark, [(k, t, None, None, None) for k, t in data])
+    expected = {(k, n): c for k, t in data for n, c in notices_of(t).items()}
+    got = {(r["doc_id"], r["license"]): r["dice_percent"] for r in licenses.matches(docs).collect()}
+    assert len(expected) > 50 and got == expected
+
+
 # decontamination
 
 
