@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palestra.asof import AsOf
-from palestra.operators.joins import Hint, fits, rows_for
+from palestra.operators.joins import Hint, by_key, fits, rows_for
 from palestra.sources.schema import REFERENCES, TABLES
 from palestra.sources.tables import ClubTables
 
@@ -79,14 +79,21 @@ def delete_rows(
     key = TABLES[parent].key
     wanted = keys.select(F.col(keys.columns[0]).alias(key)).distinct()
     hint = Hint(fits(wanted))
+    # Past a broadcast, both sides of each join are hashed alike over partitions that follow
+    # the larger side's rows.
+    spread = (lambda df, rows, on=key: df) if hint.small else (lambda df, rows, on=key: by_key(df, on, rows))
+    table_rows = 0 if hint.small else tables[parent].count()
     # keys are unique in the parent
-    present = tables[parent].select(key).join(hint(wanted), key, "left_semi")
+    present = spread(tables[parent].select(key), table_rows).join(
+        hint(spread(wanted, table_rows)), key, "left_semi"
+    )
     children = [r for r in REFERENCES if r.parent == parent]
 
     refused = None
     for ref in (r for r in children if r.on_delete == "restrict"):
         users = tables[ref.child].select(F.col(ref.column).alias(key))
-        held = rows_for(users, present, [key], hint).distinct()
+        child_rows = 0 if hint.small else users.count()
+        held = rows_for(spread(users, child_rows), spread(present, child_rows), [key], hint).distinct()
         held = held.withColumn("held_by", F.lit(ref.child))
         refused = held if refused is None else refused.unionByName(held)
     if refused is None:
@@ -94,10 +101,15 @@ def delete_rows(
     else:
         deleted = present.join(hint(refused.select(key).distinct()), key, "left_anti")
 
-    frames = {parent: tables[parent].join(hint(deleted), key, "left_anti")}
+    frames = {
+        parent: spread(tables[parent], table_rows).join(hint(spread(deleted, table_rows)), key, "left_anti")
+    }
     for ref in (r for r in children if r.on_delete == "set null"):
         gone = deleted.select(F.col(key).alias(ref.column), F.lit(True).alias("_gone"))
-        child = tables[ref.child].join(hint(gone), ref.column, "left")
+        child_rows = 0 if hint.small else tables[ref.child].count()
+        child = spread(tables[ref.child], child_rows, ref.column).join(
+            hint(spread(gone, child_rows, ref.column)), ref.column, "left"
+        )
         cleared = F.col("_gone").isNotNull()
         child = child.withColumn(ref.column, F.when(~cleared, F.col(ref.column)))
         frames[ref.child] = _stamped(child, cleared, as_of).select(*TABLES[ref.child].names)

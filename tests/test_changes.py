@@ -106,6 +106,26 @@ def test_a_member_goes_with_its_bookings(spark):
     assert members == {2: (2, OLD), 3: (None, NOW.ts)}
 
 
+def test_a_large_delete_spreads_its_joins_by_rows(spark, monkeypatch):
+    import palestra.operators.changes as changes
+    import palestra.operators.joins as joins
+
+    t = people(spark)
+    wanted = {"users": keys(spark, 1, 3), "member": keys(spark, 1, 2), "classbooking": keys(spark, 1, 2), "checkin": keys(spark, 1),
+              "membersubscription": keys(spark, 1, 2), "classschedule": keys(spark, 1, 99), "plan": keys(spark, 1, 2, 3)}
+    small, small_refused = delete_batch(t, wanted, NOW)
+    # key sets too large to broadcast, and tasks that take one row each
+    monkeypatch.setattr(changes, "fits", lambda df: False)
+    monkeypatch.setattr(joins, "ROWS_PER_TASK", 1)
+    large, large_refused = delete_batch(t, wanted, NOW)
+    assert sorted(dicts(large_refused), key=str) == sorted(dicts(small_refused), key=str)
+    for n in wanted:
+        assert sorted(dicts(large[n]), key=str) == sorted(dicts(small[n]), key=str)
+    rows = t["users"].count()
+    assert rows > 2 and "hashpartitioning(userid#" in plan(large["users"])
+    assert re.search(rf"hashpartitioning\(userid#\d+L?, {rows}\)", plan(large["users"]))
+
+
 def test_keys_change_in_several_tables(spark):
     renames = lambda *pairs: local(spark, [("old_key", "bigint"), ("new_key", "bigint")], list(pairs))
     t = people(spark)
