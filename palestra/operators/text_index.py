@@ -27,30 +27,43 @@ def _folder(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(FOLDERS)).cast("int")
 
 
+def _tagged(column: str):
+    """A part with the name of its column (one argument: ``transform`` passes an index to two)."""
+    return lambda gram: F.struct(gram.alias("gram"), F.lit(column).alias("column"))
+
+
 def postings(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """A row per part, column and row of the table. Case does not count; a NULL has no parts."""
-    rows = []
+    """A row per part, column and row of the table. Case does not count; a NULL has no parts.
+    One pass over the rows makes the parts of all columns."""
+    held = "array<struct<gram:string,column:string>>"
+    per_column = []
     for c in columns:
         text = F.lower(F.col(c).cast("string"))
-        parts = F.concat(*[_grams(text, size) for size in range(1, GRAM + 1)])
-        rows.append(df.where(F.col(c).isNotNull()).select(
-            F.explode(F.array_distinct(parts)).alias("gram"), F.lit(c).alias("column"),
-            F.col(key).cast("bigint").alias("row_id"),
+        parts = F.array_distinct(F.concat(*[_grams(text, size) for size in range(1, GRAM + 1)]))
+        per_column.append(F.when(F.col(c).isNotNull(), F.transform(parts, _tagged(c))).otherwise(
+            F.array().cast(held)
         ))
-    found = rows[0]
-    for more in rows[1:]:
-        found = found.unionByName(more)
+    found = df.select(
+        F.explode(F.concat(*per_column)).alias("part"), F.col(key).cast("bigint").alias("row_id")
+    ).select("part.gram", "part.column", "row_id")
     return found.withColumn("folder", _folder(F.col("gram")))
 
 
 def write_postings(df: DataFrame, key: str, columns: list[str], path: str, mode: str = "overwrite") -> None:
-    """Store the postings by part. A part that most texts hold is spread over many files; new
-    rows of the table are added with mode ``append``."""
-    (
-        postings(df, key, columns).repartitionByRange("folder", "gram", "row_id")
-        .sortWithinPartitions("folder", "gram", "row_id")
-        .write.mode(mode).partitionBy("folder").parquet(path)
-    )
+    """Store the postings by part. The table's rows, not their many parts, are spread over the
+    tasks; each task sorts its own parts, so a part that most texts hold is spread over many
+    files, and a file's row groups follow the parts. New rows of the table are added with mode
+    ``append``."""
+    sorted_postings(df, key, columns).write.mode(mode).partitionBy("folder").parquet(path)
+
+
+def sorted_postings(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The postings as they are stored: the rows are shuffled, each task sorts its parts."""
+    spark = df.sparkSession
+    # A number of tasks of its own: rows are few, their parts many, so they are not coalesced.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = df.select(key, *columns).repartition(tasks, key, *columns)
+    return postings(rows, key, columns).sortWithinPartitions("folder", "gram", "row_id")
 
 
 def candidates(spark: SparkSession, path: str, text: str, columns: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from palestra.operators.cascades import change_batch, children_first, delete_bat
 from palestra.operators.differences import differences, redelivered
 from palestra.operators.existence import build_filter, filter_bits, grown, maybe_present
 from palestra.operators.running import booking_deltas, merge_counts, read_counts
-from palestra.operators.text_index import candidates, write_postings
+from palestra.operators.text_index import candidates, sorted_postings, write_postings
 from palestra.plans.club_rules import rules_of
 from palestra.plans.deliveries import take_delivery
 from palestra.sources.schema import REFERENCES, TABLES
@@ -207,3 +207,15 @@ def test_postings_find_what_the_scan_finds(spark, tmp_path_factory, text):
     assert scan <= got and (len(text) > 3 or scan == got)
     text = plan(found)
     assert re.search(r"PartitionFilters: \[[^\n]*folder#", text) and re.search(r"PushedFilters: \[[^\n]*\(gram,", text)
+
+
+def test_postings_shuffle_the_rows_not_their_parts(spark):
+    rows = local(spark, [("userid", "bigint"), ("name", "string"), ("email", "string")],
+                 [(1, "Ana", "ana@x.pt"), (2, None, "b@y.pt"), (2, "Ana", None)])
+    stored = sorted_postings(rows, "userid", ["name", "email"])
+    text = plan(stored)
+    assert "rangepartitioning" not in text.lower() and "Union" not in text
+    assert text.index("Generate") < text.index("Exchange")  # the parts are made after the shuffle
+    got = sorted((r["gram"], r["column"], r["row_id"]) for r in stored.collect())
+    assert ("ana", "name", 1) in got and ("ana", "name", 2) in got and ("b@y", "email", 2) in got
+    assert not [g for g in got if g[1] == "name" and g[2] == 2 and g[0] == "b"]
