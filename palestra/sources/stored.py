@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from palestra.asof import AsOf
 from palestra.operators.changes import update_rows
-from palestra.operators.joins import Hint, fits, rows_for
+from palestra.operators.joins import ROWS_PER_TASK, Hint, by_key, fits, rows_for
 from palestra.session import delete_folder, durable
 from palestra.sources.schema import PARTITION_COLUMNS, SORT_COLUMNS, TABLES
 from palestra.sources.seeds import SEED_ROWS, seed_table
@@ -55,9 +55,19 @@ class StoredTables:
             out = out.withColumn("period", F.trunc(PARTITION_COLUMNS[name][0], self.unit))
         return out
 
-    def _write(self, placed: DataFrame, name: str, mode: str, only_touched: bool = False) -> None:
+    def _spread(self, df: DataFrame, key: str, rows: int) -> DataFrame:
+        """The frame hashed by key over partitions that follow ``rows``; unchanged for none."""
+        return by_key(df, key, rows) if rows else df
+
+    def _write(
+        self, placed: DataFrame, name: str, mode: str, only_touched: bool = False, n_rows: int = 0
+    ) -> None:
+        """``n_rows``, if known, sets how many ranges the rows are cut into, so that one task's
+        share does not grow with the table."""
         cut, table = self._cut(name), TABLES[name]
-        rows = placed.repartitionByRange(cut, table.key).sortWithinPartitions(
+        least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        ranges = max(least, -(-n_rows // ROWS_PER_TASK))
+        rows = placed.repartitionByRange(ranges, cut, table.key).sortWithinPartitions(
             cut, *SORT_COLUMNS.get(name, []), table.key
         )
         writer = rows.write.mode(mode).partitionBy(cut)
@@ -116,15 +126,21 @@ class StoredTables:
         keys = keys.distinct()
         hint = Hint(fits(keys))
         stored = self._stored(name)
-        before = rows_for(stored.select(key, cut), keys, [key], hint).select(cut)
+        # past a broadcast, both sides of each join are hashed alike over partitions that
+        # follow the stored rows (a count parquet answers from its footers)
+        stored_rows = 0 if hint.small else stored.count()
+        keys = self._spread(keys, key, stored_rows)
+        before = rows_for(self._spread(stored.select(key, cut), key, stored_rows), keys, [key], hint).select(cut)
         touched = [r[0] for r in before.unionByName(new.select(cut)).distinct().collect()]
         if not touched:
             return
-        kept = stored.where(F.col(cut).isin(touched)).join(hint(keys), key, "left_anti")
+        kept = self._spread(stored.where(F.col(cut).isin(touched)), key, stored_rows).join(
+            hint(keys), key, "left_anti"
+        )
         after = kept.unionByName(new)
         filled = {r[0] for r in after.select(cut).distinct().collect()}
         if filled:
-            self._write(after, name, "overwrite", only_touched=True)
+            self._write(after, name, "overwrite", only_touched=True, n_rows=stored_rows)
         for value in touched:  # a folder without rows is not overwritten
             if value not in filled:
                 delete_folder(self.spark, f"{self.path(name)}/{cut}={value}")
@@ -133,7 +149,12 @@ class StoredTables:
         """Give stored rows new values by key, and ``updated_at``. Returns the changes whose
         key is unknown."""
         key = TABLES[name].key
-        found = rows_for(self.read(name), changes, [key], Hint(fits(changes)))
+        hint = Hint(fits(changes))
+        stored = self.read(name)
+        # past a broadcast, the joins are hashed by key over partitions that follow the rows
+        rows = 0 if hint.small else stored.count()
+        changes = self._spread(changes, key, rows)
+        found = self._spread(rows_for(self._spread(stored, key, rows), changes, [key], hint), key, rows)
         after, _ = update_rows(found, key, changes, as_of)
         # stored before the files it is found by are replaced
         unknown = durable(changes.join(found.select(key), key, "left_anti"))

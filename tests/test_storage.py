@@ -194,3 +194,25 @@ def test_database_reads_cut_by_key_and_turn_times_into_numbers():
     assert (options["lowerBound"], options["upperBound"], options["numPartitions"]) == (
         "1", "1001", "16")
     assert range_options("plan", 1, 3, 16)["numPartitions"] == "3"
+
+
+def test_a_large_update_is_cut_by_its_rows(spark, tmp_path, monkeypatch):
+    """Past a broadcast, one task's share of an update follows the rows, not the session's
+    number of shuffle partitions (2 here)."""
+    import palestra.operators.joins as joins
+    import palestra.sources.stored as stored
+
+    monkeypatch.setattr(stored, "fits", lambda df, max_rows=0: False)
+    monkeypatch.setattr(stored, "ROWS_PER_TASK", 5, raising=False)
+    monkeypatch.setattr(joins, "ROWS_PER_TASK", 5)
+    store = StoredTables(spark, str(tmp_path / "store"), keys_per_range=1000)
+    store.create("users")
+    users = [dict(userid=k, email=f"{k}@x.pt", password="12345678", name="A", usertypeid=3, updated_at=moment("2024-01-01"))
+             for k in range(60)]
+    store.insert("users", frame(spark, "users", users))
+    changes = local(spark, [("userid", "bigint"), ("name", "string")], [(k, f"B{k}") for k in range(0, 60, 2)] + [(500, "C")])
+    unknown = store.update("users", changes, NOW)
+    assert [r["userid"] for r in dicts(unknown)] == [500]
+    found = {r["userid"]: (r["name"], r["updated_at"]) for r in dicts(store.read("users"))}
+    assert found == {k: (f"B{k}", NOW.ts) if k % 2 == 0 else ("A", moment("2024-01-01")) for k in range(60)}
+    assert len(files(store, "users")) >= 12
