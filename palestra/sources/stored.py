@@ -55,6 +55,12 @@ class StoredTables:
             out = out.withColumn("period", F.trunc(PARTITION_COLUMNS[name][0], self.unit))
         return out
 
+    def _beyond_session(self, rows: int) -> int:
+        """``rows`` if they need more tasks than the session's shuffle partitions, else 0:
+        below that the session's own plan stays as it is."""
+        least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return rows if -(-rows // ROWS_PER_TASK) > least else 0
+
     def _spread(self, df: DataFrame, key: str, rows: int) -> DataFrame:
         """The frame hashed by key over partitions that follow ``rows``; unchanged for none."""
         return by_key(df, key, rows) if rows else df
@@ -65,9 +71,8 @@ class StoredTables:
         """``n_rows``, if known, sets how many ranges the rows are cut into, so that one task's
         share does not grow with the table."""
         cut, table = self._cut(name), TABLES[name]
-        least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        ranges = max(least, -(-n_rows // ROWS_PER_TASK))
-        rows = placed.repartitionByRange(ranges, cut, table.key).sortWithinPartitions(
+        ranges = [-(-n_rows // ROWS_PER_TASK)] if n_rows else []
+        rows = placed.repartitionByRange(*ranges, cut, table.key).sortWithinPartitions(
             cut, *SORT_COLUMNS.get(name, []), table.key
         )
         writer = rows.write.mode(mode).partitionBy(cut)
@@ -128,7 +133,7 @@ class StoredTables:
         stored = self._stored(name)
         # past a broadcast, both sides of each join are hashed alike over partitions that
         # follow the stored rows (a count parquet answers from its footers)
-        stored_rows = 0 if hint.small else stored.count()
+        stored_rows = 0 if hint.small else self._beyond_session(stored.count())
         keys = self._spread(keys, key, stored_rows)
         before = rows_for(self._spread(stored.select(key, cut), key, stored_rows), keys, [key], hint).select(cut)
         touched = [r[0] for r in before.unionByName(new.select(cut)).distinct().collect()]
@@ -152,7 +157,7 @@ class StoredTables:
         hint = Hint(fits(changes))
         stored = self.read(name)
         # past a broadcast, the joins are hashed by key over partitions that follow the rows
-        rows = 0 if hint.small else stored.count()
+        rows = 0 if hint.small else self._beyond_session(stored.count())
         changes = self._spread(changes, key, rows)
         found = self._spread(rows_for(self._spread(stored, key, rows), changes, [key], hint), key, rows)
         after, _ = update_rows(found, key, changes, as_of)
