@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from conftest import NOW, club, day, dicts, local
 
@@ -109,3 +111,15 @@ def test_seed_rows(spark):
         assert [f.name for f in df.schema] == TABLES[name].names
         assert check(df, rules.rules_of(name))[1].count() == 0
     assert str(seed_table(spark, "plan", NOW).where("planid = 2").first()["monthlyprice"]) == "30.00"
+
+
+def test_values_are_spread_by_their_number(spark, t, monkeypatch, capsys):
+    from palestra.operators import checks
+
+    monkeypatch.setattr(checks, "ROWS_PER_TASK", 1, raising=False)
+    counts = rules.rule_counts(t)
+    counts.explain()
+    tasks = re.findall(r"hashpartitioning\(table_name#\d+, rule#\d+, value#\d+, (\d+)\)",
+                       capsys.readouterr().out)
+    assert tasks and int(tasks[0]) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    test_counts_agree_with_lines(t)
