@@ -1,6 +1,9 @@
 """Intake and change jobs against one-at-a-time processing in plain Python."""
 
+import contextlib
+import io
 import random
+import re
 
 import pytest
 from conftest import NOW, club, day, dicts, local, moment
@@ -153,6 +156,84 @@ def test_bookings_onto_an_empty_table(spark):
     assert counts == {"Member": 1464, "This c": 39}
 
 
+def _odd_bookings(spark):
+    """Random requests against users and schedules that are missing, NULL or in store twice;
+    with the outcome of taking them one after the other."""
+    rng = random.Random(4)
+    members = [(1, 11), (2, 12), (3, 12), (4, 13), (4, 13), (5, None), (None, 14), (None, 15), (6, 15)]
+    schedules = [1, 2, 3, 4, 4, 5, None]
+    booked = [(1, 1), (2, 2), (6, 3), (1, None), (None, 3)]
+    t = club(
+        spark,
+        member=[dict(memberid=m, userid=u, nif="1", phone="1", iban="P", birthdate=day("1990-01-01"), address="a",
+                     city="c", postalcode="p") for m, u in members],
+        classschedule=[dict(classscheduleid=k, classid=1, date=NOW.date, starttime=1, endtime=2) for k in schedules],
+        classbooking=[dict(bookingid=40 + i, memberid=m, classscheduleid=c) for i, (m, c) in enumerate(booked)],
+    )
+    rows = [
+        (f"r{i:03}", rng.choice([11, 12, 13, 14, 15, 99, None]), rng.choice([1, 2, 3, 4, 5, 77, None]),
+         rng.choice([None, *(moment(f"2024-02-{d} 10:00:00") for d in (20, 21, 22))]))
+        for i in rng.sample(range(1000), 120)
+    ]
+    rows += rows[:15]
+    order = lambda r: (r[3] is not None, str(r[3]), r[0], r[1] is not None, r[1], r[2] is not None, r[2])
+    taken, accepted, rejects = set(booked), [], []
+    for arrival, row in enumerate(sorted(rows, key=lambda r: tuple(0 if x is None else x for x in order(r))), start=1):
+        _, user, schedule, at = row
+        found = [m for m, u in members if u == user and user is not None] or [None]
+        copies = max(1, schedules.count(schedule)) if schedule is not None else 1
+        known = schedule is not None and schedule in schedules
+        new = {(m, schedule) for m in found if m is not None and known} - taken
+        taken |= new
+        accepted += [(44 + arrival, *pair, at) for pair in new]
+        if not new:
+            rejects += [
+                (*row, f"Member not found for user ID {'' if user is None else user}" if m is None
+                 else "This class is already booked for this member" if known else "Class schedule not found")
+                for m in found for _ in range(copies)
+            ]
+    return t, local(spark, BOOKING, rows), accepted, rejects
+
+
+@pytest.mark.parametrize("large", ["no", "shuffled", "shuffled and spread"])
+def test_odd_bookings_one_after_the_other(spark, monkeypatch, large):
+    from palestra.operators import joins
+    from palestra.plans import bookings
+
+    t, requests, accepted, rejects = _odd_bookings(spark)
+    if large != "no":
+        monkeypatch.setattr(bookings, "fits", lambda df: False)
+    if "spread" in large:
+        monkeypatch.setattr(joins, "ROWS_PER_TASK", 30)
+    done = book_classes(t, NOW, requests)
+    got = done.classbooking.select("bookingid", "memberid", "classscheduleid", "bookingdate").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, accepted))
+    assert sorted(map(str, map(tuple, done.rejects.collect()))) == sorted(map(str, rejects))
+    assert accepted and len(rejects) > len(accepted)
+
+
+def test_many_bookings_shuffle_their_fields_once(spark, monkeypatch):
+    from palestra.operators import joins
+    from palestra.plans import bookings
+
+    t, requests, _, _ = _odd_bookings(spark)
+    monkeypatch.setattr(bookings, "fits", lambda df: "held" in df.columns)  # few schedules are odd
+    monkeypatch.setattr(joins, "ROWS_PER_TASK", 30)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            book_classes(t, NOW, requests).rejects.explain("formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    dealt = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]\nArguments: ([^\n]*)", out.getvalue())
+    wide = [how for columns, how in dealt if "request_id#" in columns]
+    assert len(wide) == 1
+    # 135 requests of 30 a task
+    assert re.match(r"hashpartitioning\(arrival#\d+L, 5\)", wide[0])
+
+
 def test_logins(spark, stored):
     events = [(7, moment("2024-02-01")), (7, moment("2024-02-03")), (8, moment("2024-02-02"))]
     columns = [("userid", "bigint"), ("logged_in_at", "timestamp")]
